@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from planlens.functions import vocabulary as V
 
@@ -12,6 +12,16 @@ def rx(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def bind(c: Column, body) -> Column:
+    """``body`` of a value worked out once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later steps read often, so the plan computes each once per row."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def squeeze(c: Column) -> Column:
     """Upper case, trimmed, inner whitespace runs collapsed to one space."""
     return F.regexp_replace(F.trim(F.upper(c)), r"\s+", " ")
@@ -65,7 +75,10 @@ def marked(t: Column) -> Column:
 
 def value_like(text: Column) -> Column:
     """Could this segment be an answer printed against a plain label?"""
-    t = F.trim(text)
+    return bind(F.trim(text), _value_like)
+
+
+def _value_like(t: Column) -> Column:
     up = F.upper(t)
     toks = words(up)
     answer = (
@@ -80,7 +93,7 @@ def value_like(text: Column) -> Column:
 
 def label_like(text: Column) -> Column:
     t = F.trim(F.regexp_replace(F.trim(text), r"[:?]+$", ""))
-    return (letters(t) >= 2) & (~value_like(t) | marked(F.trim(text)))
+    return bind(t, lambda x: (letters(x) >= 2) & (~_value_like(x) | marked(F.trim(text))))
 
 
 def inline_pair(text: Column) -> Column:
@@ -105,7 +118,10 @@ def plain_label(text: Column) -> Column:
 
 def trailing_pair(text: Column) -> Column:
     """``OCCUPANT LOAD 70``: label words, then a run of value tokens reaching the end."""
-    toks = words(text)
+    return bind(words(text), _trailing)
+
+
+def _trailing(toks: Column) -> Column:
     # position (1-based) of the last token that is not a value; the first token never is one
     last_word = F.array_max(F.transform(
         toks, lambda t, i: F.when((i == 0) | ~value_token(t), i + 1).otherwise(0)))

@@ -153,3 +153,43 @@ def with_views(*names: str) -> str:
         visit(n)
     body = [f"{n} AS ({VIEWS[n].format(**{m: m for m in _needs(n)})})" for n in done]
     return "WITH " + ",\n".join(body)
+
+
+# ---- text adapters: lines and positioned words of the documents ----------------------------------
+# ten documents make a set, each is a page; a comma is a column break 30 points wide and every
+# part before one ends in a number, so pages hold labels, values and columns
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    docs = table(spark, folder, "documents").select(
+        F.floor(F.col("doc_id") / 10).alias("set_id"), (F.col("doc_id") % 10).cast("int").alias("page"),
+        F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return docs
+
+
+def words(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import Window as W, functions as F
+    parts = lines(spark, folder).select(
+        "set_id", "page", F.col("line_no").alias("line"),
+        F.posexplode(F.split(F.regexp_replace("text", ", ", " 42, "), " ")).alias("pos", "text")).where("text <> ''")
+    before = W.partitionBy("set_id", "page", "line").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    step = (F.length("text") + 1) * 6.0 + F.when(F.col("text").endswith(","), 30.0).otherwise(0.0)
+    x0 = F.coalesce(F.sum(step).over(before), F.lit(0.0))
+    return parts.select("set_id", "page", F.lit(0).alias("block"), "line", F.col("pos").alias("seq"),
+                        x0.alias("x0"), (F.col("line") * 12.0).alias("y0"),
+                        (x0 + F.length("text") * 6.0).alias("x1"), (F.col("line") * 12.0 + 10.0).alias("y1"), "text")
+
+
+DUCK_LINES = """WITH a_lines AS (
+  SELECT doc_id // 10 AS set_id, CAST(doc_id % 10 AS INTEGER) AS page, CAST(i - 1 AS INTEGER) AS line_no, t AS text
+  FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS t
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
+DUCK_WORDS = DUCK_LINES + """,
+w0 AS (SELECT set_id, page, line_no AS line, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS seq, unnest(l) AS text
+       FROM (SELECT *, string_split(replace(text, ', ', ' 42, '), ' ') AS l FROM a_lines)),
+a_words AS (
+  SELECT set_id, page, 0 AS block, line, seq, x0, line * 12.0::DOUBLE AS y0, x0 + length(text) * 6.0::DOUBLE AS x1,
+         line * 12.0::DOUBLE + 10.0 AS y1, text
+  FROM (SELECT *, coalesce(sum((length(text) + 1) * 6.0::DOUBLE + CASE WHEN text LIKE '%,' THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END)
+               OVER (PARTITION BY set_id, page, line ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS x0
+        FROM w0 WHERE text <> ''))"""

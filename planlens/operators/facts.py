@@ -156,7 +156,7 @@ def group_stats(grouped: DataFrame) -> DataFrame:
         F.count_distinct("page").alias("n_pages"),
         F.count(F.lit(1)).alias("n_claims"),
         F.max(F.coalesce(F.upper(F.substring("sheet", 1, 1)) == "G", F.lit(False))).alias("general"),
-        F.min("page").alias("min_page"),
+        F.min("page").alias("min_page"), F.count_distinct("sheet").alias("n_sheets"),
         F.count_distinct("method").alias("n_methods"),
         F.max_by(shown, best).alias("value"),
         F.min_by(lead, head).alias("lead"))
@@ -230,7 +230,7 @@ def resolved_facts(claims: DataFrame, with_sources: bool = False) -> DataFrame:
     strong = F.when((F.col("rank") > 1) & (F.col("max_score") >= V.RIVAL_SCORE), 1).otherwise(0)
     n_rivals = F.sum(strong).over(W.partitionBy(*FACT))
     return (graded.withColumn("n_rivals", n_rivals).where("rank = 1")
-            .select(*FACT, "value.*", "confidence", "n_rivals", "n_pages", "n_claims", "n_methods",
+            .select(*FACT, "value.*", "confidence", "n_rivals", "n_pages", "n_sheets", "n_claims", "n_methods",
                     "max_score", "lead"))
 
 

@@ -132,7 +132,7 @@ def totals_state(declared: Column, drawn: Column, tol_abs: float, tol_rel: float
             .otherwise("UNKNOWN"))
 
 
-def scenarios(reconciled: DataFrame) -> DataFrame:
+def scenarios(reconciled: DataFrame, keep_silent: bool = False) -> DataFrame:
     """The rows every rule reads: one reading of each set, two where a material conflict exists.
 
     Never a product: one reading in which every drawn value wins, one in which every declared
@@ -151,7 +151,7 @@ def scenarios(reconciled: DataFrame) -> DataFrame:
             .withColumn("basis", basis_of_state(F.col("state")))
             .withColumn("page", F.when(~use_declared, F.col("page")) if "page" in out.columns
                         else F.lit(None).cast("int"))
-            .where("num is not null or str is not null"))
+            .where(F.lit(keep_silent) | F.col("num").isNotNull() | F.col("str").isNotNull()))
 
 
 def basis_of_state(state: Column) -> Column:

@@ -123,6 +123,40 @@ VIEWS: dict[str, str] = {
                CASE length(text) % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'M' ELSE '' END AS occupancy_group,
                conv_id * 600 + turn * 7 AS created_at
         FROM {conversations} WHERE role = 'user'""",
+    # every order as a building its applicant declared
+    "a_building": """
+        SELECT o_orderkey AS set_id,
+               CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'A-3' WHEN '2' THEN 'B'
+                    WHEN '3' THEN 'M' WHEN '4' THEN 'S-1' END AS occupancy_group,
+               CASE o_custkey % 9 WHEN 0 THEN 'I-A' WHEN 1 THEN 'I-B' WHEN 2 THEN 'II-A' WHEN 3 THEN 'II-B'
+                    WHEN 4 THEN 'III-A' WHEN 5 THEN 'III-B' WHEN 6 THEN 'IV' WHEN 7 THEN 'V-A' ELSE 'V-B' END
+                    AS construction_type,
+               CASE o_orderstatus WHEN 'F' THEN 'nfpa13' WHEN 'O' THEN 'none' ELSE 'nfpa13d' END AS sprinkler_system,
+               round(o_totalprice / 5000, 1) AS height_ft,
+               CAST(floor(o_totalprice / 100000) AS INT) + 1 AS stories,
+               floor(o_totalprice / 5) AS building_area_sf,
+               CAST(120 + o_custkey % 60 AS DOUBLE) AS wind_speed_mph,
+               CASE o_custkey % 5 WHEN 0 THEN 'fbc2017' WHEN 1 THEN 'fbc2020' WHEN 2 THEN 'fbc2023'
+                    WHEN 3 THEN 'fbc2026' END AS code_edition,
+               CASE o_custkey % 6 WHEN 0 THEN 'III' WHEN 1 THEN 'II' END AS risk_category,
+               CASE WHEN o_custkey % 4 <> 0 THEN CAST(floor(o_totalprice / 400) AS DOUBLE) END AS occupant_load,
+               CAST(o_orderdate + INTERVAL '25' YEAR AS DATE) AS as_of
+        FROM {orders}""",
+    # the rows of every building's code block: the line number picks the section
+    "a_code": """
+        SELECT l_orderkey AS set_id,
+               CASE l_linenumber WHEN 1 THEN '1006.2.1' WHEN 2 THEN '1017.2' WHEN 3 THEN '1020.5' WHEN 4 THEN '1020.3'
+                    WHEN 5 THEN '1005.3.2' WHEN 6 THEN '1006.3.2' ELSE '1010.1.1' END AS section,
+               CASE l_linenumber WHEN 1 THEN CASE WHEN l_quantity < 25 THEN 75 ELSE 100 END
+                    WHEN 2 THEN CASE WHEN l_quantity < 20 THEN 200 WHEN l_quantity < 40 THEN 250 ELSE 300 END
+                    WHEN 3 THEN CASE WHEN l_quantity < 30 THEN 20 ELSE 50 END
+                    WHEN 4 THEN CASE WHEN l_quantity < 40 THEN 44 ELSE 36 END
+                    WHEN 5 THEN 20 + l_quantity WHEN 6 THEN 2
+                    ELSE CASE WHEN l_quantity < 40 THEN 32 ELSE 30 END END AS required,
+               CASE l_linenumber WHEN 6 THEN CASE WHEN l_quantity < 30 THEN 2 ELSE 3 END ELSE 60 END AS provided,
+               l_linenumber AS page, concat('G-', CAST(l_linenumber AS STRING)) AS sheet, 'ROW' AS label,
+               'as printed' AS required_raw, l_partkey * 1000000 + l_suppkey AS ord
+        FROM {lineitem}""",
     "a_jobs": """
         SELECT event_id AS job_id, user_id AS uid, ts, event_type, value, props FROM {events}""",
 }

@@ -276,9 +276,9 @@ def clm_normalise(spark, d):
 _LABELS = ["OCCUPANCY", "TOTAL OCCUPANT LOAD", "MAX TRAVEL DISTANCE (1017.2)", "SITE AREA", "GROSS FLOOR AREA", "THE RISK CATEGORY NOW", "TOTAL", "NOTHING"]
 
 
-def claim_pairs(spark, d):
+def claim_pairs(spark, d, rows=None):
     """A pair per order line: the supplier picks the label, the quantity is the value."""
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem") if rows is None else rows
     i = (F.col("l_suppkey") % 8).cast("int")
     q = F.col("l_quantity").cast("int").cast("string")
     label = F.element_at(F.array(*map(F.lit, _LABELS)), i + 1)

@@ -271,10 +271,10 @@ def geo_scale_resolve(spark, d):
 
 
 @query("geo_longest_run", """
-WITH s AS (SELECT l_suppkey AS set_id, l_linenumber AS at, l_quantity * 7 AS lo, l_quantity * 7 + 6 AS hi FROM lineitem),
-f AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY set_id, at ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 ELSE 0 END AS b FROM s),
-g AS (SELECT *, sum(b) OVER (PARTITION BY set_id, at ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS i FROM f)
-SELECT set_id, max(r) AS run_pt FROM (SELECT set_id, at, i, max(hi) - min(lo) AS r FROM g GROUP BY ALL) GROUP BY set_id""")
+WITH s AS (SELECT l_suppkey AS set_id, l_linenumber AS a_, l_quantity * 7 AS lo, l_quantity * 7 + 6 AS hi FROM lineitem),
+f AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY set_id, a_ ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 ELSE 0 END AS b FROM s),
+g AS (SELECT *, sum(b) OVER (PARTITION BY set_id, a_ ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS i FROM f)
+SELECT set_id, max(r) AS run_pt FROM (SELECT set_id, a_, i, max(hi) - min(lo) AS r FROM g GROUP BY ALL) GROUP BY set_id""")
 def geo_longest_run(spark, d):
     seg = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("set_id"), (F.col("l_quantity") * 7).alias("x0"), F.col("l_linenumber").cast("double").alias("y0"),
                                              (F.col("l_quantity") * 7 + 6).alias("x1"), F.col("l_linenumber").cast("double").alias("y1"))

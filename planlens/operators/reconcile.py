@@ -149,6 +149,7 @@ def scenarios(reconciled: DataFrame, keep_silent: bool = False) -> DataFrame:
     pick = lambda k: F.when(use_declared, F.col(f"declared_{k}")).otherwise(F.col(f"drawn_{k}"))
     return (out.withColumn("num", pick("num")).withColumn("str", pick("str"))
             .withColumn("basis", basis_of_state(F.col("state")))
+            .withColumn("drawn_page", F.col("page") if "page" in out.columns else F.lit(None).cast("int"))
             .withColumn("page", F.when(~use_declared, F.col("page")) if "page" in out.columns
                         else F.lit(None).cast("int"))
             .where(F.lit(keep_silent) | F.col("num").isNotNull() | F.col("str").isNotNull()))

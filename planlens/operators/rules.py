@@ -697,7 +697,7 @@ def declared_rules(i: Inputs, case: DataFrame) -> DataFrame:
     silent = F.max((F.col("state") != "UNKNOWN").cast("int")).over(W.partitionBy(*CASE, area)) == 0
     q = q.withColumn("_n", F.row_number().over(w)).withColumn("_silent", silent).where(~area | (F.col("_n") == 1))
     q = q.join(case.select(*CASE, "tally", "first_sheet"), CASE)
-    page = F.coalesce("page", F.lit(0))
+    page = F.coalesce("drawn_page", F.lit(0))
     sheet = F.coalesce(F.col("source") if "source" in q.columns else F.lit(None), "first_sheet")
     conflict = F.col("state") == "CONFLICT"
     said = outcome("", fid=F.when(conflict, pick(1)).otherwise(pick(2)), status=F.when(conflict, "CONFLICT").otherwise("PASS"),

@@ -37,20 +37,20 @@ def _admit(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Ite
     The state of a user is at most the hour's admitted times (ten) and a number of open jobs.
     """
     recent, active = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-    for pdf in chunks:
-        rows = []
-        for e in pdf.sort_values(["ts", "seq"]).itertuples():
-            if e.event in ("done", "error"):
-                active = max(0, active - 1)
-                continue
-            recent = [t for t in recent if t > e.ts - pd.Timedelta(seconds=HOUR)]
-            ok = active < V.CONCURRENT_JOBS and len(recent) < V.JOBS_PER_HOUR
-            rows.append((key[0], e.ts, e.seq, active, len(recent), ok))
-            if ok:
-                recent.append(e.ts)
-                active += 1
-        yield pd.DataFrame(rows, columns=["uid", "ts", "seq", "active", "recent", "admitted"])
+    rows = []
+    # a user's events of one trigger, in order; the trigger bounds how many there are
+    for e in pd.concat(list(chunks)).sort_values(["ts", "seq"]).itertuples():
+        if e.event in ("done", "error"):
+            active = max(0, active - 1)
+            continue
+        recent = [t for t in recent if t > e.ts - pd.Timedelta(seconds=HOUR)]
+        ok = active < V.CONCURRENT_JOBS and len(recent) < V.JOBS_PER_HOUR
+        rows.append((key[0], e.ts, e.seq, active, len(recent), ok))
+        if ok:
+            recent.append(e.ts)
+            active += 1
     state.update(([pd.Timestamp(t) for t in recent], int(active)))
+    yield pd.DataFrame(rows, columns=["uid", "ts", "seq", "active", "recent", "admitted"])
 
 
 def admission(events: DataFrame) -> DataFrame:
@@ -95,7 +95,9 @@ def _expire(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> It
         ended = ended or bool(pdf["event"].isin(["done", "error"]).any())
         begun = pdf[pdf["event"] == "accepted"]
         if len(begun):
-            start, drawing = begun["ts"].min(), bool((begun["source_format"] != "pdf").any())
+            first = begun["ts"].min()
+            start = first if start is None else min(start, first)
+            drawing = drawing or bool((begun["source_format"] != "pdf").any())
     state.update((ended,))
     if ended:
         state.remove()

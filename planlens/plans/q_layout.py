@@ -116,8 +116,8 @@ def lay_find_value(spark, d):
 @query("lay_trailing_pairs", DUCK_LINES + """,
 t AS (SELECT set_id, page, line_no, regexp_replace(trim(text), '[.,;]$', '') ||
         CASE length(text) % 4 WHEN 0 THEN ' 42' WHEN 1 THEN ' 250 LF' WHEN 2 THEN ' SF' ELSE '' END AS text FROM a_lines WHERE trim(text) <> ''),
-x AS (SELECT *, trim(regexp_extract(text, '^(.*?)((\\s+[,;]*(?i:\\d[\\d,]*|LF|SF|OPEN|NO|IN|[A-FHIMRSUV])[,;]*)+)$', 1)) AS l,
-             trim(regexp_extract(text, '^(.*?)((\\s+[,;]*(?i:\\d[\\d,]*|LF|SF|OPEN|NO|IN|[A-FHIMRSUV])[,;]*)+)$', 2)) AS v FROM t)
+x AS (SELECT *, trim(regexp_extract(text, '^(.*?)((\\s+[,;]*(?i:\\d[\\d,]*(?:\\.\\d+)?|LF|SF|OPEN|NO|IN|[A-FHIMRSUV])[,;]*)+)$', 1)) AS l,
+             trim(regexp_extract(text, '^(.*?)((\\s+[,;]*(?i:\\d[\\d,]*(?:\\.\\d+)?|LF|SF|OPEN|NO|IN|[A-FHIMRSUV])[,;]*)+)$', 2)) AS v FROM t)
 SELECT set_id, page, line_no, count(*) AS n FROM x WHERE l <> '' AND length(regexp_replace(l, '[^\\p{L}]', '', 'g')) >= 2
   AND NOT regexp_matches(l, '[0-9]') AND regexp_matches(v, '[0-9]') GROUP BY ALL""")
 def lay_trailing_pairs(spark, d):

@@ -237,3 +237,40 @@ def run_rules(spark, d):
 def run_rules_counts(spark, d):
     out = RU.run_rules(every_input(spark, d), spark)
     return out.groupBy("rule_id", "fid", "severity", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- rules fed by row tables -----------------------------------------------------------------------
+
+def row_inputs(spark, d):
+    i = every_input(spark, d)
+    i.resolved = i.doors = i.spaces = None
+    return i
+
+
+def by_set(arms, extra):
+    return CODE + f""",
+x AS ({extra})
+SELECT set_id, 'as_drawn' AS scenario, CASE WHEN r LIKE '!%' THEN substr(r, 2) END AS fid, CASE WHEN r NOT LIKE '!%' THEN r END AS reason
+FROM (SELECT bld.set_id, CASE {arms} END AS r FROM bld LEFT JOIN x ON x.set_id = bld.set_id)"""
+
+
+query("rule_doc_sheet_numbers", by_set("""WHEN n IS NULL THEN 'the set has no sheets to identify' WHEN u / n > 0.2 THEN '!H-SN'
+  WHEN u = 0 THEN 'every sheet''s number was read from its title block' ELSE 'sheets could not be identified; inside the reporting floor'""",
+  "SELECT l_orderkey AS set_id, count(*) AS n, count(*) FILTER (WHERE l_suppkey % 3 = 0) AS u FROM lineitem GROUP BY l_orderkey"))(
+    outcome_of("DOC.SHEET_NUMBERS", row_inputs))
+query("rule_egress_ceiling_height", by_set("""WHEN NOT coalesce(rcp, FALSE) THEN 'reflected ceiling plan not found in this set'
+  WHEN 6 + q / 10 + 1e-6 < 7.5 THEN '!M-CH' ELSE '!V-17'""",
+  "SELECT l_orderkey AS set_id, bool_or(l_returnflag = 'A') AS rcp, min(l_quantity) AS q FROM lineitem GROUP BY l_orderkey"))(
+    outcome_of("EGRESS.CEILING_HEIGHT", row_inputs))
+query("rule_egress_occupant_load_posting", by_set(f"""WHEN g IS NULL THEN '{ABSENT}' WHEN g <> 'A-3' THEN 'the occupant-load posting of 1004.9 applies only to assembly occupancies'
+  WHEN x.set_id IS NULL THEN 'sheet text not extracted on every sheet, so an absent posting cannot be established' WHEN posted THEN '!V-OLP' ELSE '!M-05'""",
+  "SELECT l_orderkey AS set_id, bool_or(l_returnflag = 'R') AS posted FROM lineitem GROUP BY l_orderkey"))(
+    outcome_of("EGRESS.OCCUPANT_LOAD_POSTING", row_inputs))
+query("rule_egress_factor_consistency", by_set("""WHEN x.set_id IS NULL THEN 'exit widths and the occupants each exit is rated for not extracted'
+  WHEN req IS NULL OR coalesce(occupant_load, 0) = 0 THEN 'required-width capacity factor not extracted'
+  WHEN 72 / (lo * 12) - req / occupant_load > 0.005 OR req / occupant_load - 72 / (hi * 12) > 0.005 THEN '!M-02' ELSE '!V-UF'""",
+  "SELECT l_orderkey AS set_id, min(l_quantity) AS lo, max(l_quantity) AS hi, any_value(f.req) AS req FROM lineitem LEFT JOIN first_ f ON f.set_id = l_orderkey AND f.section = '1005.3.2' GROUP BY l_orderkey"))(
+    outcome_of("EGRESS.FACTOR_CONSISTENCY", row_inputs))
+query("rule_fire_table_601_text", by_set("""WHEN coalesce(unrated, FALSE) AND t NOT IN ('II-B', 'V-B') THEN '!H-601' ELSE '!V-601'""",
+  "SELECT l_orderkey AS set_id, bool_or(l_returnflag <> 'R') AS unrated FROM lineitem GROUP BY l_orderkey"))(
+    outcome_of("FIRE.TABLE_601", row_inputs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from planlens.functions import vocabulary as V
-from planlens.operators.helpers import full_outer, name_of, numbered, rank_of
+from planlens.operators.helpers import attach, full_outer, name_of, numbered, rank_of
 
 # ---- fixed values: the levers. name; kind; default; low; high ------------------------------
 KNOBS = [("enabled", "bool", "true", None, None), ("severity_shift", "int", "0", -2.0, 2.0),
@@ -147,7 +147,7 @@ def next_version(profile_rules: DataFrame, changes: DataFrame, knob_dim: DataFra
         return F.when(F.col(f"_{k}.set").isNotNull(), new_v).otherwise(base).alias(k)
 
     version = profile_rules.agg(F.max("version").alias("_v"), F.first("profile_id").alias("_p"))
-    out = both.join(F.broadcast(version))  # one row: the version being left behind
+    out = attach(both, version)  # one row: the version being left behind
     return out.select(
         F.col("_p").alias("profile_id"), (F.col("_v") + 1).alias("version"), "rule_id",
         *[merged(k, kind, d) for k, kind, d, *_ in KNOBS],
@@ -170,8 +170,7 @@ def candidate_profile(versions: DataFrame, uids: DataFrame) -> DataFrame:
     without = uids.join(own.select(F.col("owner_uid").alias("uid")), "uid", "left_anti")
     active = active_profile(versions).drop("owner_uid", "scope")
     # one profile (bounded by the rules that exist) seeded per user without a candidate
-    seeded = without.select(F.col("uid").alias("owner_uid"), F.lit("candidate").alias("scope")).join(
-        F.broadcast(active))
+    seeded = attach(without.select(F.col("uid").alias("owner_uid"), F.lit("candidate").alias("scope")), active)
     return mine.unionByName(seeded.select(*mine.columns))
 
 

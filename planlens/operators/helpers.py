@@ -9,10 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from planlens.functions import vocabulary as V
 from planlens.session import cut_lineage
 
-#: A dimension read from data is broadcast only when its row count is known to be below this.
-BROADCAST_ROWS = 200_000
-
-
 def numbered(df: DataFrame, keys: list[str], coarse: list[str], fine: list, name: str = "ord"
              ) -> DataFrame:
     """row_number over ``keys`` in the order (coarse, fine) without one task per key.
@@ -31,6 +27,12 @@ def numbered(df: DataFrame, keys: list[str], coarse: list[str], fine: list, name
             .withColumn(name, F.col("_before") + F.col("_in")).drop("_before", "_in"))
 
 
+def attach(df: DataFrame, few: DataFrame) -> DataFrame:
+    """Every row with the rows of ``few``: one aggregate row, or the rows of one small profile."""
+    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(few.withColumn("_one", F.lit(1))), "_one")
+            .drop("_one"))
+
+
 def rank_of(c: Column, order: list[str]) -> Column:
     """Position of a value in a fixed order, 9 when it is not part of it."""
     out = F.lit(9)

@@ -119,7 +119,7 @@ t AS (SELECT set_id, page, line_no, regexp_replace(trim(text), '[.,;]$', '') ||
 x AS (SELECT *, trim(regexp_extract(text, '^(.*?)((\\s+[,;]*(?i:\\d[\\d,]*(?:\\.\\d+)?|LF|SF|OPEN|NO|IN|[A-FHIMRSUV])[,;]*)+)$', 1)) AS l,
              trim(regexp_extract(text, '^(.*?)((\\s+[,;]*(?i:\\d[\\d,]*(?:\\.\\d+)?|LF|SF|OPEN|NO|IN|[A-FHIMRSUV])[,;]*)+)$', 2)) AS v FROM t)
 SELECT set_id, page, line_no, count(*) AS n FROM x WHERE l <> '' AND length(regexp_replace(l, '[^\\p{L}]', '', 'g')) >= 2
-  AND NOT regexp_matches(l, '[0-9]') AND regexp_matches(v, '[0-9]') GROUP BY ALL""")
+  AND NOT regexp_matches(l, '[0-9]') AND len(list_filter(regexp_split_to_array(v, '\\s+'), lambda t: upper(t) NOT IN ('LF', 'SF', 'IN', 'A', 'V', ''))) > 0 GROUP BY ALL""")
 def lay_trailing_pairs(spark, d):
     n = F.length("text") % 4
     tail = F.when(n == 0, " 42").when(n == 1, " 250 LF").when(n == 2, " SF").otherwise("")

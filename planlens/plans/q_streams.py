@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planlens.operators import claims as C
+from planlens.operators.helpers import attach
 from planlens.plans.q_claims import claim_pairs, folder
 from planlens.plans.registry import query, table
 from planlens.sources.catalog import catalog
@@ -76,8 +77,8 @@ SELECT job_id FROM s WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.job_id = s.job_id
   AND epoch((SELECT max(ts) FROM e) - started) / 60 > CASE WHEN uid % 3 = 0 THEN 60 ELSE 15 END""")
 def st_stale(spark, d):
     e = day_jobs(events(spark, d))
-    now = F.broadcast(e.agg(F.max("ts").alias("now")))  # one row: the time of asking
-    return J.stale_jobs(e.join(now), F.col("now")).select("job_id")
+    now = e.agg(F.max("ts").alias("now"))  # one row: the time of asking
+    return J.stale_jobs(attach(e, now), F.col("now")).select("job_id")
 
 
 @query("st_expiring_stream")

@@ -133,6 +133,7 @@ class Rolling:
         self.base = int(rng.integers(1 << 62)) * 4 + 3
         self.inverse = pow(self.base, -1, 1 << 64)
         self.bytes = rng.integers(1 << 64, size=256, dtype=U64)
+        self.salt = U64(rng.integers(1 << 62) * 2 + 1)  # so that spans of one value differ between hashers
         self.powers = self.back = np.ones(1, U64)
 
     def _grow(self, n: int) -> None:
@@ -147,7 +148,7 @@ class Rolling:
         self._grow(len(values) + 1)
         total = np.zeros(len(values) + 1, U64)
         np.cumsum(values * self.powers[:len(values)], out=total[1:])
-        return mix((total[ends] - total[starts]) * self.back[starts] + (ends - starts).astype(U64))
+        return mix((total[ends] - total[starts]) * self.back[starts] + (ends - starts).astype(U64) * self.salt)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return self.spans(self.bytes[data], starts, ends)

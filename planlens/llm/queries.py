@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planlens.llm import chat, decontaminate, fingerprints, line_dedup, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
 from planlens.llm.common import Scratch
+from planlens.llm.oracle import ORACLE  # noqa: F401
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_substring_dedup, op2_sharding, op3_line_dedup, op4_fingerprints, op5_decontamination, op6_near_dedup, op7_warc, op8_chat, op9_toxicity,
     op10_mixing, pipeline)}
 
-ORACLE: dict[str, str] = {}
+

@@ -170,8 +170,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     found = base.mapInArrow(_emit_runs(window), "doc_id long, tkey long, mark long, run long")
     marks = (found.groupBy("mark").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), (F.min("run") != F.max("run")).alias("differ"))
              .where("lo < hi"))
-    shared = scratch.store(found.join(marks.drop("hi"), "mark").distinct())
-    firsts = shared.groupBy("mark", "run").agg(F.min(own).alias("first"))
+    # Each aggregate is written before it is joined, so that both sides are dealt anew and Spark can split a hot key.
+    marks = scratch.store(marks.drop("hi"))
+    shared = scratch.store(found.join(marks, "mark").distinct())
+    firsts = scratch.store(shared.groupBy("mark", "run").agg(F.min(own).alias("first")))
     judged = scratch.store(shared.join(firsts, ["mark", "run"]))
     gone = judged.where(F.col("first") < own)
     # a run's first holder speaks for it: its windows are counted where other runs of the mark differ
@@ -180,7 +182,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     both = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.tkey") == F.col("x.tkey"))
     texts = base.alias("d").join(asked.alias("x"), both).select("d.doc_id", "d.tkey", "d.text", "x.look")
     windows = scratch.store(texts.mapInArrow(_emit_windows(window), "doc_id long, tkey long, h1 long, h2 long, pos int"))
-    earliest = windows.groupBy("h1", "h2").agg(F.min(own).alias("first"), F.max(own).alias("latest")).where("first < latest").drop("latest")
+    earliest = scratch.store(windows.groupBy("h1", "h2").agg(F.min(own).alias("first"), F.max(own).alias("latest")).where("first < latest").drop("latest"))
     single = (windows.join(earliest, ["h1", "h2"]).where(F.col("first") < own)
               .groupBy("doc_id", "tkey").agg(F.collect_set("pos").alias("single")))
     gone = gone.groupBy("doc_id", "tkey").agg(F.collect_set("run").alias("gone"))

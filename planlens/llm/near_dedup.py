@@ -13,12 +13,15 @@ Big groups of copies are not paired with each other:
 * documents with equal sets are one node from the start;
 * in every node each document is first verified with one neighbour only, the smallest document it
   shares most nodes with. What that links is one class, and pairs inside a class need no more
-  work: a node's size is the number of its pairs *between* classes.
+  work: a node's size is the number of its pairs *between* classes;
+* what a node's comparison leaves undecided is not a list of pairs but clusters: documents joined
+  by signatures that agree at ``KEEP`` of the positions (for a pair at 0.8 and 64 positions that is
+  4.5 standard deviations below what is expected). Nodes still large at ``DEPTH`` are clusters as
+  they are.
 
-Every link is confirmed on the full sets. Small-node pairs are kept for confirmation when their
-signatures agree at ``KEEP`` of the positions (for a pair at 0.8 and 64 positions that is 4.5
-standard deviations below what is expected). Nodes still large at ``DEPTH`` (many documents
-alike, yet below the threshold) are compared whole, spread over tasks by document.
+Clusters are decided on the full sets, in blocks of about ``BLOCK`` documents. The largest class
+of a cluster only receives: every other document visits its blocks, and the later ones of its own
+kind. A task holds one block and streams the visitors, so no pair is a row unless it is a link.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; an empty
 or NULL text has no shingle and links with nothing, not even another empty one; a document
@@ -40,7 +43,8 @@ SHINGLE, PERCENT = 5, 80
 SIGNATURE = 64
 TREES, BRANCHES, DEEPER = 3, 3, 2
 PAIRS = 300  # pairs between classes up to which a node is compared exhaustively
-DEPTH = 8
+DEPTH = 4
+BLOCK = 128  # documents a task compares others with
 KEEP = 37  # agreeing positions of 64, of which a pair at 0.8 has 51 +- 3.2
 _RNG = np.random.default_rng(6)
 FACTORS = (_RNG.integers(1 << 63, size=SIGNATURE, dtype=U64) << U64(1)) | U64(1)
@@ -109,9 +113,11 @@ def _confirm(size: int, percent: int):
 
 
 def _compare(keep: int):
-    """Pairs of different classes inside each node, rows sorted by node; a node's rows are few (see PAIRS)."""
-    def pairs(node, row, label, sig):
-        out = []
+    """Clusters of each node, as edges (a, b) from every row to its cluster's smallest: rows of different
+    classes whose signatures agree enough. Rows come sorted by node; a node's rows are few (see PAIRS)."""
+    def edges(node, ids, label, sig):
+        root = np.arange(len(node))
+        pairs = []
         for step in range(1, len(node)):
             i = np.flatnonzero(node[step:] == node[:-step])
             if not len(i):
@@ -120,14 +126,21 @@ def _compare(keep: int):
             for lo in range(0, len(i), 1 << 16):
                 j = i[lo:lo + (1 << 16)]
                 j = j[(sig[j] == sig[j + step]).sum(1) >= keep]
-                out.append(np.stack([row[j], row[j + step]], 1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+                pairs.append(np.stack([j, j + step]))
+        a, b = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
+        while len(a):  # the smallest row each row is connected with
+            low = np.minimum(root[a], root[b])
+            before = root.copy()
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            root = root[root]
+            if (root == before).all():
+                break
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return ids[far], ids[root[far]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        def emit(part):
-            got = pairs(*part)
-            return pa.RecordBatch.from_arrays([pa.array(got.max(1)), pa.array(got.min(1))], ["a", "b"])
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -138,9 +151,55 @@ def _compare(keep: int):
             last = int(np.flatnonzero(part[0] != part[0][-1])[-1]) + 1 if part[0][0] != part[0][-1] else 0
             held = [x[last:] for x in part]
             if last:
-                yield emit([x[:last] for x in part])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in edges(*(x[:last] for x in part))], ["a", "b"])
         if held is not None:
-            yield emit(held)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in edges(*held)], ["a", "b"])
+    return run
+
+
+def _meet(size: int, percent: int):
+    """Links (a, b) inside the blocks: residents come first, each with all before it, then visitors with all residents.
+
+    A row is linked with one document of each other class at most; more would join nothing new.
+    """
+    def linked(found, have, new):
+        """Compare ``new`` rows (sets, first, ids, labels) with the ``have`` ones."""
+        hashes, first, ids, labels = new
+        old, owner, old_ids, old_labels, old_n = have
+        n, sizes = len(old_ids), np.diff(first)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        lo, hi = np.searchsorted(old, hashes, "left"), np.searchsorted(old, hashes, "right")
+        common = np.bincount(np.repeat(row, hi - lo) * n + owner[runs(lo, hi - lo)], minlength=len(ids) * n).reshape(len(ids), n)
+        good = (common > 0) & (100 * common >= percent * (sizes[:, None] + old_n[None, :] - common)) & (labels[:, None] != old_labels[None, :])
+        x, y = np.nonzero(good)
+        _, once = np.unique(np.stack([x, old_labels[y]], 1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+        found.append((ids[x[once]], old_ids[y[once]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, have = None, None
+        for part in chunks(batches, limit=1 << 18):
+            where = np.stack([part.column(c).to_numpy() for c in ("cluster", "block")], 1)
+            ids, labels = part.column("id").to_numpy(), part.column("label").to_numpy()
+            visitor = part.column("visitor").to_numpy(zero_copy_only=False)
+            hashes, first = shingles(part.column("text"), size)
+            cut = np.flatnonzero(np.append(True, (where[1:] != where[:-1]).any(1) | (visitor[1:] != visitor[:-1])))
+            found: list = []
+            for lo, hi in zip(cut, np.append(cut[1:], len(ids))):
+                if key is None or tuple(where[lo]) != key:
+                    key, have = tuple(where[lo]), (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                new = (hashes[first[lo]:first[hi]], first[lo:hi + 1] - first[lo], ids[lo:hi], labels[lo:hi])
+                if len(have[2]):
+                    linked(found, have, new)
+                if not visitor[lo]:
+                    owner = np.repeat(np.arange(hi - lo), np.diff(new[1]))
+                    order = np.argsort(new[0], kind="stable")
+                    own = (new[0][order], owner[order], new[2], new[3], np.diff(new[1]))
+                    linked(found, own, new)
+                    both, who = np.concatenate([have[0], new[0]]), np.concatenate([have[1], owner + len(have[2])])
+                    order = np.argsort(both, kind="stable")
+                    have = (both[order], who[order], *(np.concatenate([x, y]) for x, y in zip(have[2:], own[2:])))
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
     return run
 
 
@@ -156,15 +215,37 @@ def links(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int =
     speaker = (members.join(ids, ["s1", "s2"]).where(own == F.col("id"))
                .groupBy("id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "tkey")).alias("k")).select("id", "k.*"))
 
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """(id, text) of the wanted ids; no other text travels on from the join."""
+        return texts.join(wanted.distinct().join(speaker, "id"), ["doc_id", "tkey"]).dropDuplicates(["id"]).select("id", "text")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs that hold on their full sets. Only texts in a pair travel on from the first join."""
-        need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(speaker, "id")
-        whole = scratch.store(texts.join(need, ["doc_id", "tkey"]).dropDuplicates(["id"]).select("id", "text"))
+        """The pairs that hold on their full sets."""
+        whole = scratch.store(with_texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
         a, b = whole.select(F.col("id").alias("a"), F.col("text").alias("ta")), whole.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         good = scratch.store(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(size, percent), "a long, b long"))
         scratch.drop(whole)
         return good
 
+    def decided(clusters: DataFrame) -> DataFrame:
+        """The links between classes inside the clusters (cluster, id, label)."""
+        per = clusters.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+        per = (per.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("classes"))
+               .where("classes > 1").select("cluster", "n", F.col("most.n").alias("g"), F.col("most.label").alias("main")))
+        placed = clusters.join(scratch.store(per), "cluster")
+        n_g, n_r = F.ceil(F.col("g") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("g")) / BLOCK).cast("int")
+        spread = F.xxhash64("id", F.lit(seed + 2))
+        one, receives = F.col("n") <= BLOCK, F.col("label") == F.col("main")
+        own = F.when(one, F.lit(0)).when(receives, F.pmod(spread, n_g).cast("int")).otherwise(n_g + F.pmod(spread, n_r).cast("int"))
+        placed = placed.withColumns({"own": own, "g": n_g, "all": n_g + n_r})
+        blocks = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda b: (b < F.col("g")) | (b > F.col("own")))
+        visits = F.when(one | receives, F.array().cast("array<int>")).otherwise(blocks)
+        at = F.concat(F.array(F.struct(F.col("own").alias("block"), F.lit(False).alias("visitor"))), F.transform(visits, lambda b: F.struct(b.alias("block"), F.lit(True).alias("visitor"))))
+        rows = scratch.store(placed.select("cluster", "id", "label", F.explode(at).alias("at")).select("cluster", "id", "label", "at.*"))
+        whole = scratch.store(with_texts(rows.select("id")))
+        return (rows.join(whole, "id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "visitor", "id")
+                .mapInArrow(_meet(size, percent), "a long, b long"))
+
     def branched(rows: DataFrame, first: bool) -> DataFrame:
         """The children of every row: positions chosen by the path, documents sent on by their value there."""
         if first:
@@ -197,27 +278,23 @@ def links(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int =
         large = open_.where(F.col("pairs") > PAIRS).select("node", "id", "label")
         more = not large.isEmpty()
         if more and depth == DEPTH:
-            got = got.unionByName(_whole(large.join(sets.select("id", "sig"), "id")))
+            heads = large.groupBy("node").agg(F.min("id").alias("b"))
+            got = got.unionByName(large.join(heads, "node").where("id <> b").select(F.col("id").alias("a"), "b"))
         got = scratch.store(got.distinct())
         found = got if found is None else found.unionByName(got)
         if not more or depth == DEPTH:
             break
         level = branched(large.select("node", "id").join(sets.select("id", "sig"), "id"), False).select("node", "id")
-    more_edges = confirmed(scratch.store(found.distinct()))
+    clusters = components(found.distinct(), scratch)
+    labelled = clusters.join(roots, clusters["id"] == roots["id"], "left").select(
+        clusters["root"].alias("cluster"), clusters["id"], F.coalesce(roots["root"], clusters["id"]).alias("label"))
+    more_edges = scratch.store(decided(scratch.store(labelled)).distinct())
     if not more_edges.isEmpty():
         roots = components(edges.unionByName(more_edges), scratch)
     keys = members.join(ids, ["s1", "s2"], "left").select("doc_id", "tkey", "n_shingles", own.alias("own"), F.when(F.col("n_shingles") > 0, F.col("id")).alias("id"))
     return keys, roots
 
 
-def _whole(rows: DataFrame) -> DataFrame:
-    """All pairs of different classes in the nodes that branching could not part, kept when their signatures agree."""
-    a = rows.select("node", F.col("id").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa"))
-    b = rows.select("node", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb"))
-    alike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return a.join(b, "node").where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (alike >= KEEP)).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, tkey, n_shingles, component_id (the smallest doc_id reachable), kept."""
     scratch = Scratch(docs.sparkSession)

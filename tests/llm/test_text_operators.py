@@ -449,7 +449,7 @@ def test_without_labels(spark, docs, none):
 def test_targets_reshare():
     goal = mixing.targets({"a": 10, "b": 1000, None: 500, "c": 0})
     assert goal["a"] == 30 and goal["c"] == 0 and sum(goal.values()) == 1510
-    assert goal["b"] / goal[None] == 2 / 5
+    assert 5 * goal["b"] == 2 * goal[None]
     assert mixing.targets({}) == {}
 
 
@@ -478,7 +478,7 @@ def test_heavier_documents_come_first(spark):
     rows = [(i, ("abcde " if i % 2 else "x" * 60 + " ") * 20, "s1" if i < 2000 else "s2") for i in range(2400)]
     out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id < 2000")
     plain, odd_ = (out.where(f"doc_id % 2 = {k} and times = 1").count() for k in (1, 0))
-    assert plain > 1.5 * odd_ > 0
+    assert plain > 1.3 * odd_ > 0
 
 
 def test_mix_of_odd_rows(odd, none):

@@ -32,7 +32,6 @@ TOTAL_LABEL = r"(?i)^\s*(?:SUB[\s\-]?)?TOTALS?\b"
 BANNER = (
     r"(?i)\b(?:TABLES?|SECTIONS?)\s+((?:\d{3,4}(?:\.\d+)*)"
     r"(?:\s*(?:,|&|AND)\s*\d{3,4}(?:\.\d+)*)*)")
-EDITION_LINE = r"(?i)\b(\d)(?:ST|ND|RD|TH)\s+EDITION\b"
 LEADING_JUNK = r"^[\|\[\]\{\}<>_\-—–\.,;:\s]+"
 TRAILING_JUNK = r"[\|\[\]\{\}<>_\s]+$"
 EXIT_HEADING = r"^(EXIT(?:\s+DISCHARGE)?\s*(?:#|NO\.?)?\s*\d+[A-Z]?)\b"
@@ -60,7 +59,6 @@ LOAD_POSTING = (
 STATED_LOAD = r"(?i)\bOCCUPANT\s+LOAD\s*[:=]\s*([\d,]+)"
 NAMES_THE_CODE = r"\bFLORIDA\s+BUILDING\s+CODE\b|\bFBC\b|\bF\.B\.C\."
 AREA_LAYER = r"(?i)(^|[^A-Z])(AREA|ROOM|ROOMS|SPACE|SPACES|GROSS|OCCP)([^A-Z]|$)"
-EGRESS_LAYER = "egress path"
 
 # ---- word lists -------------------------------------------------------------------------
 UNITS = ["SF", "S.F.", "SQ", "SQ.", "FT", "FT.", "FEET", "LF", "IN", "IN.", "MPH", "CFM", "PSF",
@@ -85,7 +83,7 @@ EDITION_ORDINALS = {"6TH": "fbc2017", "SIXTH": "fbc2017", "7TH": "fbc2020", "SEV
 EDITION_YEARS = {"2017": "fbc2017", "2020": "fbc2020", "2023": "fbc2023", "2026": "fbc2026"}
 SPRINKLER_PRESENT = ["NFPA13", "NFPA13R", "NFPA13D", "YES"]
 SPRINKLER_CREDITED = ["NFPA13", "NFPA13R", "YES"]
-DISCIPLINES = "G GN T C L A AA AG AD AR S M E P FP FA LS ID K EL SP".split()
+DISCIPLINES = ["G", "GN", "T", "C", "L", "A", "AA", "AG", "AD", "AR", "S", "M", "E", "P", "FP", "FA", "LS", "ID", "K", "EL", "SP"]
 REQUIRED_HEADS = ["REQUIRED", "REQ", "MIN", "MAX", "MINIMUM", "MAXIMUM", "ALLOWABLE", "ALLOWED",
                   "LIMIT"]
 PROVIDED_HEADS = ["PROVIDED", "ACTUAL", "PROPOSED", "DESIGN", "MEASURED"]

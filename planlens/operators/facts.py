@@ -23,7 +23,7 @@ FACT = ["set_id", "field", "role"]
 VALUE = ["value_type", "value_num", "value_str", "value_bool"]
 
 #: catalog field -> the declared question it answers
-QUESTION_FOR = {c[0]: c[8] for c in CATALOG if c[8]}
+QUESTION_FOR = {c["field"]: c["question"] for c in CATALOG if c["question"]}
 
 
 def dedupe_claims(claims: DataFrame) -> DataFrame:

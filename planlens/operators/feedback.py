@@ -8,23 +8,51 @@ from planlens.functions import vocabulary as V
 
 LADDER = ["confirmation", "auto_tunable", "needs_component", "escalate"]
 
-# ---- fixed values: the taxonomy. subject; aspect; required; verdicts -------------------------
-# a verdict is name:remedy[:knob:delta]; the remedy g is praise, t tunable, c component, j judgement
+# ---- fixed values: the taxonomy ----------------------------------------------------------
+# subject, aspect, must be answered, verdict, remedy, knob, delta
 TAXONOMY = [
-    ("finding", "conclusion", False, "correct:g false_positive:t:severity_shift:-1 "
-     "not_applicable:t:scope_occupancy:exclude right_wrong_reason:j duplicate:c"),
-    ("finding", "severity", False, "right:g overstated:t:severity_shift:-1 "
-     "understated:t:severity_shift:1 not_a_finding:t:enabled:false"),
-    ("finding", "citation", False,
-     "right:g wrong_section:j wrong_edition:j exception_missed:j no_citation:j"),
-    ("finding", "evidence", False, "right:g misread_value:c misread_table:c wrong_scale:c superseded:c"),
-    ("finding", "location", False, "right:g wrong_anchor:c wrong_sheet:c"),
-    ("finding", "clarity", False, "clear:g ambiguous:j no_action:j too_technical:j"),
-    ("coverage", "gap", True,
-     "missed_violation:c missed_check:c avoidable_abstention:c sheet_not_reviewed:c"),
-    ("abstention", "standdown", True, "correctly_abstained:g data_on_sheet:c data_in_image:c "
-     "layer_named_differently:c corpus_missing:j rule_failed:c should_not_apply:t:scope_occupancy:exclude"),
-    ("sweep", "sweep", True, "agrees:g missed_items:c wrong_items:j mixed:j unreadable_set:c"),
+    ("finding", "conclusion", False, "correct", "good", None, None),
+    ("finding", "conclusion", False, "false_positive", "tunable", "severity_shift", "-1"),
+    ("finding", "conclusion", False, "not_applicable", "tunable", "scope_occupancy", "exclude"),
+    ("finding", "conclusion", False, "right_wrong_reason", "judgement", None, None),
+    ("finding", "conclusion", False, "duplicate", "component", None, None),
+    ("finding", "severity", False, "right", "good", None, None),
+    ("finding", "severity", False, "overstated", "tunable", "severity_shift", "-1"),
+    ("finding", "severity", False, "understated", "tunable", "severity_shift", "1"),
+    ("finding", "severity", False, "not_a_finding", "tunable", "enabled", "false"),
+    ("finding", "citation", False, "right", "good", None, None),
+    ("finding", "citation", False, "wrong_section", "judgement", None, None),
+    ("finding", "citation", False, "wrong_edition", "judgement", None, None),
+    ("finding", "citation", False, "exception_missed", "judgement", None, None),
+    ("finding", "citation", False, "no_citation", "judgement", None, None),
+    ("finding", "evidence", False, "right", "good", None, None),
+    ("finding", "evidence", False, "misread_value", "component", None, None),
+    ("finding", "evidence", False, "misread_table", "component", None, None),
+    ("finding", "evidence", False, "wrong_scale", "component", None, None),
+    ("finding", "evidence", False, "superseded", "component", None, None),
+    ("finding", "location", False, "right", "good", None, None),
+    ("finding", "location", False, "wrong_anchor", "component", None, None),
+    ("finding", "location", False, "wrong_sheet", "component", None, None),
+    ("finding", "clarity", False, "clear", "good", None, None),
+    ("finding", "clarity", False, "ambiguous", "judgement", None, None),
+    ("finding", "clarity", False, "no_action", "judgement", None, None),
+    ("finding", "clarity", False, "too_technical", "judgement", None, None),
+    ("coverage", "gap", True, "missed_violation", "component", None, None),
+    ("coverage", "gap", True, "missed_check", "component", None, None),
+    ("coverage", "gap", True, "avoidable_abstention", "component", None, None),
+    ("coverage", "gap", True, "sheet_not_reviewed", "component", None, None),
+    ("abstention", "standdown", True, "correctly_abstained", "good", None, None),
+    ("abstention", "standdown", True, "data_on_sheet", "component", None, None),
+    ("abstention", "standdown", True, "data_in_image", "component", None, None),
+    ("abstention", "standdown", True, "layer_named_differently", "component", None, None),
+    ("abstention", "standdown", True, "corpus_missing", "judgement", None, None),
+    ("abstention", "standdown", True, "rule_failed", "component", None, None),
+    ("abstention", "standdown", True, "should_not_apply", "tunable", "scope_occupancy", "exclude"),
+    ("sweep", "sweep", True, "agrees", "good", None, None),
+    ("sweep", "sweep", True, "missed_items", "component", None, None),
+    ("sweep", "sweep", True, "wrong_items", "judgement", None, None),
+    ("sweep", "sweep", True, "mixed", "judgement", None, None),
+    ("sweep", "sweep", True, "unreadable_set", "component", None, None),
 ]
 NEEDS_REGION = ["highlight", "box", "cloud", "strikeout"]
 NEEDS_PATH = ["arrow", "freehand"]
@@ -33,14 +61,8 @@ SUBJECTS = sorted({t[0] for t in TAXONOMY})
 
 def taxonomy(spark: SparkSession) -> DataFrame:
     """(subject, aspect, required, verdict, remedy, knob, delta)."""
-    names = {"g": "good", "t": "tunable", "c": "component", "j": "judgement"}
-    rows = []
-    for subject, aspect, required, verdicts in TAXONOMY:
-        for v in verdicts.split():
-            name, remedy, knob, delta = (v.split(":") + [None, None])[:4]
-            rows.append((subject, aspect, required, name, names[remedy], knob, delta))
-    return spark.createDataFrame(rows, "subject string, aspect string, required boolean, "
-                                       "verdict string, remedy string, knob string, delta string")
+    return spark.createDataFrame(TAXONOMY, "subject string, aspect string, required boolean, "
+                                           "verdict string, remedy string, knob string, delta string")
 
 
 def validate_feedback(feedback: DataFrame, tax: DataFrame) -> DataFrame:
@@ -190,7 +212,3 @@ def markup_totals(markups: DataFrame) -> DataFrame:
     """Per set: annotations by kind, how many carry a comment, how many sheets."""
     kinds = markups.groupBy("set_id", "kind").agg(F.count(F.lit(1)).alias("n"))
     return kinds
-
-
-def verdict_of(remedy: Column) -> Column:
-    return F.when(remedy == "good", "good").otherwise("defect")

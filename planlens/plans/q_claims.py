@@ -12,7 +12,7 @@ from planlens.plans.adapters import DUCK_LINES, DUCK_WORDS, adapter, lines, with
 from planlens.plans.registry import query, table
 from planlens.session import cut_lineage, ensure_checkpoint_dir
 from planlens.sources import readers as R, sinks as S
-from planlens.sources.catalog import CATALOG, CATALOG_FIELDS, catalog
+from planlens.sources.catalog import CATALOG_FIELDS, catalog
 from planlens.sources.corpus import corpus
 
 WIDTH, HEIGHT = 612.0, 792.0

@@ -30,16 +30,44 @@ POSTING_GROUPS = ["A", "A-1", "A-2", "A-3", "A-4", "A-5"]
 PLUMBING_ROWS = [("A-3", "assembly halls and gymnasiums", 125.0, 65.0, 200.0, 200.0, 500.0, 1.0)]
 TYPES = ["I-A", "I-B", "II-A", "II-B", "III-A", "III-B", "IV", "V-A", "V-B"]
 HEIGHT_GROUPS = ["A", "B", "E", "F", "M", "S", "U"]
-HEIGHT_FT = dict(zip(TYPES, [(INF, INF), (160, 180), (65, 85), (55, 75), (65, 85), (55, 75),
-                             (65, 85), (50, 70), (40, 60)]))
-# storeys without a sprinkler system; with one, every finite limit is one more
-STORIES_NS = {"B": [INF, 11, 5, 3, 5, 3, 5, 3, 2], "A-3": [INF, 11, 3, 2, 3, 2, 3, 2, 1],
-              "M": [INF, 11, 4, 2, 4, 2, 4, 3, 1], "S-1": [INF, 11, 4, 2, 3, 2, 4, 3, 1]}
-# area without a sprinkler system; one storey sprinklered is 4 times, several storeys 3 times
-AREA_NS = {"A-3": [INF, INF, 15500, 9500, 14000, 9500, 15000, 11500, 6000],
-           "B": [INF, INF, 37500, 23000, 28500, 19000, 36000, 18000, 9000],
-           "M": [INF, INF, 21500, 12500, 18500, 12500, 20500, 14000, 9000],
-           "S-1": [INF, 48000, 26000, 17500, 26000, 17500, 25500, 14000, 9000]}
+# height limit in feet, without and with a sprinkler system
+HEIGHT_FT = {
+    "I-A": [INF, INF],
+    "I-B": [160, 180],
+    "II-A": [65, 85],
+    "II-B": [55, 75],
+    "III-A": [65, 85],
+    "III-B": [55, 75],
+    "IV": [65, 85],
+    "V-A": [50, 70],
+    "V-B": [40, 60],
+}
+# storeys by type in the order of TYPES, without and with a sprinkler system
+STORIES = {
+    "B": {"without": [INF, 11, 5, 3, 5, 3, 5, 3, 2],
+          "with": [INF, 12, 6, 4, 6, 4, 6, 4, 3]},
+    "A-3": {"without": [INF, 11, 3, 2, 3, 2, 3, 2, 1],
+          "with": [INF, 12, 4, 3, 4, 3, 4, 3, 2]},
+    "M": {"without": [INF, 11, 4, 2, 4, 2, 4, 3, 1],
+          "with": [INF, 12, 5, 3, 5, 3, 5, 4, 2]},
+    "S-1": {"without": [INF, 11, 4, 2, 3, 2, 4, 3, 1],
+          "with": [INF, 12, 5, 3, 4, 3, 5, 4, 2]},
+}
+# square feet by type in the order of TYPES: without a sprinkler system; sprinklered, one storey; sprinklered, several storeys
+AREA = {
+    "A-3": {"without": [INF, INF, 15500, 9500, 14000, 9500, 15000, 11500, 6000],
+          "one_storey": [INF, INF, 62000, 38000, 56000, 38000, 60000, 46000, 24000],
+          "several": [INF, INF, 46500, 28500, 42000, 28500, 45000, 34500, 18000]},
+    "B": {"without": [INF, INF, 37500, 23000, 28500, 19000, 36000, 18000, 9000],
+          "one_storey": [INF, INF, 150000, 92000, 114000, 76000, 144000, 72000, 36000],
+          "several": [INF, INF, 112500, 69000, 85500, 57000, 108000, 54000, 27000]},
+    "M": {"without": [INF, INF, 21500, 12500, 18500, 12500, 20500, 14000, 9000],
+          "one_storey": [INF, INF, 86000, 50000, 74000, 50000, 82000, 56000, 36000],
+          "several": [INF, INF, 64500, 37500, 55500, 37500, 61500, 42000, 27000]},
+    "S-1": {"without": [INF, 48000, 26000, 17500, 26000, 17500, 25500, 14000, 9000],
+          "one_storey": [INF, 192000, 104000, 70000, 104000, 70000, 102000, 56000, 36000],
+          "several": [INF, 144000, 78000, 52500, 78000, 52500, 76500, 42000, 27000]},
+}
 # rating hours: frame, bearing exterior, bearing interior, nonbearing interior, floor, roof;
 # NULL stands for heavy timber
 RATINGS = {"I-A": (3, 3, 3, 0, 2, 1.5), "I-B": (2, 2, 2, 0, 2, 1), "II-A": (1, 1, 1, 0, 1, 1),
@@ -80,10 +108,10 @@ def corpus(spark: SparkSession) -> dict[str, DataFrame]:
     frame = spark.createDataFrame
     height = [(g, t, s, float(HEIGHT_FT[t][s]))
               for g, t, s in product(HEIGHT_GROUPS, TYPES, (0, 1))]
-    stories = [(g, t, bool(s), float(row[i] + s))
-               for g, row in STORIES_NS.items() for i, t in enumerate(TYPES) for s in (0, 1)]
-    area = [(g, t, float(row[i]), float(4 * row[i]), float(3 * row[i]))
-            for g, row in AREA_NS.items() for i, t in enumerate(TYPES)]
+    stories = [(g, t, s, float(row["with" if s else "without"][i]))
+               for g, row in STORIES.items() for i, t in enumerate(TYPES) for s in (False, True)]
+    area = [(g, t, *(float(row[k][i]) for k in ("without", "one_storey", "several")))
+            for g, row in AREA.items() for i, t in enumerate(TYPES)]
     ratings = [(t, *(None if v is None else float(v) for v in RATINGS[t])) for t in TYPES]
     exits, low = [], -INF
     for top, need in EXIT_STEPS:

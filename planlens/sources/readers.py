@@ -19,7 +19,7 @@ _ATTR = (f"struct<type:string,page:int,kind:string,tag:string,prompt:string,text
 SIDECAR = (f"set_id bigint, pages array<struct<page:int,number:string,title:string,layout:string,"
            f"text:array<struct<text:string,handles:array<string>,box:array<double>>>>>, claims array<{_ATTR}>")
 _KIND = {"enum": "string", "text": "string", "bool": "boolean", "number": "double", "integer": "int"}
-DECLARATIONS = "set_id bigint, " + ", ".join(f"{q[0]} {_KIND[q[1]]}" for q in QUESTIONS)
+DECLARATIONS = "set_id bigint, " + ", ".join(f"{q['field']} {_KIND[q['kind']]}" for q in QUESTIONS)
 OCR_COLUMNS = ["level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width",
                "height", "conf", "text"]
 

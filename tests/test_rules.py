@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from planlens.operators import facts as FX, reconcile as R, register as RG, rules as RU
 from planlens.plans.review import review
 from planlens.sources.catalog import questions
-from planlens.sources.corpus import AREA_NS, RATINGS, STORIES_NS, TYPES, corpus
+from planlens.sources.corpus import AREA, RATINGS, STORIES, TYPES, corpus
 
 LONG = "set_id bigint, field string, value_num double, value_str string, value_bool boolean"
 
@@ -114,7 +114,7 @@ def test_corpus_invariants(spark):
     d = corpus(spark)
     assert d["area"].where("s1 <> 4 * ns or sm <> 3 * ns").count() == 0
     assert d["area"].where("grp = 'M' and ctype = 'V-B' and sm = 27000").count() == 1
-    assert d["stories"].count() == len(STORIES_NS) * 9 * 2 and len(RATINGS) == len(TYPES) == len(AREA_NS["B"])
+    assert d["stories"].count() == len(STORIES) * 9 * 2 and len(RATINGS) == len(TYPES) == len(AREA["B"]["without"])
 
 
 def test_review_end_to_end(spark):

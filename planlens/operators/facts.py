@@ -229,8 +229,9 @@ def resolved_facts(claims: DataFrame, with_sources: bool = False) -> DataFrame:
     graded = confidence(ranked, clusters)
     strong = F.when((F.col("rank") > 1) & (F.col("max_score") >= V.RIVAL_SCORE), 1).otherwise(0)
     n_rivals = F.sum(strong).over(W.partitionBy(*FACT))
-    return (graded.withColumn("n_rivals", n_rivals).where("rank = 1")
-            .select(*FACT, "value.*", "confidence", "n_rivals", "n_pages", "n_sheets", "n_claims", "n_methods",
+    stating = stating_sheets(grouped, ranked).groupBy(*FACT).agg(F.count_if("stating").alias("n_stating"))
+    return (graded.withColumn("n_rivals", n_rivals).where("rank = 1").join(stating, FACT)
+            .select(*FACT, "value.*", "confidence", "n_rivals", "n_pages", "n_sheets", "n_stating", "n_claims", "n_methods",
                     "max_score", "lead"))
 
 

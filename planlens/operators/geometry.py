@@ -245,13 +245,13 @@ def empty_share(framed_views: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.sum(F.when(F.col("drawn") == 0, F.col("area")).otherwise(0.0)), F.sum("area")), F.lit(0.0)).alias("share"))
 
 
-def expanded_count(inserts: DataFrame, contents: DataFrame, cap: int, max_depth: int = 32) -> DataFrame:
+def expanded_count(inserts: DataFrame, contents: DataFrame, cap: int) -> DataFrame:
     """Entities drawn once nested blocks are expanded, per set, capped at cap + 1.
 
     ``contents``: set_id, block, plain (entities that are no insert). ``inserts``: set_id, block
     (NULL: a layout), child, copies, attribs, summed per (block, child) before the walk. The walk
-    goes level by level; a block that contains itself never empties the frontier and counts as
-    past the cap.
+    goes level by level, however deep blocks nest; a chain with more links than its set has blocks
+    comes back to one of them, so the set counts as past the cap.
     """
     past = float(cap + 1)
     edge = inserts.groupBy("set_id", "block", "child").agg(
@@ -263,17 +263,22 @@ def expanded_count(inserts: DataFrame, contents: DataFrame, cap: int, max_depth:
         F.least(F.sum("n"), F.lit(past)).alias("mult"))
     total = edge.where("block is null").groupBy("set_id").agg(F.sum("own").alias("t")).unionByName(
         contents.where("block is null").groupBy("set_id").agg(F.sum("plain").cast("double").alias("t")))
-    for _ in range(max_depth):
+    blocks = edge.groupBy("set_id").agg(F.count_distinct("child").alias("blocks"))
+    depth = 0
+    while True:
         front = cut_lineage(front)
+        if depth:
+            turned = front.join(blocks.where(F.col("blocks") < depth + 1), "set_id", "left_semi")
+            total = total.unionByName(turned.select("set_id", F.lit(past).alias("t")))
+            front = front.join(blocks.where(F.col("blocks") >= depth + 1), "set_id", "left_semi")
         if front.isEmpty():
             break
+        depth += 1
         here = front.join(plain, ["set_id", "at"]).groupBy("set_id").agg(F.sum(F.col("mult") * F.col("plain")).alias("t"))
         down = front.join(kids, ["set_id", "at"])
         nested = down.groupBy("set_id").agg(F.sum(F.col("mult") * F.col("own")).alias("t"))
         total = total.unionByName(here).unionByName(nested)
         front = down.groupBy("set_id", F.col("next").alias("at")).agg(F.least(F.sum(F.col("mult") * F.col("n")), F.lit(past)).alias("mult"))
-    else:
-        total = total.unionByName(front.select("set_id", F.lit(past).alias("t")))
     return total.groupBy("set_id").agg(F.least(F.sum("t"), F.lit(past)).cast("bigint").alias("n_entities"))
 
 

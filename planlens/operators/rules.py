@@ -744,6 +744,11 @@ def door_rules(i: Inputs, case: DataFrame) -> DataFrame:
     return _rows(bad, per).unionByName(_rows(j.withColumn("_o", none).where("_o is not null"), F.col("_o")))
 
 
+def suffix(n: Column) -> Column:
+    """What tells the n-th finding of one kind from the first: nothing, b to z, then -27, -28, ..."""
+    return F.when(n == 1, "").when(n <= 26, F.char(n + 96)).otherwise(F.concat(F.lit("-"), n.cast("string")))
+
+
 @frame_rule("XSHEET.STATED_CONFLICT")
 def conflict_rules(i: Inputs, case: DataFrame) -> DataFrame:
     """The same fact stated differently: a finding per fact with rivals, a roll-up when none."""
@@ -752,10 +757,10 @@ def conflict_rules(i: Inputs, case: DataFrame) -> DataFrame:
     if i.resolved is None:
         return _rows(every, abstained(r, "stated values not extracted"))
     folded = (F.col("field") == "egress.common_path") & (F.col("role") == "required")
-    f = i.resolved.withColumn("_c", (F.col("n_rivals") > 0) & ~folded).withColumn("_s", (F.col("n_sheets") > 1) & (F.col("n_rivals") == 0))
+    f = i.resolved.withColumn("_c", (F.col("n_rivals") > 0) & ~folded).withColumn("_s", (F.col("n_stating") > 1) & (F.col("n_rivals") == 0))
     n = F.row_number().over(W.partitionBy("set_id").orderBy("field", "role"))  # facts of a set that conflict
     bad = every.join(f.where("_c").withColumn("n", n), "set_id")
-    fid = F.when(F.col("n") == 1, "M-XS").otherwise(F.concat(F.lit("M-XS"), F.char(F.col("n") + 96)))
+    fid = F.concat(F.lit("M-XS"), suffix(F.col("n")))
     per = outcome(r, fid=fid, status="OPEN", severity="MEDIUM", discipline="General", page=F.col("lead.page"), sheet=F.col("lead.sheet"),
                   anchor=F.coalesce(F.nullif("lead.label", F.lit("")), F.col("lead.raw")), title=F.concat(F.col("field"), F.lit(" is stated differently")), code="107.2.1", basis="drawings")
     agg = f.groupBy("set_id").agg(F.count_if("_c").alias("c"), F.count_if("_s").alias("s"), F.min_by("lead", F.when(F.col("_s"), F.struct("field", "role"))).alias("lead"))
@@ -796,7 +801,7 @@ def space_rules(i: Inputs, case: DataFrame) -> DataFrame:
     sp = sp.withColumn("kind", F.when(zero, "zero").when(live & F.col("want").isNotNull(), F.when(same, "match").otherwise("wrong")).when(live, "unnamed").otherwise("none"))
     n = F.row_number().over(W.partitionBy("set_id", "kind").orderBy("page", "ord"))  # a set's few failing spaces
     bad = every.join(sp.where("kind in ('zero', 'wrong')").withColumn("n", n), "set_id")
-    letter = F.when(F.col("n") == 1, "").otherwise(F.char(F.col("n") + 96))
+    letter = suffix(F.col("n"))
     z = F.col("kind") == "zero"
     sheet = F.concat(F.lit("p"), (F.col("page") + 1).cast("string"))
     per = outcome(r, fid=F.concat(F.when(z, "L-01").otherwise("H-01"), letter), status="OPEN", severity=F.when(z, "LOW").otherwise("HIGH"), discipline="Occupancy",

@@ -42,12 +42,18 @@ def st_limits(spark, d):
     return J.pressure(events(spark, d)).select("job_id", "active", "recent", "refused")
 
 
-@query("st_limits_stream", """
-SELECT event_id AS seq FROM events WHERE event_type = 'signup'""")
+@query("st_limits_stream", """WITH RECURSIVE e AS (SELECT event_id AS seq, user_id AS uid, ts, event_type = 'signup' AS asks FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+s AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts, seq) AS n FROM e),
+f AS (SELECT DISTINCT uid, 0::BIGINT AS n, NULL::BIGINT AS seq, false AS asks, []::TIMESTAMP[] AS recent, 0 AS open, 0 AS active, 0 AS had, false AS ok FROM s
+  UNION ALL
+  SELECT uid, n, seq, asks, CASE WHEN ok THEN list_append(r, ts) ELSE r END, CASE WHEN NOT asks THEN greatest(0, open - 1) WHEN ok THEN open + 1 ELSE open END, open, len(r)::INTEGER, ok
+  FROM (SELECT *, asks AND open < 3 AND len(r) < 10 AS ok FROM (
+    SELECT s.uid, s.n, s.seq, s.asks, s.ts, f.open, CASE WHEN s.asks THEN list_filter(f.recent, lambda t: t > s.ts - INTERVAL 1 HOUR) ELSE f.recent END AS r FROM f JOIN s ON s.uid = f.uid AND s.n = f.n + 1)))
+SELECT seq, active, had AS recent, ok AS admitted FROM f WHERE asks""")
 def st_limits_stream(spark, d):
-    """The exact, stateful decision: one per submission."""
+    """The exact, stateful decision on each submission."""
     out = J.run_to_end(J.admission(shaped(event_stream(spark, d))), folder(spark, "limits"))
-    return out.select("seq")
+    return out.select("seq", "active", "recent", "admitted")
 
 
 @query("st_hourly", EV + """,
@@ -81,7 +87,11 @@ def st_stale(spark, d):
     return J.stale_jobs(attach(e, now), F.col("now")).select("job_id")
 
 
-@query("st_expiring_stream")
+@query("st_expiring_stream", DAYS + """,
+g AS (SELECT job_id, min(ts) FILTER (WHERE event = 'accepted') AS s, min(ts) FILTER (WHERE event IN ('done', 'error')) AS o, max(CASE WHEN uid % 3 = 0 THEN 60 ELSE 15 END) AS mins
+      FROM j WHERE event <> 'seen' GROUP BY job_id)
+SELECT job_id, 'interrupted' AS reason FROM g
+WHERE epoch_ms(s) + mins * 60000 < (SELECT epoch_ms(max(ts)) FROM e WHERE event <> 'seen') - 60000 AND (o IS NULL OR o > s + to_minutes(mins))""")
 def st_expiring_stream(spark, d):
     """Jobs whose time ran out as event time passed."""
     s = day_jobs(shaped(event_stream(spark, d)))

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from planlens.functions import vocabulary as V
 
 HOUR = 3600
+KEEP_HOURS = 24  # how long a decided job is remembered
 DECISIONS = "uid bigint, ts timestamp, seq bigint, active int, recent int, admitted boolean"
 STATE = "recent array<timestamp>, active int"
 
@@ -50,13 +51,20 @@ def _admit(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Ite
             recent.append(e.ts)
             active += 1
     state.update(([pd.Timestamp(t) for t in recent], int(active)))
+    if not active:
+        over = max((int(pd.Timestamp(t).timestamp() * 1000) for t in recent), default=0) + HOUR * 1000
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(rows, columns=["uid", "ts", "seq", "active", "recent", "admitted"])
 
 
-def admission(events: DataFrame) -> DataFrame:
-    """Streaming: a decision per submission, exact because refusals leave no trace in the state."""
-    live = events.where("event in ('accepted', 'done', 'error')").select("uid", "ts", F.col("job_id").alias("seq"), "event")
-    return live.groupBy("uid").applyInPandasWithState(_admit, DECISIONS, STATE, "append", GroupStateTimeout.NoTimeout)
+def admission(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Streaming: a decision per submission, exact because refusals leave no trace in the state.
+
+    A user's state goes when nothing is open and the hour has passed. Events later than ``delay``
+    are dropped.
+    """
+    live = events.where("event in ('accepted', 'done', 'error')").withWatermark("ts", delay).select("uid", "ts", F.col("job_id").alias("seq"), "event")
+    return live.groupBy("uid").applyInPandasWithState(_admit, DECISIONS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def hourly_counts(events: DataFrame, delay: str = "10 minutes", slide: str = "5 minutes") -> DataFrame:
@@ -83,45 +91,50 @@ def stale_jobs(events: DataFrame, now: Column) -> DataFrame:
 
 
 def _expire(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Report a job once its time runs out without an end."""
+    """Report a job once, when its time has run out before any end.
+
+    The state holds the first start, whether a drawing was sent, the first end and whether the
+    job was told of; it outlives the decision by ``KEEP_HOURS``, so the order and batching of
+    events within the watermark's delay do not matter.
+    """
     cols = ["job_id", "reason"]
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([(key[0], "interrupted")], columns=cols)
-        return
-    ended = state.get[0] if state.exists else False
-    start, drawing = None, False
-    for pdf in chunks:
-        ended = ended or bool(pdf["event"].isin(["done", "error"]).any())
-        begun = pdf[pdf["event"] == "accepted"]
+    start, drawing, end, told = state.get if state.exists else (None, False, None, False)
+    start, end = (None if t is None or pd.isna(t) else pd.Timestamp(t) for t in (start, end))
+    earliest = lambda a, b: b if a is None else min(a, b)
+    for pdf in () if state.hasTimedOut else chunks:
+        begun, over = pdf[pdf["event"] == "accepted"], pdf[pdf["event"].isin(["done", "error"])]
         if len(begun):
-            first = begun["ts"].min()
-            start = first if start is None else min(start, first)
-            drawing = drawing or bool((begun["source_format"] != "pdf").any())
-    state.update((ended,))
-    if ended:
+            start, drawing = earliest(start, begun["ts"].min()), drawing or bool((begun["source_format"] != "pdf").any())
+        if len(over):
+            end = earliest(end, over["ts"].min())
+    due = None if start is None else start + pd.Timedelta(minutes=V.STALE_DRAWING_MINUTES if drawing else V.STALE_MINUTES)
+    now = state.getCurrentWatermarkMs()
+    ms = lambda t: int(t.timestamp() * 1000)
+    last = ms(due if due is not None else end) + KEEP_HOURS * HOUR * 1000
+    passed = due is not None and ms(due) < now
+    rows = [(key[0], "interrupted")] if passed and not told and (end is None or end > due) else []
+    if state.hasTimedOut and last < now:
         state.remove()
-    elif start is not None:
-        minutes = V.STALE_DRAWING_MINUTES if drawing else V.STALE_MINUTES
-        due = int((start + pd.Timedelta(minutes=minutes)).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([], columns=cols)
+    else:
+        state.update((start, bool(drawing), end, bool(told or passed)))
+        state.setTimeoutTimestamp(max(last if due is None or passed else ms(due), now + 1))
+    yield pd.DataFrame(rows, columns=cols)
 
 
 def expiring_jobs(events: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Streaming: jobs whose limit passes in event time without an end."""
+    """Streaming: jobs whose limit passes in event time before an end."""
     live = events.where("event in ('accepted', 'done', 'error')").withWatermark("ts", delay).select(
         "job_id", "ts", "event", F.coalesce("source_format", F.lit("pdf")).alias("source_format"))
     return live.groupBy("job_id").applyInPandasWithState(
-        _expire, "job_id string, reason string", "ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        _expire, "job_id string, reason string", "start timestamp, drawing boolean, ended timestamp, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def history(jobs: DataFrame, limit: int = 50) -> DataFrame:
-    """Every user's reviews, newest first, at most 1 to 100 of them. The window keeps only each
+def history(jobs: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Every user's reviews, newest first, ``limit`` of them (None: all). The window keeps only each
     task's own first rows per user before anything is shuffled."""
-    k = max(1, min(int(limit), 100))
     w = W.partitionBy("uid").orderBy(F.desc("created_at"), F.desc("job_id"))
-    return jobs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    ranked = jobs.withColumn("n", F.row_number().over(w))
+    return ranked if limit is None else ranked.where(F.col("n") <= limit)
 
 
 def job_snapshot(events: DataFrame) -> DataFrame:

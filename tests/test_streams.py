@@ -1,7 +1,10 @@
 """Streams agree with their batch twins and survive a repeated batch."""
 import datetime as dt
+import os
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from planlens.streaming import jobs as J
@@ -24,10 +27,34 @@ def write_parts(spark, rows, path, parts):
         spark.createDataFrame(rows[i * step:(i + 1) * step], EV).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_admission_is_the_sequential_decision(spark, tmp_path):
+def in_order(spark, rows, path, parts):
+    """A stream over files whose names and times follow the events, one file a trigger."""
+    step = -(-len(rows) // parts)
+    for i in range(parts):
+        made = f"{path}/made{i}"
+        spark.createDataFrame(rows[i * step:(i + 1) * step], EV).coalesce(1).write.parquet(made)
+        one = next(f for f in os.listdir(made) if f.endswith(".parquet"))
+        os.makedirs(f"{path}/in", exist_ok=True)
+        os.rename(f"{made}/{one}", f"{path}/in/{i:03d}.parquet")
+        os.utime(f"{path}/in/{i:03d}.parquet", (1e9 + i, 1e9 + i))
+    return spark.readStream.schema(EV).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_a_job_expires_once_however_its_events_are_batched(spark, tmp_path, parts):
+    t = dt.datetime(2024, 1, 1)
+    m = lambda k: t + dt.timedelta(minutes=k)
+    rows = [("a", 1, m(2), "done", "pdf"), ("b", 1, m(2), "accepted", "pdf"), ("a", 1, m(1), "accepted", "pdf"), ("c", 1, m(2), "accepted", "dwg"), ("b", 1, m(30), "accepted", "pdf"),
+            ("d", 1, m(31), "accepted", "pdf"), ("b", 1, m(40), "done", "pdf"), ("d", 1, m(41), "done", "pdf"), ("z", 2, m(100), "done", "pdf"), ("z", 2, m(200), "done", "pdf")]
+    stream = in_order(spark, [(i, u, ts, e, f) for i, u, ts, e, f in [(ord(r[0]), *r[1:]) for r in rows]], str(tmp_path), parts)
+    out = J.run_to_end(J.expiring_jobs(stream.withColumn("job_id", F.char("job_id"))), f"{tmp_path}/out")
+    assert sorted(r.job_id for r in out.collect()) == ["b", "c"]
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_admission_is_the_sequential_decision(spark, tmp_path, parts):
     rows = some_events()
-    write_parts(spark, rows, f"{tmp_path}/in", 1)
-    out = J.run_to_end(J.admission(spark.readStream.schema(EV).parquet(f"{tmp_path}/in")), f"{tmp_path}/out")
+    out = J.run_to_end(J.admission(in_order(spark, rows, str(tmp_path), parts)), f"{tmp_path}/out")
     want, state = {}, {}
     for i, uid, t, ev, _ in rows:
         recent, active = state.setdefault(uid, ([], 0))

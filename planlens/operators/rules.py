@@ -8,6 +8,7 @@ Every (set, reading, rule) yields a finding or a recorded reason for not checkin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 from functools import reduce
@@ -121,44 +122,72 @@ ATTRS = {"occupant_load": "double", "meta_group": "string", "meta_sprinklered":
          "include_measured": "boolean"}
 
 
-def _with(case: DataFrame, extra: DataFrame | None, cols: dict[str, str]) -> DataFrame:
-    """Left-join a one-row-per-set frame, adding NULL columns where it is missing."""
-    have = [] if extra is None else [c for c in cols if c in extra.columns]
+def _with(case: DataFrame, extra: DataFrame | None, cols: dict[str, str], need: set[str] | None = None) -> DataFrame:
+    """Left-join a one-row-per-set frame, adding NULL columns where it is missing or nothing of it is needed."""
+    have = [] if extra is None or (need is not None and not need & set(cols)) else [c for c in cols if c in extra.columns]
     if have:
         case = case.join(extra.select("set_id", *have), "set_id", "left")
     return case.select("*", *[F.lit(None).cast(t).alias(c) for c, t in cols.items() if c not in have])
 
 
-def build_case(i: Inputs, spark: SparkSession) -> DataFrame:
-    """One row per (set, reading) with everything the scalar rules read."""
+def _resolved_name(field: str, role: str) -> str:
+    return "r_" + field.replace(".", "_") + (f"_{role}" if role else "")
+
+
+def needed(only: list[str] | None) -> set[str] | None:
+    """The wide frame's columns the rules read, worked out from their expressions (None: all)."""
+    if only is None:
+        return None
+    names = {"tally", "first_sheet"} if any(r in FRAMES for r in only) else set()
+    for r in only:
+        if r in SCALAR:
+            names |= set(re.findall(r"\w+", str(SCALAR[r]())))
+    if "rival" in names:
+        names.add("s_1006_2_1")
+    for s, f in SECTION_FIELD.items():
+        if "s_" + s.replace(".", "_") in names:
+            names |= {"c_" + s.replace(".", "_"), _resolved_name(f, "required"), _resolved_name(f, "provided")}
+    if names & {"wc_m", "sinks"}:
+        names |= {"f_wc_m", "grp"}
+    if names & {"grp", "letter", "k_path", "k_travel"}:
+        names.add("meta_group")
+    if names & {"sprk", "k_path", "k_travel"}:
+        names.add("meta_sprinklered")
+    if "cur" in names:
+        names.add("as_of")
+    return names
+
+
+def build_case(i: Inputs, spark: SparkSession, only: list[str] | None = None) -> DataFrame:
+    """One row per (set, reading) with everything the wanted rules read; inputs none of them reads are not joined."""
+    need = needed(only)
     rows = i.scenario_rows
     box = F.struct("num", "str", "basis", "page", "state")
-    case = rows.groupBy(*CASE).pivot("field", DECLARED_FIELDS).agg(F.first(box)).select(
-        *CASE, *[F.col(f"`{f}`").alias(f"b_{f}") for f in DECLARED_FIELDS])
-    case = _with(case, i.attrs, ATTRS)
+    # one conditional aggregate per question, so that those no rule reads are pruned
+    case = rows.groupBy(*CASE).agg(*[F.first(F.when(F.col("field") == f, box), ignorenulls=True).alias(f"b_{f}") for f in DECLARED_FIELDS])
+    case = _with(case, i.attrs, ATTRS, need)
     # what each audit row states: the cited block row, else the resolved fact of that section
     dtype = "struct<required:double,provided:double,page:int,sheet:string,anchor:string,required_raw:string>"
     data = None
     if i.code_data is not None:
         keep = F.struct(F.col("required").cast("double").alias("required"), F.col("provided").cast("double").alias("provided"),
                         F.col("page").cast("int").alias("page"), "sheet", F.col("label").alias("anchor"), "required_raw")
-        data = i.code_data.groupBy("set_id").pivot("section", list(SECTION_FIELD)).agg(F.min_by(keep, "ord")).select(
-            "set_id", *[F.col(f"`{s}`").alias("c_" + s.replace(".", "_")) for s in SECTION_FIELD])
-    case = _with(case, data, {"c_" + s.replace(".", "_"): dtype for s in SECTION_FIELD})
+        data = i.code_data.groupBy("set_id").agg(*[
+            F.min_by(keep, F.when(F.col("section") == s, F.col("ord"))).alias("c_" + s.replace(".", "_")) for s in SECTION_FIELD])
+    case = _with(case, data, {"c_" + s.replace(".", "_"): dtype for s in SECTION_FIELD}, need)
     audit = sorted(set(SECTION_FIELD.values()))
     rtype = "struct<value:double,page:int,sheet:string,label:string,raw:string,n_methods:bigint,method:string,txt:string>"
     wanted = [(f, r) for f in audit for r in ("required", "provided")] + [
         (f, "") for f in ("occupant_load", "egress_width_factor", "building_area_sf", "total_area_sf", "area.tabulated_total_sf", "risk_category")]
-    name = lambda f, r: "r_" + f.replace(".", "_") + (f"_{r}" if r else "")
+    name = _resolved_name
     res = None
     if i.resolved is not None:
         keep = F.struct(F.col("value_num").alias("value"), F.col("lead.page").cast("int").alias("page"), F.col("lead.sheet").alias("sheet"),
                         F.col("lead.label").alias("label"), F.col("lead.raw").alias("raw"), F.col("n_methods"), F.col("lead.method").alias("method"),
                         F.col("value_str").alias("txt"))
-        keyed = i.resolved.withColumn("_k", F.concat("field", F.lit("|"), "role"))
-        res = keyed.groupBy("set_id").pivot("_k", [f"{f}|{r}" for f, r in wanted]).agg(F.first(keep)).select(
-            "set_id", *[F.col(f"`{f}|{r}`").alias(name(f, r)) for f, r in wanted])
-    case = _with(case, res, {name(f, r): rtype for f, r in wanted})
+        res = i.resolved.groupBy("set_id").agg(*[
+            F.first(F.when((F.col("field") == f) & (F.col("role") == r), keep), ignorenulls=True).alias(name(f, r)) for f, r in wanted])
+    case = _with(case, res, {name(f, r): rtype for f, r in wanted}, need)
 
     for s, f in SECTION_FIELD.items():
         c, q, p = F.col("c_" + s.replace(".", "_")), F.col(name(f, "required")), F.col(name(f, "provided"))
@@ -177,7 +206,7 @@ def build_case(i: Inputs, spark: SparkSession) -> DataFrame:
     else:
         flags = None
     case = _with(case, flags, {"t_alarm": "boolean", "t_unrated": "boolean", "t_shortest": "int", "t_posting": "struct<page:int,words:string>",
-                               "t_load": "double"})
+                               "t_load": "double"}, need)
 
     exits = None
     if i.exits is not None:
@@ -185,13 +214,13 @@ def build_case(i: Inputs, spark: SparkSession) -> DataFrame:
         rated = i.exits.where("width_provided_in > 0 and capacity > 0")
         exits = rated.groupBy("set_id").agg(F.min(k).alias("x_lo"), F.max(k).alias("x_hi"), F.min_by(
             F.struct(F.col("page").cast("int").alias("page"), F.col("exit").alias("anchor")), F.struct("page", "exit")).alias("x_first"))
-    case = _with(case, exits, {"x_lo": "double", "x_hi": "double", "x_first": "struct<page:int,anchor:string>"})
+    case = _with(case, exits, {"x_lo": "double", "x_hi": "double", "x_first": "struct<page:int,anchor:string>"}, need)
 
     ceil = None
     if i.ceilings is not None:
         ceil = i.ceilings.groupBy("set_id").agg(F.min("height_ft").alias("h_low"), F.count(F.lit(1)).alias("h_n"), F.min_by(
             F.struct(F.col("page").cast("int").alias("page"), F.col("code").alias("sheet"), F.col("raw").alias("anchor")), "height_ft").alias("h_at"))
-    case = _with(case, ceil, {"h_low": "double", "h_n": "bigint", "h_at": "struct<page:int,sheet:string,anchor:string>"})
+    case = _with(case, ceil, {"h_low": "double", "h_n": "bigint", "h_at": "struct<page:int,sheet:string,anchor:string>"}, need)
 
     spaces = None
     if i.space_areas is not None:
@@ -199,7 +228,7 @@ def build_case(i: Inputs, spark: SparkSession) -> DataFrame:
         spaces = i.space_areas.where("area_sf >= 50").groupBy("set_id").agg(
             F.count(F.lit(1)).alias("sp_n"), F.map_from_arrays(F.array(*[F.lit(f) for f in factors]), F.array(*[
                 F.sum(F.ceil(F.col("area_sf") / f).cast("double")) for f in factors])).alias("sp_loads")).where("sp_n >= 2")
-    case = _with(case, spaces, {"sp_n": "bigint", "sp_loads": "map<double,double>"})
+    case = _with(case, spaces, {"sp_n": "bigint", "sp_loads": "map<double,double>"}, need)
 
     sh = None
     if i.sheets is not None:
@@ -208,7 +237,7 @@ def build_case(i: Inputs, spark: SparkSession) -> DataFrame:
         sh = i.sheets.groupBy("set_id").agg(
             F.count(F.lit(1)).alias("n_sheets"), F.count_if(unread).alias("n_unread"),
             F.bool_or(title.contains("CEILING") | title.startswith("RCP")).alias("has_rcp"), F.min_by("code", "page").alias("first_sheet"))
-    case = _with(case, sh, {"n_sheets": "bigint", "n_unread": "bigint", "has_rcp": "boolean", "first_sheet": "string"})
+    case = _with(case, sh, {"n_sheets": "bigint", "n_unread": "bigint", "has_rcp": "boolean", "first_sheet": "string"}, need)
 
     sched = None
     if i.schedules is not None:
@@ -222,7 +251,7 @@ def build_case(i: Inputs, spark: SparkSession) -> DataFrame:
             F.max(F.when(elec, 1)).alias("e_any"), F.max_by(num(F.try_element_at("vals", F.lit(2))), F.when(amp, F.col("row_no"))).alias("e_amps"),
             F.min(F.when(elec, F.col("page"))).cast("int").alias("e_page"),
             F.max(F.when(F.col("schedule") == "OCCUPANT DENSITY", 1)).alias("v_any"))
-    case = _with(case, sched, {"u_first": "struct<oa:double,page:int,mark:string>", "e_any": "int", "e_amps": "double", "e_page": "int", "v_any": "int"})
+    case = _with(case, sched, {"u_first": "struct<oa:double,page:int,mark:string>", "e_any": "int", "e_amps": "double", "e_page": "int", "v_any": "int"}, need)
 
     vent = None
     if i.ventilation is not None:
@@ -234,7 +263,7 @@ def build_case(i: Inputs, spark: SparkSession) -> DataFrame:
             F.count(F.lit(1)).alias("v_n"), F.sum(vbz).alias("v_sum"),
             (F.sum(F.coalesce(off, F.lit(0))) + F.sum((F.abs(F.col("total_cfm") - vbz) > 1.0).cast("int"))).alias("v_bad"),
             F.min("page").cast("int").alias("v_page"))
-    case = _with(case, vent, {"v_n": "bigint", "v_sum": "double", "v_bad": "bigint", "v_page": "int"})
+    case = _with(case, vent, {"v_n": "bigint", "v_sum": "double", "v_bad": "bigint", "v_page": "int"}, need)
 
     fx = None
     if i.fixtures is not None:
@@ -249,60 +278,64 @@ def build_case(i: Inputs, spark: SparkSession) -> DataFrame:
     kinds = ("wc", "lav", "drinking_fountain", "service_sink")
     case = _with(case, fx, {"f_page": "int", "f_load": "double", "f_wc_m": "double", "f_wc_f": "double", "f_lav_m": "double", "f_lav_f": "double",
                             "f_df": "double", "f_ratios": "bigint", "f_provided": "bigint",
-                            **{f"f_{p}_{k}": "double" for p in ("required", "provided") for k in kinds}})
+                            **{f"f_{p}_{k}": "double" for p in ("required", "provided") for k in kinds}}, need)
 
-    case = _with(case, i.egress_runs, {"g_page": "int", "g_sheet": "string", "g_segments": "bigint", "g_run_pt": "double", "g_scale": "double", "g_why": "string"})
+    case = _with(case, i.egress_runs, {"g_page": "int", "g_sheet": "string", "g_segments": "bigint", "g_run_pt": "double", "g_scale": "double", "g_why": "string"}, need)
     tally = None
     if i.area_tally is not None:
         tally = i.area_tally.select("set_id", F.struct(F.col("page").cast("int").alias("page"), "heading", "total_sf").alias("tally"))
-    case = _with(case, tally, {"tally": "struct<page:int,heading:string,total_sf:double>"})
+    case = _with(case, tally, {"tally": "struct<page:int,heading:string,total_sf:double>"}, need)
 
     # the rival statement of the common path on another sheet, when the set holds one
     rv = None
-    if i.path_claims is not None:
+    if i.path_claims is not None and (need is None or "rival" in need):
         d = case.select("set_id", F.col("s_1006_2_1.sheet").alias("d_sheet"), F.col("s_1006_2_1.required").alias("d_req")).where("d_req is not null").distinct()
         j = i.path_claims.join(d, "set_id").where((F.col("sheet") != F.col("d_sheet")) & (F.abs(F.col("value_num") - F.col("d_req")) > 0.5))
         rv = j.groupBy("set_id").agg(F.min_by(F.struct(F.col("value_num").alias("value"), F.col("page").cast("int").alias("page"), "sheet", "label"),
                                               F.struct("rank", "page", "seq")).alias("rival"))
-    case = _with(case, rv, {"rival": "struct<value:double,page:int,sheet:string,label:string>"})
-    return _lookups(case, spark)
+    case = _with(case, rv, {"rival": "struct<value:double,page:int,sheet:string,label:string>"}, need)
+    return _lookups(case)
 
 
-def _lookups(case: DataFrame, spark: SparkSession) -> DataFrame:
-    """Join the code tables; each is a fixed few rows, so every join is a broadcast."""
-    dim = K.corpus(spark)
+def _lookups(case: DataFrame) -> DataFrame:
+    """The code tables' answers, as literal maps and cases: tables of a fixed few rows need no join."""
+    tables = K.code_tables()
     c = T.staged(case, grp=F.coalesce(b("occupancy_group"), F.col("meta_group")), sprk=F.coalesce(
         b("sprinkler_system").isin(V.SPRINKLER_PRESENT), F.col("meta_sprinklered")), own_grp=b("occupancy_group"), ctype=b("construction_type"),
         credited=b("sprinkler_system").isin(V.SPRINKLER_CREDITED), edition=b("code_edition"))
     c = c.withColumn("letter", F.upper(F.element_at(F.split("grp", "-"), 1))).withColumn("own_letter", F.element_at(F.split("own_grp", "-"), 1))
-
-    def look(left: DataFrame, table: DataFrame, on: dict[str, str], take: dict[str, str]) -> DataFrame:
-        right = F.broadcast(table.select(*[F.col(r).alias(f"_k{n}") for n, r in enumerate(on.values())], *[F.col(s).alias(t) for s, t in take.items()]))
-        cond = reduce(lambda a, x: a & x, [F.col(l) == F.col(f"_k{n}") for n, l in enumerate(on)])
-        return left.join(right, cond, "left").drop(*[f"_k{n}" for n in range(len(on))])
-    c = look(c, dim["common_path"], {"letter": "grp", "sprk": "sprinklered"}, {"limit_ft": "k_path"})
-    c = look(c, dim["travel"], {"letter": "grp", "sprk": "sprinklered"}, {"limit_ft": "k_travel"})
-    c = look(c, dim["height"], {"own_letter": "grp", "ctype": "ctype", "credited": "sprinklered"}, {"limit_ft": "k_height"})
-    c = look(c, dim["stories"], {"own_grp": "grp", "ctype": "ctype", "credited": "sprinklered"}, {"limit_n": "k_stories"})
-    c = look(c, dim["area"], {"own_grp": "grp", "ctype": "ctype"}, {"ns": "k_ns", "s1": "k_s1", "sm": "k_sm"})
-    rated = dim["ratings"].select("ctype", F.lit(True).alias("known"), (F.coalesce(F.greatest(*[F.coalesce(x, F.lit(9.0)) for x in (
-        "frame", "bearing_ext", "bearing_int", "nonbearing_int", "floor", "roof")]), F.lit(0.0)) == 0).alias("unrated"))
-    c = look(c, rated, {"ctype": "ctype"}, {"known": "k_rated", "unrated": "k_unrated"})
-    c = look(c, dim["load_gross"], {"own_grp": "grp"}, {"factor": "_f1"})
-    c = look(c, dim["load_gross"], {"own_letter": "grp"}, {"factor": "_f2"}).withColumn("k_factor", F.coalesce("_f1", "_f2")).drop("_f1", "_f2")
-    ed = dim["editions"]
-    c = look(c, ed, {"edition": "key"}, {"effective": "ed_from", "wind": "ed_wind", "ordinal": "ed_ordinal"})
-    # as of the review date: the latest edition already in force, on the distinct dates only
-    c = c.withColumn("as_of", F.coalesce("as_of", F.current_date()))
-    days = c.select("as_of").distinct()
-    now = days.join(F.broadcast(ed), F.col("effective") <= F.col("as_of")).groupBy("as_of").agg(F.max_by(
-        F.struct(F.col("key"), F.col("effective"), F.col("wind"), F.col("ordinal")), "effective").alias("cur"))
-    c = c.join(now, "as_of", "left")
-    pl = F.broadcast(dim["plumbing"].select(F.col("grp").alias("p_grp"), "wc_m", "wc_f", "lav_m", "lav_f", "df", "sinks"))
-    hit = ((F.col("f_wc_m") == F.col("wc_m")) & (F.col("f_wc_f") == F.col("wc_f")) & (F.col("f_lav_m") == F.col("lav_m"))
-           & (F.col("f_lav_f") == F.col("lav_f")) & (F.col("f_df") == F.col("df"))
-           & (F.col("grp").isNull() | (F.col("grp") == F.col("p_grp")) | (F.col("grp") == F.element_at(F.split("p_grp", "-"), 1))))
-    return c.join(pl, hit, "left")
+    text = lambda v: str(v).lower() if isinstance(v, bool) else v
+
+    def look(table: str, on: list[str], take: int) -> Column:
+        """Column ``take`` of the row whose first columns are ``on``; NULL without such a row or with a NULL key."""
+        pairs = [x for row in tables[table][0] for x in (F.lit("|".join(text(v) for v in row[:len(on)])), F.lit(row[take]))]
+        key = F.concat(*[y for i, x in enumerate(on) for y in ([F.lit("|")] if i else []) + [F.col(x).cast("string")]])
+        return F.try_element_at(F.create_map(*pairs), key)
+    unrated = lambda row: all(v == 0 for v in row[1:])  # heavy timber (NULL) is rated
+    rated = F.create_map(*[x for row in tables["ratings"][0] for x in (F.lit(row[0]), F.lit(unrated(row)))])
+    c = c.withColumns({
+        "k_path": look("common_path", ["letter", "sprk"], 2), "k_travel": look("travel", ["letter", "sprk"], 2),
+        "k_height": look("height", ["own_letter", "ctype", "credited"], 3), "k_stories": look("stories", ["own_grp", "ctype", "credited"], 3),
+        "k_ns": look("area", ["own_grp", "ctype"], 2), "k_s1": look("area", ["own_grp", "ctype"], 3), "k_sm": look("area", ["own_grp", "ctype"], 4),
+        "k_rated": F.try_element_at(rated, F.col("ctype")).isNotNull(), "k_unrated": F.try_element_at(rated, F.col("ctype")),
+        "k_factor": F.coalesce(look("load_gross", ["own_grp"], 1), look("load_gross", ["own_letter"], 1)),
+        "as_of": F.coalesce("as_of", F.current_date())})
+    c = c.withColumn("k_rated", F.when(F.col("k_rated"), True))
+    # the edition cited, and the latest already in force on the review's date
+    of = lambda e: F.struct(F.lit(e[0]).alias("key"), F.lit(e[3]).alias("effective"), F.lit(e[5]).cast("string").alias("wind"), F.lit(e[1]).alias("ordinal"))
+    cited, now = F.lit(None), F.lit(None)
+    for e in sorted(K.EDITIONS, key=lambda e: e[3]):
+        cited, now = F.when(F.col("edition") == e[0], of(e)).otherwise(cited), F.when(F.col("as_of") >= F.lit(e[3]), of(e)).otherwise(now)
+    c = c.withColumn("cur", now).withColumn("_ed", cited)
+    c = c.withColumns({"ed_from": F.col("_ed.effective"), "ed_wind": F.col("_ed.wind"), "ed_ordinal": F.col("_ed.ordinal")}).drop("_ed")
+    # the plumbing row whose ratios the sheet prints
+    row = F.lit(None)
+    for g, _, wm, wf, lm, lf, df, sinks in K.PLUMBING_ROWS:
+        hit = ((F.col("f_wc_m") == wm) & (F.col("f_wc_f") == wf) & (F.col("f_lav_m") == lm) & (F.col("f_lav_f") == lf) & (F.col("f_df") == df)
+               & (F.col("grp").isNull() | F.col("grp").isin(g, g.split("-")[0])))
+        row = F.coalesce(row, F.when(hit, F.struct(*[F.lit(v).alias(k) for k, v in (("wc_m", wm), ("wc_f", wf), ("lav_m", lm), ("lav_f", lf), ("df", df), ("sinks", sinks))])))
+    c = c.withColumn("_p", row)
+    return c.withColumns({k: F.col(f"_p.{k}") for k in ("wc_m", "wc_f", "lav_m", "lav_f", "df", "sinks")}).drop("_p")
 
 
 # ---- short names for the wide frame's columns --------------------------------------------------
@@ -836,7 +869,7 @@ def run_rules(i: Inputs, spark: SparkSession, only: list[str] | None = None) ->
     """Outcomes of every rule for every reading: findings have a ``fid``, abstentions a ``reason``."""
     if only is None:  # both are read by the scalar pass and by every frame rule: work them out once
         i = replace(i, scenario_rows=cut_lineage(i.scenario_rows))
-    case = build_case(i, spark)
+    case = build_case(i, spark, only)
     if only is None:
         case = cut_lineage(case)
     parts = []

@@ -103,9 +103,8 @@ EDITIONS = [
 ]
 
 
-def corpus(spark: SparkSession) -> dict[str, DataFrame]:
-    """Every code table as a DataFrame, by name."""
-    frame = spark.createDataFrame
+def code_tables() -> dict[str, tuple[list[tuple], str]]:
+    """(rows, schema) of every code table, by name."""
     height = [(g, t, s, float(HEIGHT_FT[t][s]))
               for g, t, s in product(HEIGHT_GROUPS, TYPES, (0, 1))]
     stories = [(g, t, s, float(row["with" if s else "without"][i]))
@@ -118,22 +117,27 @@ def corpus(spark: SparkSession) -> dict[str, DataFrame]:
         exits.append((low, top, need))
         low = top
     return {
-        "common_path": frame(COMMON_PATH_FT, "grp string, sprinklered boolean, limit_ft double"),
-        "travel": frame(TRAVEL_FT, "grp string, sprinklered boolean, limit_ft double"),
-        "exits": frame(exits, "above double, up_to double, exits int"),
-        "height": frame([(g, t, bool(s), v) for g, t, s, v in height],
+        "common_path": (COMMON_PATH_FT, "grp string, sprinklered boolean, limit_ft double"),
+        "travel": (TRAVEL_FT, "grp string, sprinklered boolean, limit_ft double"),
+        "exits": (exits, "above double, up_to double, exits int"),
+        "height": ([(g, t, bool(s), v) for g, t, s, v in height],
                         "grp string, ctype string, sprinklered boolean, limit_ft double"),
-        "stories": frame(stories,
+        "stories": (stories,
                          "grp string, ctype string, sprinklered boolean, limit_n double"),
-        "area": frame(area, "grp string, ctype string, ns double, s1 double, sm double"),
-        "ratings": frame(ratings, "ctype string, frame double, bearing_ext double, "
+        "area": (area, "grp string, ctype string, ns double, s1 double, sm double"),
+        "ratings": (ratings, "ctype string, frame double, bearing_ext double, "
                          "bearing_int double, nonbearing_int double, floor double, roof double"),
-        "load_gross": frame(LOAD_GROSS, "grp string, factor double"),
-        "load_uses": frame(LOAD_USES, "fn string, factor double, basis string"),
-        "use_words": frame([(i, p, u) for i, (p, u) in enumerate(USE_WORDS)],
+        "load_gross": (LOAD_GROSS, "grp string, factor double"),
+        "load_uses": (LOAD_USES, "fn string, factor double, basis string"),
+        "use_words": ([(i, p, u) for i, (p, u) in enumerate(USE_WORDS)],
                            "rank int, pattern string, fn string"),
-        "plumbing": frame(PLUMBING_ROWS, "grp string, description string, wc_m double, "
+        "plumbing": (PLUMBING_ROWS, "grp string, description string, wc_m double, "
                           "wc_f double, lav_m double, lav_f double, df double, sinks double"),
-        "editions": frame(EDITIONS, "key string, ordinal string, year int, effective date, "
+        "editions": (EDITIONS, "key string, ordinal string, year int, effective date, "
                           "base string, wind string"),
     }
+
+
+def corpus(spark: SparkSession) -> dict[str, DataFrame]:
+    """Every code table as a DataFrame, by name."""
+    return {name: spark.createDataFrame(rows, schema) for name, (rows, schema) in code_tables().items()}

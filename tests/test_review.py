@@ -36,7 +36,7 @@ def test_words_become_a_register(frame):
     fields = [f.split()[0] for f in DECLARATIONS.split(", ")]
     register, stood = review_corpus(words, pages, frame([tuple(answers.get(f) for f in fields)], DECLARATIONS))
     found = {(r.set_id, r.rule_id): r.status for r in register.select("set_id", "rule_id", "status").collect()}
-    assert found[(1, "DECL.CONSTRUCTION_TYPE")] == "OPEN"
+    assert found[(1, "DECL.CONSTRUCTION_TYPE")] == "CONFLICT"
     assert (1, "EGRESS.COMMON_PATH") in found and (2, "EGRESS.COMMON_PATH") in found
     assert {r.set_id for r in stood.select("set_id").distinct().collect()} >= {1, 2}
 

@@ -121,7 +121,8 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     lent = ranged.withColumn("_to", lent_to("doc_id", "tkey", "range"))
     places = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("lent")), F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("range"), F.lit(True).alias("lent")))))
     placed = lent.withColumn("p", F.explode(places)).select("p.range", "p.lent", "doc_id", "tkey", "text")
-    spread = placed.repartition(n + 1, "range").sortWithinPartitions("range", "lent", F.col("doc_id").desc_nulls_last(), "tkey").drop("tkey")
+    # The range is the partition: hashing it would put several ranges into one task and none into others.
+    spread = placed.repartitionById(n + 1, F.col("range") + 1).sortWithinPartitions("range", "lent", F.col("doc_id").desc_nulls_last(), "tkey").drop("tkey")
     return spread.mapInArrow(_neighbours, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                                           "near_edited double, near_next double")
 

@@ -134,7 +134,7 @@ VIEW_CELL, VIEW_GAP, VIEW_MIN_CELLS, VIEW_BORDER_SHARE = 12.0, 24.0, 12, 0.55
 LABEL_REACH, LABEL_MARGIN = 96.0, 12.0
 COLLINEAR_PT, RUN_JOIN_PT = 0.6, 2.0
 POINTS_PER_INCH = 72.0
-SPAN_SHARE, SPAN_EMS, ANCHOR_TRIES = 0.15, 45.0, 200
+SPAN_SHARE, SPAN_EMS = 0.15, 45.0
 ANCHOR_PREFIX = 16
 MAX_REREAD_PAGES = 8
 MAX_SHIFT = 2

@@ -174,10 +174,11 @@ def candidate_profile(versions: DataFrame, uids: DataFrame) -> DataFrame:
     return mine.unionByName(seeded.select(*mine.columns))
 
 
-def version_list(versions: DataFrame, limit: int = 25) -> DataFrame:
-    """The newest versions and how many rules each one holds."""
-    return (versions.where("scope = 'global'").groupBy("version")
-            .agg(F.count(F.lit(1)).alias("n_rules")).orderBy(F.desc("version")).limit(limit))
+def version_list(versions: DataFrame, limit: int | None = None) -> DataFrame:
+    """The newest ``limit`` versions (None: all) and how many rules each one holds."""
+    out = (versions.where("scope = 'global'").groupBy("version")
+            .agg(F.count(F.lit(1)).alias("n_rules")).orderBy(F.desc("version")))
+    return out if limit is None else out.limit(limit)
 
 
 def diff_profiles(before: DataFrame, after: DataFrame, knob_dim: DataFrame) -> DataFrame:

@@ -235,15 +235,18 @@ def fingerprint(findings: DataFrame, abstentions: DataFrame) -> DataFrame:
                            F.sum("h2").cast("string")), 256).alias("fingerprint"))
 
 
-def plan_rereads(requests: DataFrame, pages: DataFrame, tried: DataFrame, fields: DataFrame) -> DataFrame:
-    """Requested (page, field) pairs that exist and were not tried, on the first eight pages."""
+def plan_rereads(requests: DataFrame, pages: DataFrame, tried: DataFrame, fields: DataFrame, max_pages: int | None = None
+                 ) -> DataFrame:
+    """Requested (page, field) pairs that exist and were not tried, on the first ``max_pages`` pages of a set (None: all)."""
     ok = (requests.select("set_id", "page", "field").distinct()
           .join(pages.select("set_id", "page"), ["set_id", "page"], "left_semi")
           .join(F.broadcast(fields.select("field")), "field", "left_semi")
           .join(tried.select("set_id", "page", "field"), ["set_id", "page", "field"], "left_anti"))
+    if max_pages is None:
+        return ok.select("set_id", "page", "field")
     nth = F.row_number().over(W.partitionBy("set_id").orderBy("page"))
     first = ok.select("set_id", "page").distinct().withColumn("_n", nth).where(
-        F.col("_n") <= V.MAX_REREAD_PAGES).drop("_n")
+        F.col("_n") <= max_pages).drop("_n")
     return ok.join(first, ["set_id", "page"]).select("set_id", "page", "field")
 
 
@@ -251,24 +254,24 @@ def scorecard(findings: DataFrame, abstentions: DataFrame, expected: DataFrame,
               ) -> DataFrame:
     """Each expected entry graded exact, partial or missed, with why it was missed.
 
-    ``expected``: set_id, entry, severity. ``rule_map``: entry, rule_id.
+    ``expected``: set_id, entry, severity. ``rule_map``: entry, rule_id. Findings and abstentions go
+    to their entries through the map first, a few rows each; entries never meet all their rules.
     """
     passing = lambda c: c.isin(V.PASSING)
     got_status = F.when(passing(F.col("f.severity")), "PASS").otherwise(F.col("f.status"))
     want_status = F.when(passing(F.col("e.severity")), "PASS").otherwise("OPEN")
     exact = (got_status == want_status) & ((F.col("f.severity") == F.col("e.severity"))
                                            | (passing(F.col("f.severity")) & passing(F.col("e.severity"))))
-    wanted = expected.join(rule_map, "entry", "left")
-    # findings of one (set, rule) collapse to their distinct (status, severity) before the join
-    have = findings.select("set_id", "rule_id", "status", "severity").distinct()
-    stood = abstentions.groupBy("set_id", "rule_id").agg(F.min("reason").alias("reason"))
-    graded = (wanted.alias("e").join(have.alias("f"), ["set_id", "rule_id"], "left")
-              .join(stood, ["set_id", "rule_id"], "left")
-              .select("set_id", F.col("e.entry").alias("entry"), F.col("e.severity").alias("severity"),
-                      "rule_id", F.when(F.col("f.status").isNull(), 0).when(exact, 2).otherwise(1)
-                      .alias("grade"), "reason"))
-    out = graded.groupBy("set_id", "entry", "severity").agg(
-        F.max("grade").alias("grade"), F.count("rule_id").alias("_rules"), F.min("reason").alias("reason"))
+    wanted = expected.select("set_id", "entry", "severity").distinct()
+    have = findings.select("set_id", "rule_id", "status", "severity").distinct().join(rule_map, "rule_id").select(
+        "set_id", "entry", "status", "severity").distinct()
+    stood = abstentions.groupBy("set_id", "rule_id").agg(F.min("reason").alias("reason")).join(rule_map, "rule_id").groupBy(
+        "set_id", "entry").agg(F.min("reason").alias("reason"))
+    rules = rule_map.groupBy("entry").agg(F.count("rule_id").alias("_rules"))
+    grade = F.max(F.when(F.col("f.status").isNull(), 0).when(exact, 2).otherwise(1)).alias("grade")
+    graded = (wanted.alias("e").join(have.alias("f"), ["set_id", "entry"], "left")
+              .groupBy("set_id", "entry", F.col("e.severity").alias("severity")).agg(grade))
+    out = graded.join(stood, ["set_id", "entry"], "left").join(rules, "entry", "left").fillna(0, ["_rules"])
     names = F.element_at(F.array(F.lit("missed"), F.lit("partial"), F.lit("exact")), F.col("grade") + 1)
     why = F.when(F.col("grade") > 0, "").when(F.col("_rules") == 0, "no rule for this check").when(
         F.col("reason").isNotNull(), F.concat(F.lit("abstained: "), "reason")).otherwise("rule not registered")

@@ -250,7 +250,7 @@ l AS (SELECT *, row_number() OVER (PARTITION BY set_id, name ORDER BY n DESC, la
 SELECT top.set_id, top.name, CAST(total AS BIGINT) AS total, string_agg(layer, ',' ORDER BY j) AS layers FROM top JOIN l ON l.set_id = top.set_id AND l.name = top.name
 WHERE k <= 200 AND j <= 3 GROUP BY ALL""")
 def prof_block_counts(spark, d):
-    return P.block_counts(adapter(spark, d, "a_findings").select(F.col("page").alias("set_id"), F.col("title").alias("name"), F.col("anchor").alias("layer")))
+    return P.block_counts(adapter(spark, d, "a_findings").select(F.col("page").alias("set_id"), F.col("title").alias("name"), F.col("anchor").alias("layer")), 200, 3)
 
 
 # ---- claims -------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from planlens.functions import vocabulary as V
 from planlens.operators import abstentions as AB, calibration as C, feedback as FB, register as RG
 from planlens.plans.adapters import adapter, with_views
 from planlens.plans.registry import query, table
@@ -193,7 +194,7 @@ def reg_plan_rereads(spark, d):
         F.when(F.col("l_returnflag") == "A", "height_ft").when(F.col("l_returnflag") == "N", "stories")
         .otherwise("nothing").alias("field"), "l_linestatus")
     from planlens.sources.catalog import catalog
-    return RG.plan_rereads(li, li.select("set_id", "page").distinct(), li.where("l_linestatus = 'F'"), catalog(spark))
+    return RG.plan_rereads(li, li.select("set_id", "page").distinct(), li.where("l_linestatus = 'F'"), catalog(spark), V.MAX_REREAD_PAGES)
 
 
 GRADED = with_views("a_findings", "a_abstentions") + """,
@@ -395,7 +396,7 @@ def cal_candidate(spark, d):
 @query("cal_version_list", """
 SELECT p_size % 30 AS version, count(*) AS n_rules FROM part GROUP BY 1 ORDER BY 1 DESC LIMIT 25""")
 def cal_version_list(spark, d):
-    return C.version_list(versions(spark, d))
+    return C.version_list(versions(spark, d), 25)
 
 
 def _long(view):
@@ -522,7 +523,7 @@ q AS (SELECT disposition, id, created_at, row_number() OVER (PARTITION BY dispos
              count(*) OVER (PARTITION BY disposition) AS group_size FROM routed JOIN a_feedback USING (id) WHERE state = 'new')
 SELECT disposition, group_size, CAST(n AS INTEGER) AS n, id FROM q WHERE n <= 20""")
 def fb_digest(spark, d):
-    return FB.digest(queue_rows(spark, d)).select("disposition", "group_size", "n", "id")
+    return FB.digest(queue_rows(spark, d), 20).select("disposition", "group_size", "n", "id")
 
 
 @query("fb_markup_export", """

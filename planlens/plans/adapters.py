@@ -118,7 +118,7 @@ VIEWS: dict[str, str] = {
                     WHEN 2 THEN 'understated' WHEN 3 THEN 'not_a_finding' END AS a_severity,
                CASE length(text) % 13 WHEN 0 THEN 'wrong_section' WHEN 1 THEN 'right' END AS a_citation,
                CASE length(text) % 17 WHEN 0 THEN 'x' END AS a_colour,
-               CASE WHEN length(text) % 3 = 0 THEN substr(text, 1, 20) ELSE '' END AS comment,
+               CASE WHEN length(text) % 3 = 0 THEN text ELSE '' END AS comment,
                CASE length(text) % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'new' END AS state,
                CASE length(text) % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'M' ELSE '' END AS occupancy_group,
                conv_id * 600 + turn * 7 AS created_at

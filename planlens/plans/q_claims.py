@@ -53,12 +53,12 @@ def src_ocr_words(spark, d):
 
 
 @query("src_readings", """
-SELECT conv_id AS set_id, turn AS page, CASE role WHEN 'user' THEN 'height_ft' ELSE 'stories' END AS field, substr(text, 1, 5) AS value
+SELECT conv_id AS set_id, turn AS page, CASE role WHEN 'user' THEN 'height_ft' ELSE 'stories' END AS field, text AS value
 FROM conversations""")
 def src_readings(spark, d):
     c = table(spark, d, "conversations")
     f = F.array(F.struct(F.when(F.col("role") == "user", "height_ft").otherwise("stories").alias("field"),
-                         F.substring("text", 1, 5).alias("value"), F.substring("text", 1, 9).alias("quote"), F.lit("").alias("role")))
+                         F.col("text").alias("value"), F.col("text").alias("quote"), F.lit("").alias("role")))
     sheets = F.create_map(F.col("turn").cast("string"), F.struct(F.lit("G-1").alias("sheet_number"), f.alias("fields")))
     js = c.select(F.col("conv_id").alias("set_id"), F.to_json(F.struct(sheets.alias("sheets"))).alias("json"))
     out = R.proposals_of(R.parse_readings(js))
@@ -388,15 +388,14 @@ def clm_stamp(spark, d):
 # ---- grounding ----------------------------------------------------------------------------------
 
 def proposals(spark, d):
-    """A quote of each document's first line as the reading of one field, on the page it is from."""
-    t = table(spark, d, "documents")
+    """Every printed line as the quote of a reading, on the page it is from."""
+    ln = lines(spark, d)
     n = F.length("text")
     field = F.element_at(F.array(*map(F.lit, ("zoning", "height_ft", "nothing", "stories", "egress.width"))), (n % 5).cast("int") + 1)
-    toks = T.words(F.element_at(F.split("text", "\n"), 1))
-    quote = F.array_join(F.slice(toks, 1, 4), " ")
-    return t.select(F.floor(F.col("doc_id") / 10).alias("set_id"), (F.col("doc_id") % 10).cast("int").alias("page"), F.col("doc_id").alias("prop_id"),
-                    field.alias("field"), F.coalesce(F.try_element_at(toks, F.when(n % 7 == 0, 9).otherwise(2)), F.lit("")).alias("value"), quote.alias("quote"),
-                    F.lit("").alias("role"))
+    toks = T.words(F.col("text"))
+    at = F.when(n % 7 == 0, F.size(toks) + 1).otherwise((1 + n % F.greatest(F.size(toks), F.lit(1))).cast("int"))  # some values stand in no quote
+    return ln.select("set_id", "page", F.col("line_no").cast("bigint").alias("prop_id"), field.alias("field"),
+                     F.coalesce(F.try_element_at(toks, at), F.lit("elsewhere")).alias("value"), F.col("text").alias("quote"), F.lit("").alias("role"))
 
 
 @query("clm_locate_words")
@@ -410,8 +409,9 @@ def line_pairs(spark, d):
     ln = lines(spark, d)
     toks = T.words(F.col("text"))
     box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(9.0).alias("x1"), F.lit(9.0).alias("y1"))
-    return ln.select("set_id", "page", F.col("line_no").alias("ord"), F.array_join(F.slice(toks, 1, 3), " ").alias("label"),
-                     F.array(F.array_join(F.slice(toks, 4, 3), " ")).alias("values"), box.alias("box"))
+    half = F.greatest(F.floor(F.size(toks) / 2), F.lit(1)).cast("int")
+    return ln.select("set_id", "page", F.col("line_no").alias("ord"), F.array_join(F.slice(toks, F.lit(1), half), " ").alias("label"),
+                     F.array(F.array_join(F.slice(toks, half + 1, F.greatest(F.size(toks), F.lit(1))), " ")).alias("values"), box.alias("box"))
 
 
 @query("clm_locate_pair")
@@ -428,12 +428,12 @@ def clm_ground(spark, d):
 
 
 @query("clm_merge_readings", """
-WITH u AS (SELECT conv_id AS set_id, substr(text, 1, 2) AS quote, role AS field, 0 AS pass, turn AS seq FROM conversations WHERE role = 'user' UNION ALL
-           SELECT conv_id, substr(text, 1, 2), 'user', 1, turn FROM conversations)
+WITH u AS (SELECT conv_id AS set_id, text AS quote, role AS field, 0 AS pass, turn AS seq FROM conversations WHERE role = 'user' UNION ALL
+           SELECT conv_id, text, 'user', 1, turn FROM conversations)
 SELECT set_id, quote, field, CAST(min(pass) AS INTEGER) AS pass, count(*) > 1 AS again FROM u GROUP BY set_id, quote, field""")
 def clm_merge_readings(spark, d):
     c = table(spark, d, "conversations")
     shape = lambda df: df.select(F.col("conv_id").alias("set_id"), F.lit(0).alias("page"), F.lit("user").alias("field"), F.lit("v").alias("value"),
-                                 F.substring("text", 1, 2).alias("quote"), F.lit("").alias("role"), F.col("turn").alias("seq"))
+                                 F.col("text").alias("quote"), F.lit("").alias("role"), F.col("turn").alias("seq"))
     both = shape(c.where("role = 'user'")).unionByName(shape(c)).groupBy("set_id", "quote").agg((F.count(F.lit(1)) > 1).alias("again"))
     return G.merge_readings(shape(c.where("role = 'user'")), shape(c)).select("set_id", "quote", "field", "pass").join(both, ["set_id", "quote"])

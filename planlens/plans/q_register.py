@@ -160,7 +160,7 @@ def edits(spark, d):
         F.col("turn").cast("int").alias("pass"), n.cast("int").alias("ordinal"),
         pick("revise", "revise", "withdraw", "add").alias("op"), pick("", "OPEN", "PASS", "").alias("status"),
         pick("HIGH", "", "LOW", "VERIFIED", "CRITICAL").alias("severity"), pick("", "new title", "").alias("title"),
-        pick("misread", "because", "").alias("reason"), F.substring("text", 1, 12).alias("quote"),
+        pick("misread", "because", "").alias("reason"), F.col("text").alias("quote"),
         (n % 4 != 0).alias("quote_found"), (n % 7).cast("int").alias("page"))
 
 
@@ -439,9 +439,9 @@ def fb_validate(spark, d):
 
 
 @query("fb_geometry", """
-WITH m AS (SELECT vec_id AS id, CASE label % 6 WHEN 0 THEN 'arrow' WHEN 1 THEN 'box' WHEN 2 THEN 'cloud' WHEN 3 THEN 'note'
-                  WHEN 4 THEN 'freehand' ELSE 'text' END AS kind, round(embedding[1] * 10) AS x0, round(embedding[2] * 10) AS y0,
-                  round(embedding[3] * 10) AS x1, round(embedding[4] * 10) AS y1, label % 3 AS n FROM embeddings)
+WITH m AS (SELECT vec_id * 16 + g AS id, CASE label % 6 WHEN 0 THEN 'arrow' WHEN 1 THEN 'box' WHEN 2 THEN 'cloud' WHEN 3 THEN 'note'
+                  WHEN 4 THEN 'freehand' ELSE 'text' END AS kind, round(embedding[4 * g + 1] * 10) AS x0, round(embedding[4 * g + 2] * 10) AS y0,
+                  round(embedding[4 * g + 3] * 10) AS x1, round(embedding[4 * g + 4] * 10) AS y1, label % 3 AS n FROM (SELECT *, unnest(range(16)) AS g FROM embeddings))
 SELECT id, kind, CASE WHEN kind IN ('arrow', 'freehand') THEN 'needs at least two points' ELSE 'marks a region with no area' END AS complaint
 FROM m WHERE (kind IN ('arrow', 'freehand') AND n < 2) OR (kind IN ('box', 'cloud') AND (x0 = x1 OR y0 = y1))""")
 def fb_geometry(spark, d):
@@ -449,11 +449,11 @@ def fb_geometry(spark, d):
 
 
 def markups(spark, d):
-    e = table(spark, d, "embeddings")
+    e = table(spark, d, "embeddings").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(15))))  # four numbers a box
     kind = F.element_at(F.array(*map(F.lit, ("arrow", "box", "cloud", "note", "freehand", "text"))),
                         (F.col("label") % 6).cast("int") + 1)
-    at = lambda i: F.round(F.element_at("embedding", i).cast("double") * 10)
-    return e.select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("set_id"), kind.alias("kind"),
+    at = lambda i: F.round(F.element_at("embedding", 4 * F.col("g") + i).cast("double") * 10)
+    return e.select((F.col("vec_id") * 16 + F.col("g")).alias("id"), F.col("label").cast("bigint").alias("set_id"), kind.alias("kind"),
                     at(1).alias("x0"), at(2).alias("y0"), at(3).alias("x1"), at(4).alias("y1"),
                     F.expr("slice(array(array(0D, 0D), array(1D, 1D)), 1, label % 3)").alias("points"),
                     (F.col("vec_id") % 9).alias("page"))
@@ -527,7 +527,8 @@ def fb_digest(spark, d):
 
 
 @query("fb_markup_export", """
-WITH m AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS set_id, round(embedding[1] * 10) AS x0, round(embedding[2] * 10) AS y0, vec_id % 9 AS page FROM embeddings)
+WITH m AS (SELECT vec_id * 16 + g AS id, CAST(label AS BIGINT) AS set_id, round(embedding[4 * g + 1] * 10) AS x0, round(embedding[4 * g + 2] * 10) AS y0, vec_id % 9 AS page
+           FROM (SELECT *, unnest(range(16)) AS g FROM embeddings))
 SELECT set_id, id, page, row_number() OVER (PARTITION BY set_id ORDER BY page, y0, x0, id) AS ord FROM m""")
 def fb_markup_export(spark, d):
     return FB.markup_order(markups(spark, d)).select("set_id", "id", "page", "ord")
@@ -535,7 +536,7 @@ def fb_markup_export(spark, d):
 
 @query("fb_markup_counts", """
 SELECT CAST(label AS BIGINT) AS set_id, CASE label % 6 WHEN 0 THEN 'arrow' WHEN 1 THEN 'box' WHEN 2 THEN 'cloud' WHEN 3 THEN 'note'
-       WHEN 4 THEN 'freehand' ELSE 'text' END AS kind, count(*) AS n FROM embeddings GROUP BY 1, 2""")
+       WHEN 4 THEN 'freehand' ELSE 'text' END AS kind, 16 * count(*) AS n FROM embeddings GROUP BY 1, 2""")
 def fb_markup_counts(spark, d):
     return FB.markup_totals(markups(spark, d))
 

@@ -1,7 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document is the set of its hashed terms (A-Z lower-cased runs of letters, digits and
-non-ASCII). Terms whose presence tells nothing about the label, by a G-squared test over all
+A document is the set of its hashed terms: A-Z lower-cased runs of letters, digits and non-ASCII,
+and the first ``PREFIXES`` bytes of longer ones, so that a rare form of a word counts with its
+other forms. Terms whose presence tells nothing about the label, by a G-squared test over all
 training documents counted in Spark, have no weight; on the others a factorization machine
 learns one weight each and, by a short vector each, how pairs of terms act together: an insult
 beside a mention of a group can weigh more than the sum of both.
@@ -28,12 +29,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planlens.llm.common import FIRST, LOWER, NOT_WORD, U64, chunks, lists, rows_of, text_bytes, word_spans
+from planlens.llm.common import FIRST, LOWER, NOT_WORD, SECOND, U64, chunks, lists, rows_of, text_bytes, word_spans
 
 BITS = 22  # a term is one of 2^22 hashes
 MAX_LABELS, MAX_TERMS, FACTORS = 20000, 2000, 8
-MIN_G2, STEPS, RATE, DECAY = 22.0, 300, 0.05, 1e-4
+MIN_G2, STEPS, RATE, DECAY = 20.0, 300, 0.05, 1e-4
 THRESHOLD = 0.7
+PREFIXES = (4, 5)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -45,9 +47,14 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     data = LOWER[data]
     starts, ends, rows = word_spans(data, offsets, NOT_WORD)
-    term = (FIRST.words(data, starts, ends) >> U64(64 - BITS)).astype(np.int64)
     n = len(rows) - 1
-    both = np.unique(np.repeat(np.arange(n), np.diff(rows)) << BITS | term)
+    row = np.repeat(np.arange(n), np.diff(rows))
+    found = [row << BITS | (FIRST.words(data, starts, ends) >> U64(64 - BITS)).astype(np.int64)]
+    for size in PREFIXES:
+        longer = np.flatnonzero(ends - starts > size)
+        start = starts[longer]
+        found.append(row[longer] << BITS | (SECOND.words(data, start, start + size) >> U64(64 - BITS)).astype(np.int64))
+    both = np.unique(np.concatenate(found))
     return (both & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(both >> BITS, np.arange(n + 1))
 
 
@@ -91,17 +98,15 @@ def _logit(row, at, n, weight, vector):
 
 
 def fit_machine(row: np.ndarray, at: np.ndarray, y: np.ndarray, n_terms: int, factors: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-loss minimised by Adam over all rows at once, both labels weighing alike."""
+    """Log-loss minimised by Adam over all rows at once, each weighing alike, so that scores are shares of toxic documents."""
     rng, n = np.random.default_rng(seed), len(y)
-    share = y.mean()
-    sample = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / n
     params = [np.zeros(1), np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, factors))]
     moved = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for t in range(1, STEPS + 1):
         bias, weight, vector = params
         own = _sums(row, n, vector[at])
         logit = bias[0] + _sums(row, n, weight[at]) + 0.5 * ((own ** 2).sum(1) - _sums(row, n, (vector[at] ** 2).sum(1)))
-        off = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * sample
+        off = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / n
         pull = off[row]
         g_vector = np.zeros_like(vector)
         for k in range(factors):

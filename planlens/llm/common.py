@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from planlens.session import ensure_checkpoint_dir
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20  # text bytes an Arrow function works on at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 20  # text bytes an Arrow function works on at once, some 60 MB of numpy arrays; a longer text is a chunk of its own
 MASK = (1 << 64) - 1
 
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-A shard is a few megabytes of whole documents inside one task. Its words become numbers in the
+A shard is two megabytes of whole documents inside one task. Its words become numbers in the
 benchmark's vocabulary (other words: none), the suffixes that could match at all are sorted into
 a suffix array, and every suffix of every benchmark item is binary-searched in it, one word
 deeper at a time, which leaves its longest verbatim match and all places of it. Windows found
@@ -32,6 +32,7 @@ from planlens.llm.common import FIRST, LOWER, NOT_WORD, Scratch, chunks, lists,
 WINDOW = 13
 SHARE = 20  # contaminated: at least one word in SHARE is hit
 BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20  # text of a suffix array
 
 
 def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +135,7 @@ def _shard(column: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray]:
 
 def _find(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, limit=SHARD_BYTES):
             words, first = _shard(part.column("text"), items)
             depth = int(items.left.max()) if len(items.left) else 0
             array = SuffixArray(words, min(items.window, items.shortest), depth)
@@ -164,7 +165,7 @@ def _find(items: Items):
 
 def _longest(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, limit=SHARD_BYTES):
             words, first = _shard(part.column("text"), items)
             array = SuffixArray(words, 1, int(items.left.max()) if len(items.left) else 0)
             longest, _, _, place = array.search(items)

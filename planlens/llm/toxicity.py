@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -174,8 +173,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` without those that score ``threshold`` or more, all columns as they were."""
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        out = [model.scores(*terms(p.column("text"))) for p in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])])]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
-    return docs.where(scored(F.col(text_col).cast("string")) < threshold)
+    def run(batches):
+        for piece in chunks(batches, text_col):
+            yield piece.filter(pa.array(model.scores(*terms(piece.column(text_col))) < threshold))
+    return docs.mapInArrow(run, docs.schema)

@@ -25,17 +25,19 @@ def drawn_from_facts(resolved: DataFrame) -> DataFrame:
         F.col("lead.page").alias("page"), F.lit("").alias("note"))
 
 
-def review(pairs: DataFrame, declarations: DataFrame, profile: DataFrame | None = None, **tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+def review(pairs: DataFrame, declarations: DataFrame, profile: DataFrame | None = None, only: list[str] | None = None, **tables: DataFrame
+           ) -> tuple[DataFrame, DataFrame]:
     """(register, abstentions) of every set that has pairs or a declaration.
 
-    ``declarations`` is the wide row per set; ``tables`` are the other inputs the rules know.
+    ``declarations`` is the wide row per set; ``tables`` are the other inputs the rules know;
+    ``only`` names the rules to run (None: all).
     """
     spark = pairs.sparkSession
     resolved = facts_from_pairs(pairs)
     sets = pairs.select("set_id").union(declarations.select("set_id")).distinct()
     drawn = R.apply_implication(drawn_from_facts(resolved))
     rec = R.reconcile(R.long_declarations(declarations), drawn, questions(spark), sets=sets)
-    out = RU.run_rules(RU.Inputs(R.scenarios(rec, keep_silent=True), resolved=resolved, **tables), spark)
+    out = RU.run_rules(RU.Inputs(R.scenarios(rec, keep_silent=True), resolved=resolved, **tables), spark, only)
     merged = RG.merge_scenarios(RU.findings(out))
     stood = RG.dedupe_abstentions(RU.abstentions(out))
     if profile is not None:
@@ -73,12 +75,12 @@ def drawn(words: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
 RULE_TABLES = ["sheets", "text", "exits", "spaces", "fixtures", "ceilings", "area_tally"]
 
 
-def review_corpus(words: DataFrame, pages: DataFrame, declarations: DataFrame, profile: DataFrame | None = None, **tables: DataFrame
-                  ) -> tuple[DataFrame, DataFrame]:
+def review_corpus(words: DataFrame, pages: DataFrame, declarations: DataFrame, profile: DataFrame | None = None,
+                  only: list[str] | None = None, **tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(register, abstentions) of every set, from its words to its ranked findings.
 
     ``tables`` are inputs that words cannot fill, such as doors, ventilation, egress_runs or attrs;
     one named like a table read off the words replaces it.
     """
     said = drawn(words, pages)
-    return review(said["pairs"], declarations, profile, **{k: said[k] for k in RULE_TABLES} | tables)
+    return review(said["pairs"], declarations, profile, only, **{k: said[k] for k in RULE_TABLES} | tables)

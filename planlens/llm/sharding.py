@@ -22,8 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from planlens.llm.common import give_back
+
 LAW = "rows"
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 ROW_BYTES = 16  # what a row counts beside its text
 
 
@@ -41,6 +43,8 @@ def _shuffle(seed: int, before: dict[int, int], total: int, shards: int, id_col:
         shard = np.array([bisect_right(starts, int(p)) - 1 for p in at], np.int32)
         slot = at - np.array(starts)[shard]
         out = table.drop_columns(["_bucket", "_tkey"]).take(pa.array(order))
+        del table
+        give_back()
         return out.append_column("shard", pa.array(shard)).append_column("slot", pa.array(slot.astype(np.int64)))
     return run
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planlens.llm.common import FIRST, LOWER, NOT_WORD, SECOND, U64, chunks, lists, rows_of, text_bytes, word_spans
+from planlens.llm.common import FIRST, LOWER, NOT_WORD, SECOND, U64, chunks, give_back, lists, rows_of, text_bytes, word_spans
 
 BITS = 22  # a term is one of 2^22 hashes
 MAX_LABELS, MAX_TERMS, FACTORS = 20000, 2000, 8
@@ -155,7 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_te
             y = np.array([v for _, v in rows], float)
             row = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
             at = np.searchsorted(term, np.array([x for t, _ in rows for x in t], np.int32))
+            del rows
             bias, weight, vector = fit_machine(row, at, y, len(term), factors, seed)
+            give_back()
             return pa.table({"bias": [bias], "weight": [weight.tolist()], "vector": [vector.ravel().tolist()]})
         got = (held.mapInArrow(lean, "part int, y int, terms array<int>").groupBy("part").applyInArrow(learn, "bias double, weight array<double>, vector array<double>").first())
         return Model(got["bias"], term, np.array(got["weight"]), np.array(got["vector"]).reshape(len(term), factors))

@@ -2,7 +2,7 @@
 
 A fingerprint is ``PERMUTATIONS`` minima of universal hash permutations (multiply-shift, in numpy
 over the whole chunk of texts at once), written as hex. Signature bands are joined in Spark to
-propose pairs, and Jaccard is verified on the full shingle sets.
+propose pairs, and Jaccard is verified on the full shingle sets (``similar_pairs``).
 
 Every document is also compared with the document next to it in descending id order, and with an
 edited text: its last half replaced by the next document's beginning. Texts are shuffled once,
@@ -25,8 +25,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from planlens.llm.common import U64, Scratch, chunks, rows_of
-from planlens.llm.near_dedup import PERCENT, SHINGLE, _confirm, shingles
+from planlens.llm.common import U64, Scratch, chunks, components, lists, longs, mix, rows_of
+from planlens.llm.near_dedup import PERCENT, SHINGLE, deciders, digests, shingles, signatures
 
 PERMUTATIONS = 64
 BANDS = 16
@@ -128,25 +128,55 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set's digest and a hash of each signature band, for the texts with words."""
     for part in chunks(batches):
-        prints = _hex(fingerprints(part.column("text")))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), pa.array(prints, pa.string())], ["doc_id", "tkey", "fingerprint"])
+        hashes, first = shingles(part.column("text"), SHINGLE)
+        some = np.diff(first) > 0
+        rows = signatures(hashes, first, FACTORS, OFFSETS)[some].reshape(-1, BANDS, PERMUTATIONS // BANDS).astype(U64)
+        bands = np.zeros(rows.shape[:2], U64) + np.arange(1, BANDS + 1, dtype=U64)
+        for k in range(rows.shape[2]):
+            bands = mix(bands ^ rows[:, :, k]) + U64(k)
+        part = part.select(["doc_id", "tkey"]).filter(pa.array(some))
+        yield pa.RecordBatch.from_arrays([*part.columns, longs(digests(hashes, first)[0][some]), lists(bands.ravel().view(np.int64), np.arange(0, bands.size + 1, BANDS))],
+                                         ["doc_id", "tkey", "id", "bands"])
 
 
 def similar_pairs(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (a, b) with a > b whose signatures meet in a band and whose shingle sets have Jaccard ``percent`` / 100.
-
-    In each band bucket a document is paired with the smallest one only, so a bucket of thousands
-    of copies gives as many pairs as rows. Texts without words pair with nothing; rows without id
-    are left out.
+    """Links (a, b) with a > b between documents whose shingle sets have Jaccard ``percent`` / 100.
+
+    Any two such documents whose signatures meet in a band are joined by the links, directly or over
+    others; all pairs of a group of copies would grow with its square. Documents with equal sets are
+    one from the start, linked with their smallest id. Each other set is first verified with the
+    smallest set it shares most bands with; what that links is one class. Buckets that still hold
+    several classes are decided on the full sets, every document of one class against those of all
+    others (see near_dedup). Texts without words pair with nothing; rows without id are left out.
     """
     base = rows_of(docs, id_col, text_col).where("doc_id is not null")
     scratch = Scratch(docs.sparkSession)
-    prints = base.mapInArrow(_signed, "doc_id long, tkey long, fingerprint string").where(F.col("fingerprint") != "f" * 8 * PERMUTATIONS)
-    wide = 8 * PERMUTATIONS // BANDS
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.substring("fingerprint", 1 + i * wide, wide)).alias("bucket")) for i in range(BANDS)])
-    rows = prints.withColumn("k", F.explode(bands)).select("doc_id", "tkey", "k.*")
-    heads = rows.groupBy("band", "bucket").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("z")).where("b < z").drop("z")
-    pairs = scratch.store(rows.join(heads, ["band", "bucket"]).where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct())
-    a, b = base.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), base.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(SHINGLE, percent), "a long, b long").distinct()
+    members = scratch.store(base.mapInArrow(_signed, "doc_id long, tkey long, id long, bands array<long>"))
+    sets = scratch.store(members.groupBy("id").agg(F.min(F.struct("doc_id", "tkey")).alias("k"), F.first("bands").alias("bands")).select("id", "k.*", "bands"))
+    confirmed, decided = deciders(base, sets.select("id", "doc_id", "tkey"), scratch, SHINGLE, percent)
+    spread = sets.select(F.explode("bands").alias("cluster"), "id")
+    heads = spread.groupBy("cluster").agg(F.min("id").alias("head"), F.max("id").alias("_last")).where("head < _last").drop("_last")
+    rows = scratch.store(spread.join(heads, "cluster"))
+    near = (rows.where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("id").agg(F.min(F.struct(-F.col("n"), F.col("head"))).alias("k")).select(F.col("id").alias("a"), F.col("k.head").alias("b")))
+    edges = confirmed(scratch.store(near))
+    roots = components(edges, scratch)
+    labelled = scratch.store(rows.join(roots, "id", "left").select("cluster", "id", F.coalesce("root", "id").alias("label")))
+    scratch.drop(rows)
+    # Bands that bring the same documents together are decided once.
+    held = [F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    mixed = labelled.groupBy("cluster").agg(*held, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    once = mixed.groupBy("n", "first", "x", "y").agg(F.min("cluster").alias("cluster")).select("cluster")
+    more = decided(scratch.store(labelled.join(once, "cluster")))
+    named = lambda c: sets.select(F.col("id").alias(c), F.col("doc_id").alias(f"{c}_doc"))
+    between = edges.unionByName(more).distinct().join(named("a"), "a").join(named("b"), "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+    copies = members.join(sets.select("id", F.col("doc_id").alias("b")), "id").select(F.col("doc_id").alias("a"), "b")
+    return between.unionByName(copies).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents that similar_pairs links; component_id is the smallest id reachable."""
+    scratch = Scratch(docs.sparkSession)
+    return components(scratch.store(similar_pairs(docs, percent, id_col, text_col)), scratch).select(F.col("id").alias("doc_id"), F.col("root").alias("component_id"))

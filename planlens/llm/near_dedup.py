@@ -81,16 +81,21 @@ def signatures(hashes: np.ndarray, first: np.ndarray, factors: np.ndarray = FACT
     return out
 
 
+def digests(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 128-bit digest of every set, in two rows: sums of mixed hashes."""
+    both = np.zeros((2, len(first) - 1), U64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        both[0, some] = mix(np.add.reduceat(mix(hashes), first[some]))
+        both[1, some] = mix(np.add.reduceat(mix(hashes ^ U64(0x9E3779B97F4A7C15)), first[some]))
+    return both
+
+
 def _embed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             hashes, first = shingles(part.column("text"), size)
-            n, sig = np.diff(first), signatures(hashes, first)
-            both = np.zeros((2, len(n)), U64)  # a 128-bit digest of the set: sums of mixed hashes
-            some = np.flatnonzero(n)
-            if len(some):
-                both[0, some] = mix(np.add.reduceat(mix(hashes), first[some]))
-                both[1, some] = mix(np.add.reduceat(mix(hashes ^ U64(0x9E3779B97F4A7C15)), first[some]))
+            n, sig, both = np.diff(first), signatures(hashes, first), digests(hashes, first)
             values = [pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, SIGNATURE, dtype=np.int32)), pa.array(sig.ravel().view(np.int32)))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), pa.array(n.astype(np.int64)), longs(both[0]), longs(both[1]), *values],
                                              ["doc_id", "tkey", "n_shingles", "s1", "s2", "sig"])
@@ -203,17 +208,12 @@ def _meet(size: int, percent: int):
     return run
 
 
-def links(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int = PERCENT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(members, roots): every row's set (doc_id, tkey, n_shingles, id), where ``id`` names the set and is the
-    smallest doc_id with it, and the component root of every set that is linked with another."""
-    members = scratch.store(docs.mapInArrow(_embed(size), "doc_id long, tkey long, n_shingles long, s1 long, s2 long, sig array<int>"))
-    # Rows without id get one from their set; it is above all real ones, and shown as NULL again.
-    own = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("s1", "s2", "tkey"), 2).bitwiseOR(F.lit(1 << 62)))
-    sets = scratch.store(members.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(own).alias("id"), F.first("sig").alias("sig")))
-    ids = sets.select("s1", "s2", "id")
+def deciders(docs: DataFrame, speaker: DataFrame, scratch: Scratch, size: int, percent: int, seed: int = 0):
+    """Two functions that judge sets by their texts: ``confirmed`` pairs and ``decided`` clusters.
+
+    ``speaker`` (id, doc_id, tkey) names the row of ``docs`` whose text stands for the set, -1 for a NULL doc_id.
+    """
     texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "tkey", "text")
-    speaker = (members.join(ids, ["s1", "s2"]).where(own == F.col("id"))
-               .groupBy("id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "tkey")).alias("k")).select("id", "k.*"))
 
     def with_texts(wanted: DataFrame) -> DataFrame:
         """(id, text) of the wanted ids; no other text travels on from the join."""
@@ -246,6 +246,22 @@ def links(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int =
         return (rows.join(whole, "id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "visitor", "id")
                 .mapInArrow(_meet(size, percent), "a long, b long"))
 
+    return confirmed, decided
+
+
+def links(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int = PERCENT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(members, roots): every row's set (doc_id, tkey, n_shingles, id), where ``id`` names the set and is the
+    smallest doc_id with it, and the component root of every set that is linked with another."""
+    members = scratch.store(docs.mapInArrow(_embed(size), "doc_id long, tkey long, n_shingles long, s1 long, s2 long, sig array<int>"))
+    # Rows without id get one from their set; it is above all real ones, and shown as NULL again.
+    own = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("s1", "s2", "tkey"), 2).bitwiseOR(F.lit(1 << 62)))
+    sets = scratch.store(members.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(own).alias("id"), F.first("sig").alias("sig")))
+    ids = sets.select("s1", "s2", "id")
+    speaker = (members.join(ids, ["s1", "s2"]).where(own == F.col("id"))
+               .groupBy("id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "tkey")).alias("k")).select("id", "k.*"))
+
+    confirmed, decided = deciders(docs, speaker, scratch, size, percent, seed)
+
     def branched(rows: DataFrame, first: bool) -> DataFrame:
         """The children of every row: positions chosen by the path, documents sent on by their value there."""
         if first:

@@ -35,7 +35,9 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints.fingerprint_neighbours(_table(spark, folder, "documents"))
+    docs = _table(spark, folder, "documents")
+    groups = fingerprints.similar_groups(docs)
+    return fingerprints.fingerprint_neighbours(docs).join(groups, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -217,6 +217,22 @@ def test_band_pairs_are_true(docs, rows):
         assert a > b and 100 * n >= 80 * len(s[a] | s[b])
 
 
+def test_unlike_hubs_hide_no_pair(spark):
+    rng = random.Random(8)
+    words = [str(rng.random()) for _ in range(300)]
+    edited = lambda n: " ".join(str(rng.random()) if k in set(range(at, at + n)) else w for at in [rng.randrange(300 - n)] for k, w in enumerate(words))
+    # smaller ids in every band of the two last, none of them like either
+    group = [(i, edited(45)) for i in range(1, 61)] + [(100, " ".join(words)), (101, edited(6))]
+    sets = sets_of(group, 5)
+    assert all(100 * len(sets[i] & sets[j]) < 80 * len(sets[i] | sets[j]) for i in range(1, 61) for j in (100, 101))
+    prints = fingerprints.fingerprints(pa.array([t for _, t in group])).reshape(62, fingerprints.BANDS, -1)
+    assert (prints[:60] == prints[60]).all(2).any(0).all()
+    want, root = classes(sets), {i: i for i in sets}
+    for a, b in got(fingerprints.similar_pairs(spark.createDataFrame(group, "doc_id long, text string")), "a", "b"):
+        root = {i: min(root[a], root[b]) if r in (root[a], root[b]) else r for i, r in root.items()}
+    assert root == want and want[101] == 100
+
+
 # ---------------------------------------------------------------- 5 benchmark
 
 @pytest.fixture(scope="module")

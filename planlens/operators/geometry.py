@@ -282,12 +282,13 @@ def expanded_count(inserts: DataFrame, contents: DataFrame, cap: int) -> DataFra
     return total.groupBy("set_id").agg(F.least(F.sum("t"), F.lit(past)).cast("bigint").alias("n_entities"))
 
 
-def locate_anchor(items: DataFrame, anchors: DataFrame) -> DataFrame:
+def locate_anchor(items: DataFrame, anchors: DataFrame, prefix: int | None = None) -> DataFrame:
     """Boxes of every occurrence of an anchor phrase in a page's text items.
 
     ``items``: set_id, page, seq, text, x0..y1. ``anchors``: set_id, page, anchor. Occurrences are
-    counted in content order and do not overlap; an anchor absent as a whole is looked for by its
-    first sixteen characters. The page text is joined once per page.
+    counted in content order and do not overlap. With ``prefix`` an anchor absent as a whole is looked
+    for by so many of its first characters (the reference takes V.ANCHOR_PREFIX); such hits may be of
+    other phrases and have ``whole`` false. The page text is joined once per page.
     """
     norm = lambda c: F.trim(F.regexp_replace(F.upper(c), r"\s+", " "))
     it = items.withColumn("t", norm(F.col("text"))).where("t <> ''")
@@ -296,19 +297,19 @@ def locate_anchor(items: DataFrame, anchors: DataFrame) -> DataFrame:
     page = it.groupBy(*PAGE).agg(F.concat(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("seq", "t"))), lambda s: s["t"]), " "), F.lit(" ")).alias("joined"))
     a = anchors.select(*PAGE, "anchor").distinct().withColumn("target", norm(F.col("anchor"))).where("target <> ''").join(page, PAGE)
-    short = F.substring("target", 1, V.ANCHOR_PREFIX)
-    a = a.withColumn("needle", F.when(F.contains("joined", F.col("target")) | (F.length("target") <= V.ANCHOR_PREFIX),
-                                      F.col("target")).otherwise(short))
+    a = a.withColumn("needle", F.col("target") if prefix is None else F.when(F.contains("joined", F.col("target")), F.col("target")).otherwise(
+        F.substring("target", 1, prefix)))
+    a = a.withColumn("whole", F.col("needle") == F.col("target"))
     parts = F.expr("split(joined, concat('\\\\Q', needle, '\\\\E'))")
-    a = a.select(*PAGE, "anchor", F.length("needle").alias("len"), F.posexplode(parts).alias("i", "part"))
+    a = a.select(*PAGE, "anchor", "whole", F.length("needle").alias("len"), F.posexplode(parts).alias("i", "part"))
     v = W.partitionBy(*PAGE, "anchor").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     last = F.max("i").over(W.partitionBy(*PAGE, "anchor"))
     a = a.withColumn("at", F.sum(F.length("part")).over(v) + F.col("i") * F.col("len")).withColumn("_last", last).where("i < _last")
-    hit = a.select(*PAGE, "anchor", F.col("i").alias("hit"), "at", (F.col("at") + F.col("len")).alias("stop"))
+    hit = a.select(*PAGE, "anchor", "whole", F.col("i").alias("hit"), "at", (F.col("at") + F.col("len")).alias("stop"))
     # a stretch of 256 characters is the join key, so a page's text spreads over its stretches
     step = 256
     bucket = lambda lo, hi: F.explode(F.sequence((F.floor(F.col(lo) / step)).cast("int"), (F.floor((F.col(hi) - 1) / step)).cast("int")))
     h = hit.withColumn("bk", bucket("at", "stop"))
     i = it.select(*PAGE, "lo", "hi", "x0", "y0", "x1", "y1").withColumn("bk", bucket("lo", "hi"))
     return (h.join(i, [*PAGE, "bk"]).where((F.col("lo") < F.col("stop")) & (F.col("at") < F.col("hi")))
-            .groupBy(*PAGE, "anchor", "hit").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")))
+            .groupBy(*PAGE, "anchor", "hit", "whole").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")))

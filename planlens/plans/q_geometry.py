@@ -347,12 +347,26 @@ def geo_block_expand(spark, d):
     return out.select(F.col("set_id").cast("int").alias("set_id"), "n_entities")
 
 
+def line_items(spark, d):
+    return lines(spark, d).select("set_id", "page", F.col("line_no").alias("seq"), "text", F.lit(0.0).alias("x0"), (F.col("line_no") * 12.0).alias("y0"), F.lit(100.0).alias("x1"), (F.col("line_no") * 12.0 + 10).alias("y1"))
+
+
 @query("geo_anchor", DUCK_LINES + """,
 p AS (SELECT set_id, page, string_agg(trim(regexp_replace(upper(text), '\\s+', ' ', 'g')), ' ' ORDER BY line_no) || ' ' AS j FROM a_lines
       WHERE trim(regexp_replace(upper(text), '\\s+', ' ', 'g')) <> '' GROUP BY set_id, page)
 SELECT set_id, page, len(string_split(j, 'THE')) - 1 AS n FROM p WHERE contains(j, 'THE')""")
 def geo_anchor(spark, d):
+    anchors = lines(spark, d).select("set_id", "page").distinct().withColumn("anchor", F.lit("the"))
+    return G.locate_anchor(line_items(spark, d), anchors).groupBy("set_id", "page").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("geo_anchor_lines", DUCK_LINES + """,
+l AS (SELECT set_id, page, line_no, text AS raw, trim(regexp_replace(upper(text), '\\s+', ' ', 'g')) AS t FROM a_lines),
+p AS (SELECT set_id, page, string_agg(t, ' ' ORDER BY line_no) || ' ' AS j FROM l WHERE t <> '' GROUP BY set_id, page),
+a AS (SELECT DISTINCT l.set_id, n.page, raw, t FROM l JOIN (SELECT DISTINCT set_id, page FROM l) n ON n.set_id = l.set_id AND n.page IN (l.page, l.page + 1) WHERE t <> '')
+SELECT a.set_id, a.page, raw AS anchor, len(string_split(j, t)) - 1 AS n FROM a JOIN p ON p.set_id = a.set_id AND p.page = a.page WHERE contains(j, t)""")
+def geo_anchor_lines(spark, d):
+    """Every line as an anchor on its own page and, where it may be absent, on the next."""
     ln = lines(spark, d)
-    items = ln.select("set_id", "page", F.col("line_no").alias("seq"), "text", F.lit(0.0).alias("x0"), (F.col("line_no") * 12.0).alias("y0"), F.lit(100.0).alias("x1"), (F.col("line_no") * 12.0 + 10).alias("y1"))
-    anchors = ln.select("set_id", "page").distinct().withColumn("anchor", F.lit("the"))
-    return G.locate_anchor(items, anchors).groupBy("set_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    both = ln.select("set_id", F.explode(F.array(F.col("page"), (F.col("page") + 1).cast(ln.schema["page"].dataType))).alias("page"), F.col("text").alias("anchor"))
+    return G.locate_anchor(line_items(spark, d), both).groupBy("set_id", "page", "anchor").agg(F.count(F.lit(1)).alias("n"))

@@ -70,3 +70,12 @@ def test_label_ties_stay_undecided(frame):
     l = frame([(1, 0, 1, 10.0, 110.0, 50.0, 120.0), (1, 0, 2, 90.0, 110.0, 110.0, 120.0), (1, 0, 3, 10.0, 400.0, 50.0, 410.0)],
               "set_id bigint, page int, label_id int, x0 double, y0 double, x1 double, y1 double")
     assert {r.label_id: r.view for r in G.label_owner(l, v).collect()} == {1: 1, 2: None, 3: None}
+
+
+def test_an_absent_anchor_is_not_found_by_its_beginning(frame):
+    items = frame([(1, 0, 1, "EGRESS CAPACITY OF NORTH STAIR", 0.0, 0.0, 90.0, 10.0), (1, 0, 2, "see plan", 0.0, 20.0, 40.0, 30.0)],
+                  "set_id bigint, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double")
+    anchors = frame([(1, 0, "Egress capacity of south stair"), (1, 0, "north stair see  plan")], "set_id bigint, page int, anchor string")
+    assert [(r.anchor, r.y1) for r in G.locate_anchor(items, anchors).collect()] == [("north stair see  plan", 30.0)]
+    got = {r.anchor: (r.y1, r.whole) for r in G.locate_anchor(items, anchors, prefix=16).collect()}
+    assert got == {"Egress capacity of south stair": (10.0, False), "north stair see  plan": (30.0, True)}

@@ -143,10 +143,10 @@ def ventilation(cells: DataFrame) -> DataFrame:
         (F.col("_s") == 0) | F.col("is_total")).drop("_s", "_p")
 
 
-def area_tally(lines: DataFrame, sheets: DataFrame) -> DataFrame:
+def area_tally(lines: DataFrame, sheets: DataFrame, scan: int | None = None) -> DataFrame:
     """The area table of each set: lines ``name number unit`` under a heading.
 
-    A scan covers sixty lines and ends at the next heading or, once rows were met, at the third
+    A scan covers ``scan`` lines (None: all; the reference takes V.AREA_SCAN) and ends at the next heading or, once rows were met, at the third
     line in a row that is none. At least two rows; a stated total must match their sum. General
     pages first, then page order; the first reliable table of the set.
     """
@@ -163,7 +163,7 @@ def area_tally(lines: DataFrame, sheets: DataFrame) -> DataFrame:
     good = is_row & F.col("sf").between(V.AREA_MIN_SF, V.AREA_MAX_SF)
     total = good & F.col("label").rlike(V.TOTAL_LABEL)
     x = (x.withColumn("_pos", F.row_number().over(b) - 1).withColumn("_row", is_row).withColumn("_total", total)
-         .withColumn("_space", good & ~total).where(F.col("_pos") <= V.AREA_SCAN)
+         .withColumn("_space", good & ~total).where(F.lit(True) if scan is None else F.col("_pos") <= scan)
          .withColumn("_since", F.sum(F.when(F.col("_row"), 1).otherwise(0)).over(upto))
          .withColumn("_rows", F.sum(F.when(F.col("_space"), 1).otherwise(0)).over(upto)))
     gap = W.partitionBy(*PAGE, "blk", "_since").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)

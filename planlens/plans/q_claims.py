@@ -223,7 +223,7 @@ def prof_sheet_title(spark, d):
         F.struct(F.lit(15).alias("line_no"), F.lit("SHEET TITLE").alias("text")), F.struct(F.lit(16).alias("line_no"), F.lit("DATE: 1/2/2024").alias("text")),
         F.struct(F.lit(35).alias("line_no"), F.lit("A-101").alias("text")))).alias("e")).select("set_id", "page", "e.*")
     sheets = pages.withColumn("code", F.lit("A-101"))
-    return P.sheet_titles(ln.unionByName(extra), sheets).select("set_id", "page", "title")
+    return P.sheet_titles(ln.unionByName(extra), sheets, 3, 7).select("set_id", "page", "title")
 
 
 @query("filter_pages_naming", """SELECT doc_id // 10 AS set_id, CAST(doc_id % 10 AS INTEGER) AS page, p AS phrase FROM documents,

@@ -264,7 +264,7 @@ o AS (SELECT set_id, page, line * 2 AS band, CAST(j AS INTEGER) AS pos,
        """ + JUNK.format("CASE WHEN mk + 1 > e THEN '' ELSE array_to_string(ts[mk + 1:e], ' ') END") + """ AS value FROM s)
 SELECT *, value = '' AS unanswered FROM o WHERE length(label) >= 3 AND length(value) <= 120""")
 def lay_split_pairs(spark, d):
-    return L.split_pairs(rows(spark, d, ":")).select("set_id", "page", "band", "pos", "label", "value", "unanswered")
+    return L.split_pairs(rows(spark, d, ":"), 3, 120).select("set_id", "page", "band", "pos", "label", "value", "unanswered")
 
 
 @query("lay_banner_fill", DUCK_LINES + """,

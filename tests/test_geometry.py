@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from planlens.operators import geometry as G, profile as P
+from planlens.operators import geometry as G, profile as P, tables as TB
 from planlens.operators.helpers import connected_components
 
 
@@ -79,3 +79,16 @@ def test_an_absent_anchor_is_not_found_by_its_beginning(frame):
     assert [(r.anchor, r.y1) for r in G.locate_anchor(items, anchors).collect()] == [("north stair see  plan", 30.0)]
     got = {r.anchor: (r.y1, r.whole) for r in G.locate_anchor(items, anchors, prefix=16).collect()}
     assert got == {"Egress capacity of south stair": (10.0, False), "north stair see  plan": (30.0, True)}
+
+
+def test_long_titles_and_area_tables_are_read_to_the_end(frame):
+    schema = "set_id bigint, page int, line_no int, text string"
+    sheets = frame([(1, 0, "A-101", False), (2, 0, "A-101", False)], "set_id bigint, page int, code string, is_general_prefix boolean")
+    title = ["SHEET TITLE", "FIRST", "SECOND", "THIRD", "FOURTH", "A-101"]
+    high = ["FLOOR PLAN", *["NOTE: x"] * 9, "A-101"]
+    ln = frame([(k, 0, i, t) for k, ts in ((1, title), (2, high)) for i, t in enumerate(ts)], schema)
+    assert {r.set_id: r.title for r in P.sheet_titles(ln, sheets).collect()} == {1: "FIRST SECOND THIRD FOURTH", 2: "FLOOR PLAN"}
+    assert {r.set_id: r.title for r in P.sheet_titles(ln, sheets, 3, 7).collect()} == {1: "FIRST SECOND THIRD", 2: ""}
+    area = frame([(1, 0, i, t) for i, t in enumerate(["AREA CALCULATIONS", *["ROOM A 10 SQ. FT."] * 80])], schema)
+    got = lambda *scan: [(r.n_rows, r.summed_sf) for r in TB.area_tally(area, sheets, *scan).collect()]
+    assert got() == [(80, 800.0)] and got(60) == [(60, 600.0)]

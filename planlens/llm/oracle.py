@@ -70,5 +70,44 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_ag
        sum(chars)::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id"""
 
+# The main text of the given pages is what stands in their article element; its blocks are h1 and p.
+ARTICLE = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS t FROM a),
+d AS (SELECT page_id, url, replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM t),
+w AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM w"""
+
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+size AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+gram AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w CROSS JOIN range(1, 6) AS r(k) WHERE len(w) >= k)),
+f AS (SELECT lang, g, count(*) AS f FROM gram GROUP BY lang, g HAVING count(*) >= 100),
+cand AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+inner_part AS (SELECT DISTINCT lang, g[i:i + k - 1] AS g, a FROM
+               (SELECT lang, g, a, k, unnest(range(1, len(g) - k + 2)) AS i FROM cand CROSS JOIN range(2, 5) AS r(k) WHERE k < len(g))),
+gone AS (SELECT DISTINCT c.lang, c.g FROM cand c JOIN inner_part i ON i.lang = c.lang AND i.g = c.g WHERE 100 * i.a >= 100 * c.a),
+cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM cand ANTI JOIN gone USING (lang, g)),
+score AS (SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+          FROM cut c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:] JOIN size s ON s.lang = c.lang),
+low AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+named AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM low)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM named QUALIFY rank <= 2000"""
+
+MIDDLE = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, len(u) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+x AS (SELECT doc_id, n, t, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s,
+      CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM x"""
+
 ORACLE: dict[str, str] = {"op1_substring_dedup": SUBSTRING, "op3_line_dedup": LINES, "op5_decontamination": BENCHMARK, "op6_near_dedup": NEAR,
-                          "op7_warc": ARCHIVE, "op8_chat": CHAT}
+                          "op7_warc": ARCHIVE, "op8_chat": CHAT,
+                          "op11_html_text": ARTICLE, "op12_collocations": PHRASES, "op13_fill_in_middle": MIDDLE}

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from planlens.llm import chat, decontaminate, fingerprints, line_dedup, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
+from planlens.llm import (chat, collocations, decontaminate, fill_in_middle, fingerprints, html_text, line_dedup, mixing, near_dedup, sharding,
+                          substring_dedup, toxicity, warc)
 from planlens.llm.common import Scratch
 from planlens.llm.oracle import ORACLE  # noqa: F401
 
@@ -80,6 +81,20 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(_table(spark, folder, "pages"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    out = fill_in_middle.transform(_table(spark, folder, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha("output").alias("output_sha256"),
+                      _sha(fill_in_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -87,6 +102,4 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substring_dedup, op2_sharding, op3_line_dedup, op4_fingerprints, op5_decontamination, op6_near_dedup, op7_warc, op8_chat, op9_toxicity,
-    op10_mixing, pipeline)}
-
-
+    op10_mixing, op11_html_text, op12_collocations, op13_fill_in_middle, pipeline)}

@@ -47,9 +47,9 @@ class Scratch:
         self.made += 1
         return f"{self.root}/{self.made}"
 
-    def store(self, df: DataFrame) -> DataFrame:
+    def store(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         path = self.path()
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out

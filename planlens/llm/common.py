@@ -59,6 +59,11 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Remove all tables; what was computed from them must be stored elsewhere by now."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 # ---------------------------------------------------------------- texts in Arrow batches
 

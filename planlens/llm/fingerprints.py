@@ -23,13 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from planlens.llm.common import U64, Scratch, chunks, components, lists, longs, mix, rows_of
-from planlens.llm.near_dedup import PERCENT, SHINGLE, deciders, digests, shingles, signatures
+from planlens.llm.common import U64, Scratch, chunks, components, lists, longs, mix, rows_of, runs
+from planlens.llm.near_dedup import BLOCK, PERCENT, SHINGLE, deciders, digests, shingles, signatures
 
 PERMUTATIONS = 64
 BANDS = 16
+PICKS = 2  # buckets in which a set meets the others of a block before the rest is decided
 RANGE_BYTES = 32 << 20
 NOTHING = 0xFFFFFFFF
 _RNG = np.random.default_rng(4)
@@ -141,42 +142,99 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "tkey", "id", "bands"])
 
 
+def _forests(percent: int):
+    """Links (a, b) that join what is alike within each block (cluster, block): a spanning forest, fewer links than rows.
+
+    Rows come sorted by block. A block that several slices of text share is judged slice by slice: this round only
+    makes classes larger, and what it leaves apart is decided afterwards.
+    """
+    def joined(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each set one that is like it and joins it to the first of its class; itself for that first one."""
+        n, sizes = len(first) - 1, np.diff(first)
+        owner, order = np.repeat(np.arange(n), sizes), np.argsort(hashes, kind="stable")
+        lo, hi = (np.searchsorted(hashes[order], hashes, side) for side in ("left", "right"))
+        common = np.bincount(np.repeat(owner, hi - lo) * n + owner[order][runs(lo, hi - lo)], minlength=n * n).reshape(n, n)
+        like = (common > 0) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+        parent, seen = np.arange(n), np.zeros(n, bool)
+        for i in range(n):
+            reached = [] if seen[i] else [i]
+            seen[i] = True
+            while reached:
+                x = reached.pop()
+                new = np.flatnonzero(like[x] & ~seen)
+                seen[new], parent[new] = True, x
+                reached.extend(new)
+        return parent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, limit=1 << 18):
+            where = np.stack([part.column(c).to_numpy() for c in ("cluster", "block")], 1)
+            ids, (hashes, first) = part.column("id").to_numpy(), shingles(part.column("text"), SHINGLE)
+            cut = np.flatnonzero(np.append(True, (where[1:] != where[:-1]).any(1)))
+            for lo, hi in zip(cut, np.append(cut[1:], len(ids))):
+                if hi - lo > 1:
+                    parent = joined(hashes[first[lo]:first[hi]], first[lo:hi + 1] - first[lo])
+                    far = np.flatnonzero(parent != np.arange(hi - lo))
+                    yield pa.record_batch({"a": pa.array(ids[lo + far]), "b": pa.array(ids[lo + parent[far]])})
+    return run
+
+
 def similar_pairs(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) with a > b between documents whose shingle sets have Jaccard ``percent`` / 100.
 
     Any two such documents whose signatures meet in a band are joined by the links, directly or over
     others; all pairs of a group of copies would grow with its square. Documents with equal sets are
-    one from the start, linked with their smallest id. Each other set is first verified with the
-    smallest set it shares most bands with; what that links is one class. Buckets that still hold
-    several classes are decided on the full sets, every document of one class against those of all
-    others (see near_dedup). Texts without words pair with nothing; rows without id are left out.
+    one from the start, linked with their smallest id. Classes then grow in three rounds, each on the
+    full sets: every set with the smallest set it shares most bands with; every set with the others of
+    one block in ``PICKS`` of its buckets, which gives a spanning forest per block; and what buckets
+    still hold several classes, every document of one class against those of all others (see
+    near_dedup). Texts of documents without a partner in any bucket travel once. Texts without words
+    pair with nothing; rows without id are left out.
     """
     base = rows_of(docs, id_col, text_col).where("doc_id is not null")
-    scratch = Scratch(docs.sparkSession)
-    members = scratch.store(base.mapInArrow(_signed, "doc_id long, tkey long, id long, bands array<long>"))
-    sets = scratch.store(members.groupBy("id").agg(F.min(F.struct("doc_id", "tkey")).alias("k"), F.first("bands").alias("bands")).select("id", "k.*", "bands"))
-    confirmed, decided = deciders(base, sets.select("id", "doc_id", "tkey"), scratch, SHINGLE, percent)
+    keep, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    members = keep.store(base.mapInArrow(_signed, "doc_id long, tkey long, id long, bands array<long>"))
+    sets = keep.store(members.groupBy("id").agg(F.min(F.struct("doc_id", "tkey")).alias("k"), F.first("bands").alias("bands")).select("id", "k.*", "bands"))
     spread = sets.select(F.explode("bands").alias("cluster"), "id")
     heads = spread.groupBy("cluster").agg(F.min("id").alias("head"), F.max("id").alias("_last")).where("head < _last").drop("_last")
     rows = scratch.store(spread.join(heads, "cluster"))
+    speaker = sets.select("id", "doc_id", "tkey").join(rows.select("id").distinct(), "id")
+    whole = scratch.store(base.join(speaker.drop("id"), ["doc_id", "tkey"], "left_semi"), "zstd")
+    confirmed, decided = deciders(whole, speaker, scratch, SHINGLE, percent)
+
     near = (rows.where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("id").agg(F.min(F.struct(-F.col("n"), F.col("head"))).alias("k")).select(F.col("id").alias("a"), F.col("k.head").alias("b")))
     edges = confirmed(scratch.store(near))
-    roots = components(edges, scratch)
-    labelled = scratch.store(rows.join(roots, "id", "left").select("cluster", "id", F.coalesce("root", "id").alias("label")))
-    scratch.drop(rows)
-    # Bands that bring the same documents together are decided once.
-    held = [F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
-    mixed = labelled.groupBy("cluster").agg(*held, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    once = mixed.groupBy("n", "first", "x", "y").agg(F.min("cluster").alias("cluster")).select("cluster")
-    more = decided(scratch.store(labelled.join(once, "cluster")))
-    named = lambda c: sets.select(F.col("id").alias(c), F.col("doc_id").alias(f"{c}_doc"))
+
+    def mixed(roots: DataFrame) -> DataFrame:
+        """The rows (cluster, id, label) of the buckets with several classes; buckets that bring the same documents together count once."""
+        labelled = scratch.store(rows.join(roots, "id", "left").select("cluster", "id", F.coalesce("root", "id").alias("label")))
+        held = [F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+        several = labelled.groupBy("cluster").agg(*held, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        once = several.groupBy("n", "first", "x", "y").agg(F.min("cluster").alias("cluster"))
+        return scratch.store(labelled.join(once.select("cluster", "n"), "cluster"))
+
+    open_ = mixed(components(edges, scratch))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "cluster"))  # a set has BANDS rows at most
+    placed = (open_.withColumn("rank", rank).where(F.col("rank") <= PICKS)
+              .select("cluster", F.pmod(F.xxhash64("id", "cluster"), F.ceil(F.col("n") / BLOCK)).alias("block"), "id"))
+    texts = whole.join(speaker, ["doc_id", "tkey"]).dropDuplicates(["id"]).select("id", "text")
+    forests = (placed.join(texts, "id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "id").mapInArrow(_forests(percent), "a long, b long"))
+    edges = scratch.store(edges.unionByName(forests))
+    more = decided(mixed(components(edges, scratch)).drop("n"))
+    named = lambda c: sets.select(F.col("id").alias(c), F.col("doc_id").alias(f"{c}_doc"))
     between = edges.unionByName(more).distinct().join(named("a"), "a").join(named("b"), "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
     copies = members.join(sets.select("id", F.col("doc_id").alias("b")), "id").select(F.col("doc_id").alias("a"), "b")
-    return between.unionByName(copies).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = between.unionByName(copies).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = Scratch(docs.sparkSession).store(links)
+    scratch.close()
+    keep.close()
+    return found
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of the documents that similar_pairs links; component_id is the smallest id reachable."""
-    scratch = Scratch(docs.sparkSession)
-    return components(scratch.store(similar_pairs(docs, percent, id_col, text_col)), scratch).select(F.col("id").alias("doc_id"), F.col("root").alias("component_id"))
+    links, scratch = similar_pairs(docs, percent, id_col, text_col), Scratch(docs.sparkSession)
+    found = Scratch(docs.sparkSession).store(components(links, scratch).select(F.col("id").alias("doc_id"), F.col("root").alias("component_id")))
+    scratch.close()
+    return found

@@ -233,6 +233,34 @@ def test_unlike_hubs_hide_no_pair(spark):
     assert root == want and want[101] == 100
 
 
+def test_many_near_copies_make_few_links(spark):
+    """2,000 near copies that no single set joins, half-copies that share bands only, and rows without words."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(400)]
+    base, group = rng.choices(words, k=150), []
+    for i in range(2000):
+        t = list(base)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(150)] = rng.choice(words)
+        group.append((3 * i + 1, " ".join(t)))
+    group += [(10_000 + i, " ".join(base[:90] + rng.choices(words, k=60))) for i in range(100)] + [(5, None), (6, ""), (-1, "one two"), (-2, "One  two")]
+    docs = spark.createDataFrame(group, "doc_id long, text string").repartition(4)
+    assert fingerprints.similar_pairs(docs).count() < 4 * len(group)
+    sets = sets_of(group, 5)
+    want, copies = classes({i: s for i, s in sets.items() if i > 9_999 or i < 1 or i % 300 == 1}), dict(got(fingerprints.similar_groups(docs), "doc_id", "component_id"))
+    assert all(copies.get(i, i) == 1 for i in range(1, 6001, 3)) and all(copies.get(i, i) == want[i] for i in want)
+    assert 5 not in copies and 6 not in copies
+
+
+def test_groups_of_odd_rows(spark, odd, none):
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    found = dict(got(fingerprints.similar_groups(odd), "doc_id", "component_id"))
+    assert None not in found and set(found) <= {i for i, _ in rows}
+    assert fingerprints.similar_groups(none).collect() == [] and fingerprints.similar_pairs(none).collect() == []
+    twice = spark.createDataFrame([(4, "a b c d e f g"), (4, "a b c d e f g"), (9, "a b c d e f g"), (None, "a b c d e f g")], "doc_id long, text string")
+    assert got(fingerprints.similar_pairs(twice), "a", "b") == [(9, 4)]
+
+
 # ---------------------------------------------------------------- 5 benchmark
 
 @pytest.fixture(scope="module")

@@ -14,7 +14,7 @@ def facts_from_pairs(pairs: DataFrame) -> DataFrame:
     """Label/value pairs to resolved facts."""
     claims = CL.claims_from_pairs(pairs, catalog(pairs.sparkSession)).withColumn("seq", F.col("ord")).withColumn(
         "source", F.array().cast("array<string>"))
-    return FX.resolved_facts(claims)
+    return cut_lineage(FX.resolved_facts(cut_lineage(claims)))  # each is read several times below
 
 
 def drawn_from_facts(resolved: DataFrame) -> DataFrame:
@@ -35,9 +35,11 @@ def review(pairs: DataFrame, declarations: DataFrame, profile: DataFrame | None
     spark = pairs.sparkSession
     resolved = facts_from_pairs(pairs)
     sets = pairs.select("set_id").union(declarations.select("set_id")).distinct()
-    drawn = R.apply_implication(drawn_from_facts(resolved))
-    rec = R.reconcile(R.long_declarations(declarations), drawn, questions(spark), sets=sets)
-    out = RU.run_rules(RU.Inputs(R.scenarios(rec, keep_silent=True), resolved=resolved, **tables), spark, only)
+    drawn = cut_lineage(R.apply_implication(drawn_from_facts(resolved)))
+    # Each expression of the next step names those of the one before many times over: without a cut they multiply.
+    rec = cut_lineage(R.reconcile(R.long_declarations(declarations), drawn, questions(spark), sets=sets))
+    rows = cut_lineage(R.scenarios(rec, keep_silent=True))
+    out = cut_lineage(RU.run_rules(RU.Inputs(rows, resolved=resolved, **tables), spark, only))
     merged = RG.merge_scenarios(RU.findings(out))
     stood = RG.dedupe_abstentions(RU.abstentions(out))
     if profile is not None:

@@ -5,9 +5,10 @@ sheet, method, label, score, source ARRAY<STRING>, seq (a stable ingest ordinal)
 
 A fact is one (set_id, field, role). Claims are grouped by walking them in (score high to low,
 page, ingest) order: a claim joins the first group whose first value agrees with its own. That
-walk only ever compares values, and equal values always land together, so it runs over the
-distinct values of a fact rather than over its claims: a fact with a third of all claims is
-still a short walk, and the claims join their group afterwards.
+walk only ever compares values, and equal values always land together, so it is decided for the
+distinct values of a fact, and the claims join their group afterwards. Facts that answer no
+declared question can have as many groups as values; they are decided in rounds over the pairs of
+values that agree (``led_values``). Facts that answer one have few groups and are folded.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from planlens.functions import vocabulary as V
 from planlens.functions.normalise import canonical
 from planlens.operators.helpers import connected_components
+from planlens.session import cut_lineage
 from planlens.sources.catalog import CATALOG, TOLERANCES
 
 FACT = ["set_id", "field", "role"]
@@ -97,42 +99,93 @@ def values_agree(a: Column, b: Column) -> Column:
                       F.lit(False))
 
 
-def group_claims(claims: DataFrame) -> DataFrame:
-    """Each claim with its group: ``group_no`` counts groups in the order they were opened.
+def _edges(values: DataFrame) -> DataFrame:
+    """(fact, lo, hi): the pairs of values of one fact that agree, by their order, for facts that answer no question.
 
-    The walk is split where it cannot cross: numeric values of one fact more than any
-    tolerance apart fall in different chains, each walked on its own. Group order between
-    chains follows the first claim of each group.
+    Values that agree share a key: their text; a step of a scale on which close numbers are at most
+    one step apart; or a run of words, all of one and a part of the other. A value brings its own
+    runs only of the lengths that some value of its fact has, as hashes, so keys grow with words.
+    """
+    num, words = F.col("v.num"), F.filter(F.split(F.coalesce("v.written", F.lit("")), " "), lambda x: x != "")
+    item = values.withColumn("words", words).withColumn("n", F.size("words"))
+    step = F.floor(F.signum(num) * F.when(F.abs(num) <= 2, F.abs(num) * 100).otherwise(200 + F.log(F.abs(num) / 2) / 0.00502) / 1.01)
+    nearby = F.when(num.isNotNull(), F.array(step - 1, step, step + 1))
+    text, number, run = (F.lit(k) for k in ("text", "number", "run"))
+
+    def keyed(kind: Column, key: Column) -> Column:
+        return F.struct(kind.alias("kind"), key.cast("long").alias("key"))
+
+    own = item.select(*FACT, F.explode(F.array_compact(F.array(
+        keyed(text, F.xxhash64("v.txt")), F.when(num.isNotNull(), keyed(number, step)),
+        F.when(F.col("n") > 0, keyed(run, F.xxhash64("words")))))).alias("k"), F.col("v").alias("a"))
+    one = item.select(*FACT, F.explode(F.concat(F.array(keyed(text, F.xxhash64("v.txt"))), F.coalesce(F.transform(nearby, lambda x: keyed(number, x)), F.array()))).alias("k"),
+                      F.col("v").alias("b"))
+    lengths = item.where("n > 0").groupBy(*FACT).agg(F.collect_set("n").alias("lengths"))  # at most the words of the longest value
+    part = F.flatten(F.transform(F.filter("lengths", lambda m: m <= F.col("n")), lambda m: F.transform(
+        F.sequence(F.lit(1), F.col("n") - m + 1), lambda i: F.xxhash64(F.slice("words", i, m)))))
+    runs = item.where("n > 0").join(lengths, FACT).select(*FACT, F.explode(F.array_distinct(part)).alias("key"), F.col("v").alias("b"))
+    one = one.unionByName(runs.select(*FACT, keyed(run, F.col("key")).alias("k"), "b"))
+    a, b = F.col("a.first"), F.col("b.first")
+    met = own.join(one, [*FACT, "k"]).where((a != b) & values_agree(F.col("a"), F.col("b")))
+    return met.select(*FACT, F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
+
+
+def led_values(values: DataFrame) -> DataFrame:
+    """The walk without a walk: ``opened`` of each value is the first value that leads a group and agrees with it.
+
+    A value leads when no earlier value that leads agrees with it. All values whose earlier
+    neighbours are decided are decided at once, round by round, each round a join over the pairs
+    that agree; the rounds are as many as the longest chain of values that hang on each other. No
+    fact is collected into one row, so one with all the values spreads over the tasks.
     """
+    edges = cut_lineage(_edges(values))
+    live = cut_lineage(edges.select(*FACT, F.col("lo").alias("first")).union(edges.select(*FACT, F.col("hi").alias("first"))).distinct())
+    leads = None
+    while not live.isEmpty():
+        lo, hi = live.select(*FACT, F.col("first").alias("lo")), live.select(*FACT, F.col("first").alias("hi"))
+        held = edges.join(lo, [*FACT, "lo"], "left_semi").select(*FACT, F.col("hi").alias("first"))
+        new = cut_lineage(live.join(held, [*FACT, "first"], "left_anti"))
+        leads = new if leads is None else cut_lineage(leads.union(new))
+        joined = edges.join(new.withColumnRenamed("first", "lo"), [*FACT, "lo"], "left_semi").select(*FACT, F.col("hi").alias("first"))
+        live = cut_lineage(live.join(new, [*FACT, "first"], "left_anti").join(joined, [*FACT, "first"], "left_anti"))
+    if leads is None:
+        return values.select(*FACT, *[F.col(f"v.{c}").alias(c) for c in VALUE], F.col("v.first").alias("opened"))
+    under = (edges.join(leads.withColumnRenamed("first", "lo"), [*FACT, "lo"], "left_semi").groupBy(*FACT, F.col("hi").alias("first"))
+             .agg(F.min("lo").alias("opened")).join(leads, [*FACT, "first"], "left_anti"))
+    return (values.withColumn("first", F.col("v.first")).join(under, [*FACT, "first"], "left")
+            .select(*FACT, *[F.col(f"v.{c}").alias(c) for c in VALUE], F.coalesce("opened", "first").alias("opened")))
+
+
+def walked_values(values: DataFrame) -> DataFrame:
+    """The walk as one fold over a fact's distinct values: for facts that answer a question, whose groups are few."""
+    w = W.partitionBy(*FACT, "v.value_type").orderBy("v.value_num")
+    num, before = F.col("v.value_num"), F.lag("v.value_num").over(w)
+    # numbers farther apart than any tolerance (50 plus two percent) fall in chains of their own
+    apart = num - before > F.greatest(F.lit(50.0), F.lit(0.02) * F.greatest(F.abs(num), F.abs(before)))
+    chain = F.sum(F.when(apart, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))
+    split = values.withColumn("chain", F.when(F.col("v.value_type") == "num", chain).otherwise(0))
+    walked = split.groupBy(*FACT, "chain").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    leaders = F.aggregate(
+        F.col("vs"), F.filter(F.col("vs"), lambda x: F.lit(False)),
+        lambda acc, x: F.when(F.exists(acc, lambda g: values_agree(g, x)), acc)
+        .otherwise(F.concat(acc, F.array(x))))
+    return (walked.withColumn("gs", leaders)
+            .select(*FACT, F.explode(F.transform(
+                F.col("vs"), lambda x: F.struct(
+                    *[x[c].alias(c) for c in VALUE],
+                    F.element_at(F.filter(F.col("gs"), lambda g: values_agree(g, x)), 1)["first"]
+                    .alias("opened")))).alias("p"))
+            .select(*FACT, "p.*"))
+
+
+def group_claims(claims: DataFrame) -> DataFrame:
+    """Each claim with its group: ``group_no`` counts groups in the order they were opened."""
     live = claims.where("value_num is not null or value_str is not null or value_bool is not null")
     # the order key holds no NULL: the walk is over (-score, page, ingest)
     order = F.struct((-F.col("score")).alias("s"), F.col("page").alias("p"), F.col("seq").alias("n"))
     values = live.groupBy(*FACT, *VALUE).agg(F.min(order).alias("first"))
-    w = W.partitionBy(*FACT, "value_type").orderBy("value_num")
-    before = F.lag("value_num").over(w)
-    # no catalog tolerance is wider than 50 plus two percent
-    apart = F.col("value_num") - before > F.greatest(
-        F.lit(50.0), F.lit(0.02) * F.greatest(F.abs(F.col("value_num")), F.abs(before)))
-    chain = F.sum(F.when(apart, 1).otherwise(0)).over(
-        w.rowsBetween(W.unboundedPreceding, 0)).alias("chain")
-    # only plain numbers split; text and typed answers stay one chain per fact
-    split = values.select("*", F.when(F.col("value_type") == "num", chain).otherwise(0).alias("chain"))
-    item = F.struct("first", *_comparable(F.col("field")), *VALUE)
-    walked = (split.select(*FACT, "chain", item.alias("v"))
-              .groupBy(*FACT, "chain").agg(F.array_sort(F.collect_list("v")).alias("vs")))
-    empty = F.filter(F.col("vs"), lambda x: F.lit(False))
-    leaders = F.aggregate(
-        F.col("vs"), empty,
-        lambda acc, x: F.when(F.exists(acc, lambda g: values_agree(g, x)), acc)
-        .otherwise(F.concat(acc, F.array(x))))
-    placed = (walked.withColumn("gs", leaders)
-              .select(*FACT, F.explode(F.transform(
-                  F.col("vs"), lambda x: F.struct(
-                      x["value_type"].alias("value_type"), x["value_num"].alias("value_num"),
-                      x["value_str"].alias("value_str"), x["value_bool"].alias("value_bool"),
-                      F.element_at(F.filter(F.col("gs"), lambda g: values_agree(g, x)), 1)["first"]
-                      .alias("opened")))).alias("p"))
-              .select(*FACT, "p.*"))
+    values = cut_lineage(values.select(*FACT, F.struct("first", *_comparable(F.col("field")), *VALUE).alias("v")))
+    placed = led_values(values.where("v.q = ''")).unionByName(walked_values(values.where("v.q <> ''")))
     nulls = F.lit("\u0000")
     key = F.concat_ws("|", F.col("value_type"), F.coalesce(F.col("value_num").cast("string"), nulls),
                       F.coalesce("value_str", nulls), F.coalesce(F.col("value_bool").cast("string"), nulls))

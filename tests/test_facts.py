@@ -99,3 +99,31 @@ def test_summary_is_wide(frame):
     df = frame([claim("stories", 1, seq=1), claim("occupancy_group", "B", seq=2)], SCHEMA)
     r = FX.fact_summary(FX.resolved_facts(df), ["stories", "occupancy_group", "height_ft"]).collect()[0]
     assert r["stories"] == "1.0" and r["occupancy_group"] == "B" and r["height_ft"] is None
+
+
+def test_rounds_decide_as_the_walk_does(spark):
+    r, rows = random.Random(4), []
+    for i in range(250):
+        kind = r.random()
+        if kind < 0.5:
+            v = ("num", r.choice([r.uniform(0, 4), r.uniform(90, 110), -r.uniform(1.9, 2.1), 1.5]), None, None)
+        elif kind < 0.6:
+            v = ("bool", None, None, r.random() < 0.5)
+        else:
+            v = ("text", None, " ".join(r.choices(["A", "B", "C-1", "d", "E.2", "see", "x"], k=r.randint(1, 6))) + r.choice(["", "!"]), None)
+        rows.append((r.randint(1, 2), r.choice(["notes.x", "zz"]), r.choice(["", "required"]), *v, float(r.randint(1, 5)), r.randint(0, 3), i))
+    rows += [(1, "zz", "", "text", None, "1.5", None, 5.0, 0, 1000), (1, "zz", "", "text", None, "???", None, 5.0, 0, 1001)]
+    claims = spark.createDataFrame(rows, "set_id long, field string, role string, value_type string, value_num double, value_str string, value_bool boolean, "
+                                         "score double, page int, seq long")
+    order = F.struct((-F.col("score")).alias("s"), F.col("page").alias("p"), F.col("seq").alias("n"))
+    v = claims.groupBy(*FX.FACT, *FX.VALUE).agg(F.min(order).alias("first")).select(*FX.FACT, F.struct("first", *FX._comparable(F.col("field")), *FX.VALUE).alias("v"))
+    whole = v.withColumn("v", F.col("v").withField("value_type", F.lit("text")))  # one chain a fact
+    assert sorted(map(str, FX.led_values(whole).collect())) == sorted(map(str, FX.walked_values(whole).collect()))
+
+
+def test_a_fact_of_many_texts(spark):
+    texts = spark.range(20_000).select(
+        F.lit(1).alias("set_id"), F.lit("zz").alias("field"), F.lit("").alias("role"), F.lit("text").alias("value_type"), F.lit(None).cast("double").alias("value_num"),
+        F.concat_ws(" ", F.lit("SEE SHEET"), "id", F.col("id") % 97).alias("value_str"), F.lit(None).cast("boolean").alias("value_bool"), F.lit(1.0).alias("score"),
+        F.lit(0).alias("page"), F.col("id").alias("seq"))
+    assert FX.group_claims(texts).agg(F.countDistinct("group_no"), F.count("*")).first() == (20_000, 20_000)

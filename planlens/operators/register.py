@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from planlens.functions import vocabulary as V
+from planlens.operators.grounding import locate_words
 from planlens.operators.helpers import name_of, numbered, rank_of
+from planlens.session import cut_lineage
 
 CONTENT = ["status", "severity", "discipline", "page", "title", "result", "code", "action", "basis"]
 
@@ -152,8 +154,9 @@ def apply_edits(keyed: DataFrame, edits: DataFrame) -> DataFrame:
     withdraw), status, severity, title, reason, quote, quote_found. Edits of one finding form
     the ordered unit; edits of different findings never meet. Output keeps the final values, the
     previous status and severity, how many edits held, the rejections, and whether it was
-    withdrawn.
+    withdrawn. A row that an edit creates carries ``born`` (pass, ordinal): edits before it find no such key.
     """
+    born = F.col("born") if "born" in keyed.columns else F.lit(None).cast("struct<pass:int,ordinal:int>")
     step = F.struct("pass", "ordinal", "op", "status", "severity", "title", "reason", "quote",
                     "quote_found")
     per = edits.groupBy("set_id", "key").agg(F.array_sort(F.collect_list(step)).alias("steps"))
@@ -169,7 +172,8 @@ def apply_edits(keyed: DataFrame, edits: DataFrame) -> DataFrame:
         title = F.coalesce(F.nullif(F.trim(e["title"]), F.lit("")), acc["title"])
         quoted = F.trim(F.coalesce(e["quote"], F.lit(""))) != ""
         found = quoted & F.coalesce(e["quote_found"], F.lit(False))
-        why = (F.when(acc["gone"], "no finding has the key")
+        early = born.isNotNull() & (F.struct(e["pass"].alias("pass"), e["ordinal"].alias("ordinal")) < born)
+        why = (F.when(acc["gone"] | F.coalesce(early, F.lit(False)), "no finding has the key")
                .when(F.trim(F.coalesce(e["reason"], F.lit(""))) == "", "an edit needs a reason")
                .when((e["op"] == "withdraw") & ~found, "withdrawing needs a quote printed on the sheet")
                .when(e["op"] == "withdraw", "")
@@ -194,21 +198,51 @@ def apply_edits(keyed: DataFrame, edits: DataFrame) -> DataFrame:
                            "severity:string,title:string,reason:string,quote:string,"
                            "quote_found:boolean>>")
     done = f.withColumn("_e", F.aggregate(F.coalesce("steps", empty), zero, merge))
-    keep = [c for c in keyed.columns if c not in ("status", "severity", "title")]
+    keep = [c for c in keyed.columns if c not in ("status", "severity", "title", "born")]
     return done.select(*keep, F.col("status").alias("was_status"), F.col("severity").alias("was_severity"),
                        "_e.*")
 
 
-def added_findings(edits: DataFrame) -> DataFrame:
-    """``add`` edits that hold, as findings numbered in (pass, ordinal) order per set."""
-    adds = edits.where("op = 'add'")
+def judged_adds(edits: DataFrame) -> DataFrame:
+    """``add`` edits with their status and severity, and why one does not hold ('' when it does)."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     st = edit_state(F.col("status"), F.col("severity"), F.lit(""), F.lit(""))
-    ok = ((F.trim(F.coalesce("reason", F.lit(""))) != "") & (F.trim(F.coalesce("title", F.lit(""))) != "")
-          & (st["why"] == "") & (st["status"] != "") & F.coalesce("quote_found", F.lit(False)))
-    good = adds.where(ok).withColumn("_s", st)
-    n = F.row_number().over(W.partitionBy("set_id").orderBy("pass", "ordinal"))
-    return good.select("set_id", F.format_string("AI-%02d", n).alias("fid"), F.col("_s.status").alias("status"),
-                       F.col("_s.severity").alias("severity"), "title", "page")
+    why = (F.when(blank("reason"), "an edit needs a reason").when(blank("title"), "a new finding needs a title")
+           .when(F.col("_s.why") != "", F.col("_s.why")).when(F.col("_s.status") == "", "a new finding needs a severity or a status")
+           .when(blank("quote") | ~F.coalesce("quote_found", F.lit(False)), "the quote was not found on that page").otherwise(""))
+    return edits.where("op = 'add'").withColumn("_s", st).withColumn("why", why)
+
+
+def added_findings(edits: DataFrame) -> DataFrame:
+    """``add`` edits that hold, as findings numbered in (pass, ordinal) order per set: their number is their key."""
+    good = numbered(judged_adds(edits).where("why = ''"), ["set_id"], ["pass"], ["ordinal"], "_n")
+    fid = F.format_string("AI-%02d", F.col("_n"))
+    return good.select("set_id", fid.alias("fid"), fid.alias("key"), F.col("_s.status").alias("status"), F.col("_s.severity").alias("severity"), "title", "page",
+                       F.struct(F.col("pass").cast("int").alias("pass"), F.col("ordinal").cast("int").alias("ordinal")).alias("born"))
+
+
+def review_edits(keyed: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings, rejected): the register after all edits of a review, and each edit that does not hold with why.
+
+    Additions become keyed rows first, since whether one holds depends on nothing but itself; then
+    the edits of every key, old and new, are applied in order. ``findings`` are as from
+    ``apply_edits`` with ``added``; ``rejected``: set_id, key, pass, ordinal, why.
+    """
+    rest = edits.where("op <> 'add'")
+    both = keyed.withColumn("added", F.lit(False)).unionByName(added_findings(edits).withColumn("added", F.lit(True)), allowMissingColumns=True)
+    done = cut_lineage(apply_edits(both, rest))
+    held_back = done.select("set_id", "key", F.explode("rejected").alias("r")).select("set_id", "key", "r.*")
+    unknown = rest.join(both.select("set_id", "key"), ["set_id", "key"], "left_anti").select("set_id", "key", "pass", "ordinal", F.lit("no finding has the key").alias("why"))
+    adds = judged_adds(edits).where("why <> ''").select("set_id", F.lit(None).cast("string").alias("key"), "pass", "ordinal", "why")
+    return done, held_back.unionByName(unknown).unionByName(adds)
+
+
+def prove_quotes(edits: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
+    """``edits`` with ``quote_found`` and ``box``: whether their quote is printed on their page, and where."""
+    edits = edits.drop("quote_found", "box").withColumn("prop_id", F.shiftleft(F.col("pass").cast("long"), 32) + F.col("ordinal"))
+    asked = edits.where("trim(quote) <> ''").select("set_id", "page", "prop_id", "quote", F.lit("").alias("value"))
+    at = locate_words(asked, words, pages).select("set_id", "page", "prop_id", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    return edits.join(at, ["set_id", "page", "prop_id"], "left").withColumn("quote_found", F.col("box").isNotNull()).drop("prop_id")
 
 
 def withdrawal_abstentions(edited: DataFrame) -> DataFrame:

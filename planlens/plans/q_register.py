@@ -164,13 +164,30 @@ def edits(spark, d):
         (n % 4 != 0).alias("quote_found"), (n % 7).cast("int").alias("page"))
 
 
+def reviewed(spark, d):
+    keyed = RG.finding_keys(RG.order_register(findings(spark, d), TIES))
+    return RG.review_edits(keyed, edits(spark, d))
+
+
 @query("reg_edits")
 def reg_edits(spark, d):
-    keyed = RG.finding_keys(RG.order_register(findings(spark, d), TIES))
-    e = edits(spark, d).where("op <> 'add'")
-    out = RG.apply_edits(keyed, e)
-    return out.select("set_id", "key", "was_status", "status", "was_severity", "severity", "held", "gone",
-                      F.size("rejected").alias("n_rejected"))
+    return reviewed(spark, d)[0].select("set_id", "key", "added", "was_status", "status", "was_severity", "severity", "held", "gone",
+                                        F.size("rejected").alias("n_rejected"))
+
+
+@query("reg_edits_added", """
+WITH e AS (SELECT conv_id AS set_id, turn, text, length(text) AS n FROM conversations WHERE length(text) % 4 = 3),
+a AS (SELECT *, CASE n % 5 WHEN 0 THEN 'HIGH' WHEN 2 THEN 'LOW' WHEN 4 THEN 'CRITICAL' END AS severity FROM e WHERE n % 3 = 1 AND trim(text) <> '')
+SELECT set_id, printf('AI-%02d', row_number() OVER (PARTITION BY set_id ORDER BY turn, n)) AS key, 'OPEN' AS status, severity, 'new title' AS title,
+       CAST(n % 7 AS INTEGER) AS page
+FROM a WHERE severity IS NOT NULL""")
+def reg_edits_added(spark, d):
+    return RG.added_findings(edits(spark, d)).select("set_id", "key", "status", "severity", "title", "page")
+
+
+@query("reg_edits_withdrawn")
+def reg_edits_withdrawn(spark, d):
+    return RG.withdrawal_abstentions(reviewed(spark, d)[0])
 
 
 @query("reg_fingerprint")

@@ -8,7 +8,7 @@ members of their own (as the format asks); each member's compressed size stands
 without compression, are read as well.
 
 ``df.write.format("warc")`` writes one archive per task under a name of its own. Only the archives
-of tasks that Spark committed are listed in the manifest ``_archives`` in the folder, and only
+of tasks that Spark committed are listed in a manifest of the job, ``_archives-*``, in the folder, and only
 those are read when there is one, so a task that ran twice leaves no double records.
 
 Paths go through pyarrow's file systems: every executor and the driver must reach them.
@@ -37,6 +37,7 @@ HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_ur
            "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "page_id": "X-Page-ID", "payload_bytes": "X-Payload-Length"}
 NUMBERS = {"page_id", "payload_bytes"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANIFEST = "_archives-"
 PACK_BYTES = 64 << 20  # small archives read by one partition
 
 
@@ -75,9 +76,20 @@ class Done(WriterCommitMessage):
     records: int
 
 
+def _manifests(fs, root: str) -> dict[str, dict]:
+    """The manifests of the jobs that wrote into the folder, by name."""
+    from pyarrow.fs import FileSelector
+    out = {}
+    for i in fs.get_file_info(FileSelector(root, allow_not_found=True)):
+        if i.base_name.startswith(MANIFEST):
+            with fs.open_input_stream(i.path, compression=None) as f:
+                out[i.base_name] = json.loads(f.read())
+    return out
+
+
 class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.level = options["path"].rstrip("/"), int(options.get("level", 1))
+        self.path, self.level, self.overwrite = options["path"].rstrip("/"), int(options.get("level", 1)), overwrite
 
     def write(self, rows: Iterator) -> Done:
         fs, root = _fs(self.path)
@@ -92,8 +104,13 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         fs, root = _fs(self.path)
         fs.create_dir(root)
-        with fs.open_output_stream(f"{root}/_archives", compression=None) as out:
-            out.write(json.dumps([[m.name, m.records] for m in messages if m is not None]).encode())
+        old = _manifests(fs, root) if self.overwrite else {}
+        mine = {"archives": [[m.name, m.records] for m in messages if m is not None], "replaces": sorted(old)}
+        with fs.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}", compression=None) as out:
+            out.write(json.dumps(mine).encode())
+        for name, manifest in old.items():  # no reader sees these any more
+            for file in [a for a, _ in manifest["archives"]] + [name]:
+                fs.delete_file(f"{root}/{file}")
 
     def abort(self, messages: list) -> None:
         fs, root = _fs(self.path)
@@ -134,9 +151,10 @@ class WarcReader(DataSourceReader):
         from pyarrow.fs import FileSelector, FileType
         fs, root = _fs(self.path)
         found = {i.path: i.size for i in fs.get_file_info(FileSelector(root, recursive=True)) if i.type == FileType.File and i.path.endswith((".warc", ".warc.gz"))}
-        if fs.get_file_info(f"{root}/_archives").type == FileType.File:
-            with fs.open_input_stream(f"{root}/_archives", compression=None) as f:
-                listed = {name for name, _ in json.loads(f.read())}
+        manifests = _manifests(fs, root)
+        if manifests:
+            gone = {name for m in manifests.values() for name in m["replaces"]}
+            listed = {a for name, m in manifests.items() if name not in gone for a, _ in m["archives"]}
             found = {p: n for p, n in found.items() if p.rsplit("/", 1)[-1] in listed}
         packs, room = [], 0
         for path in sorted(found):
@@ -207,9 +225,12 @@ def _records(f, packed: bool, passes) -> Iterator[tuple[dict, object]]:
             block = b""
             while b"\r\n\r\n" not in block and (more := f.read(1 << 12)):
                 block += more
+            if stray := len(block) - len(block.lstrip(b"\r\n")):  # line ends between records
+                at += stray
+                continue
+            if not block.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record at byte {at}")
             block, _, _ = block.partition(b"\r\n\r\n")
-            if not block.strip():
-                return
             head, body = _parse(block), at + len(block) + 4
             n = int(head.get("content-length", 0))
 

@@ -1,6 +1,7 @@
 """The text operators against brute force and on awkward rows: NULLs, empty and long texts, ties, repeats, empty tables, clashing columns."""
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -416,6 +417,38 @@ def test_plain_and_foreign_archives(spark, tmp_path):
     assert out.where("record_type = 'metadata'").count() == 2
 
 
+def test_archives_are_appended_and_overwritten(spark, tmp_path):
+    warc.register(spark)
+    path = str(tmp_path / "w")
+    rows = lambda lo, hi: spark.range(lo, hi).select("id", F.concat(F.lit("<html>"), "id").alias("html")).withColumnRenamed("id", "page_id").withColumn(
+        "url", F.lit("http://x/"))
+    ids = lambda: sorted(r.page_id for r in spark.read.format("warc").load(path).select("page_id").collect())
+
+    def put(lo, hi, mode):
+        warc.to_records(rows(lo, hi)).write.format("warc").mode(mode).save(path)
+
+    put(0, 5, "append")
+    put(5, 8, "append")
+    assert ids() == list(range(8))
+    put(20, 22, "append")
+    assert ids() == [*range(8), 20, 21]
+    put(30, 33, "overwrite")
+    assert ids() == [30, 31, 32]
+    put(40, 41, "append")
+    assert ids() == [30, 31, 32, 40]
+    assert len([f for f in os.listdir(path) if f.startswith("_archives-")]) == 2
+
+
+def test_stray_line_ends_and_garbage(spark, tmp_path):
+    a, b = (warc.record({"record_type": t, "payload": "body " + t, "page_id": i, "record_id": "<x>"}) for i, t in enumerate(["response", "metadata"]))
+    warc.register(spark)
+    (tmp_path / "one.warc").write_bytes(b"\r\n" + a + b"\r\n\r\n\n" + b + b"\r\n")
+    assert sorted(r.record_type for r in spark.read.format("warc").load(str(tmp_path)).collect()) == ["metadata", "response"]
+    (tmp_path / "one.warc").write_bytes(a + b"no record\r\n\r\n" + b)
+    with pytest.raises(Exception, match="no WARC record"):
+        spark.read.format("warc").load(str(tmp_path)).collect()
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"), Scratch(spark).path()).collect() == []
 

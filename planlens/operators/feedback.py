@@ -170,19 +170,26 @@ def proposed_changes(feedback: DataFrame, tax: DataFrame, triaged: DataFrame, pr
 
 
 def feedback_queue(feedback: DataFrame, state: str | None = None, disposition: str | None = None,
-                   limit: int = 100) -> DataFrame:
-    """The owner's queue, newest first: a top-k, so only ``limit`` rows ever leave the tasks."""
+                   limit: int | None = None) -> DataFrame:
+    """The owner's queue, newest first: all of it, or a top-k of which only ``limit`` rows ever leave the tasks."""
     f = feedback
     if state:
         f = f.where(F.col("state") == state)
     if disposition:
         f = f.where(F.col("disposition") == disposition)
-    return f.orderBy(F.desc("created_at"), F.asc("id")).limit(limit)
-
-
-def own_feedback(feedback: DataFrame, set_id, uid, limit: int = 200) -> DataFrame:
-    return (feedback.where((F.col("set_id") == set_id) & (F.col("uid") == uid))
-            .orderBy("created_at", "id").limit(limit))
+    ordered = f.orderBy(F.desc("created_at"), F.asc("id"))
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def own_feedback(feedback: DataFrame, set_id=None, uid=None, limit: int | None = None) -> DataFrame:
+    """Everyone's own feedback on each set, ``n`` from 1 in the order it was given: all of it, or the first ``limit``
+    per reviewer and set; of one set or one reviewer where they are named."""
+    f = feedback.where("set_id is not null and uid is not null")
+    for column, value in (("set_id", set_id), ("uid", uid)):
+        if value is not None:
+            f = f.where(F.col(column) == value)
+    out = f.withColumn("n", F.row_number().over(W.partitionBy("set_id", "uid").orderBy("created_at", "id")))
+    return out if limit is None else out.where(F.col("n") <= limit)
 
 
 def open_count(feedback: DataFrame) -> DataFrame:

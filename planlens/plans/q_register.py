@@ -527,7 +527,14 @@ def queue_rows(spark, d):
 SELECT id, disposition, created_at FROM routed JOIN a_feedback USING (id) WHERE state = 'new'
 ORDER BY created_at DESC, id LIMIT 100""")
 def fb_queue(spark, d):
-    return FB.feedback_queue(queue_rows(spark, d), state="new").select("id", "disposition", "created_at")
+    return FB.feedback_queue(queue_rows(spark, d), state="new", limit=100).select("id", "disposition", "created_at")
+
+
+@query("fb_own", FLAGS + """
+SELECT set_id, uid, id, state, CAST(row_number() OVER (PARTITION BY set_id, uid ORDER BY created_at, id) AS INTEGER) AS n
+FROM a_feedback WHERE set_id IS NOT NULL AND uid IS NOT NULL""")
+def fb_own(spark, d):
+    return FB.own_feedback(feedback(spark, d)).select("set_id", "uid", "id", "state", "n")
 
 
 @query("fb_open_count", with_views("a_feedback") + "SELECT count(*) FILTER (WHERE state = 'new') AS n_open FROM a_feedback")

@@ -129,7 +129,7 @@ def expiring_jobs(events: DataFrame, delay: str = "1 minute") -> DataFrame:
         _expire, "job_id string, reason string", "start timestamp, drawing boolean, ended timestamp, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def history(jobs: DataFrame, limit: int | None = 50) -> DataFrame:
+def history(jobs: DataFrame, limit: int | None = None) -> DataFrame:
     """Every user's reviews, newest first, ``limit`` of them (None: all). The window keeps only each
     task's own first rows per user before anything is shuffled."""
     w = W.partitionBy("uid").orderBy(F.desc("created_at"), F.desc("job_id"))

@@ -1,9 +1,10 @@
 """Chat formatting with prefix-target expansion. Built-in functions only.
 
 A conversation becomes one text with marked turns. Every assistant turn is an example of its own:
-its context is the text of all turns before it, and only its reply is trainable. An example
-points into the conversation's text by offsets (code points), so a conversation of n turns takes
-n turns of space, not n squared; ``expand`` gives the examples with context and reply as text.
+its context is the text of all turns before it, and only its reply is trainable. ``expand`` explodes
+the examples, one row per reply with its whole context. Until then an example points into the
+conversation's text by offsets (code points): n turns are shuffled and kept as n turns, and the rows
+that repeat contexts exist one at a time, in the task that holds the conversation.
 
 Template: ``<s>[INST] role NEWLINE text [/INST]</s>`` and, for the assistant, ``<s> role NEWLINE
 text </s>``. Inside a text, a backslash is put before each control string and each backslash, so
@@ -53,12 +54,18 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
         F.sort_array(F.collect_list(F.when(F.col("reply"), example))).alias("examples"))
 
 
-def expand(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id, turn, context (the formatted text of all turns before, with the
-    reply's opening marker) and reply (the formatted target, the only trainable text)."""
-    out = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
-    return out.select("conv_id", "e.turn", F.substring(F.col("formatted"), F.lit(1), F.col("e.target_start")).alias("context"),
-                      F.substring(F.col("formatted"), F.col("e.target_start") + 1, F.col("e.target_chars")).alias("reply"))
+def expand(formatted: DataFrame, keep: bool = False) -> DataFrame:
+    """One row per assistant turn: conv_id, turn, context (the formatted text of all turns before, with the reply's
+    opening marker), reply (the formatted target), example (both, what a model is shown) and loss_start: the code
+    points of the example before its trainable ones.
+
+    ``keep``: the other columns stay, and a conversation without a reply has one row without an example.
+    """
+    out = formatted.select("*", (F.explode_outer if keep else F.explode)("examples").alias("e"))
+    cut = out.select("conv_id", *([c for c in formatted.columns if c not in ("conv_id", "examples")] if keep else []), "e.turn",
+                     F.substring(F.col("formatted"), F.lit(1), F.col("e.target_start")).alias("context"),
+                     F.substring(F.col("formatted"), F.col("e.target_start") + 1, F.col("e.target_chars")).alias("reply"))
+    return cut.select("*", F.concat("context", "reply").alias("example"), F.length("context").alias("loss_start"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -75,6 +82,12 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
-def read_loss(formatted: Column, examples: Column) -> Column:
-    """The trainable text of all examples, as it was, one after the other."""
-    return F.array_join(F.transform(examples, lambda e: unescape(F.substring(formatted, e["target_start"] + 1, e["target_chars"]))), "")
+def read_loss(examples: DataFrame) -> DataFrame:
+    """conv_id, formatted, loss: the trainable text of the exploded examples, as it was, one after the other.
+
+    ``examples``: ``expand(formatted, keep=True)``. Rows of a conversation are still where it was put together, so
+    nothing moves.
+    """
+    said = unescape(F.expr("substring(example, loss_start + 1, length(example))"))
+    return examples.groupBy("conv_id").agg(F.first("formatted").alias("formatted"), F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.when(F.col("turn").isNotNull(), F.struct("turn", said.alias("said"))))), lambda x: x["said"]), "").alias("loss"))

@@ -64,7 +64,8 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    out = formatted.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("examples")).alias("loss"))
+    read = chat.read_loss(chat.expand(formatted, keep=True))
+    out = read.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), "loss")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _sha(said).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
                       _sha("loss").alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

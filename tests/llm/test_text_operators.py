@@ -473,6 +473,9 @@ def test_chat_reads_back(spark):
     assert [e.turn for e in examples] == [2, 4]
     assert examples[0].context.endswith("</s><s> assistant\n") and examples[0].reply == "\\</s>\\[INST] ok \\[/INST]"
     assert examples[1].context.startswith(examples[0].context + examples[0].reply)
+    assert all(e.example == e.context + e.reply and e.example[e.loss_start:] == e.reply for e in examples)
+    kept = chat.expand(made, keep=True).where("conv_id = 2").collect()
+    assert [(e.turn, e.example, e.formatted) for e in kept] == [(None, None, "<s>[INST] user\nonly [/INST]</s>")]
     assert read_back(chat.format_conversations(rows.where("false"))).collect() == []
 
 

@@ -186,6 +186,56 @@ def longest_run(segments: DataFrame, keys: list[str] | None = None) -> DataFrame
     return merged.groupBy(*keys).agg(F.max(F.col("hi") - F.col("lo")).alias("run_pt"))
 
 
+def line_segments(paths: DataFrame) -> DataFrame:
+    """The straight lines of drawn paths: a ``line`` is one, a ``rect`` has four sides, other kinds none."""
+    side = lambda a, b, c, d: F.struct(*[F.col(v).cast("double").alias(n) for v, n in zip((a, b, c, d), ("x0", "y0", "x1", "y1"))])
+    whole = side("x0", "y0", "x1", "y1")
+    sides = F.array(side("x0", "y0", "x1", "y0"), side("x1", "y0", "x1", "y1"), side("x1", "y1", "x0", "y1"), side("x0", "y1", "x0", "y0"))
+    lines = F.when(F.col("kind") == "line", F.array(whole)).when(F.col("kind") == "rect", sides)
+    rest = [c for c in paths.columns if c not in ("kind", "x0", "y0", "x1", "y1")]
+    return paths.select(*rest, F.explode(lines).alias("s")).select(*rest, "s.*")
+
+
+def egress_runs(paths: DataFrame, texts: DataFrame, pages: DataFrame, sheets: DataFrame | None = None, viewports: DataFrame | None = None,
+                layer: str = V.EGRESS_LAYER) -> DataFrame:
+    """What the egress layer of each set measures: set_id, g_page, g_sheet, g_segments, g_run_pt, g_scale, g_why.
+
+    ``paths``: set_id, page, layer, kind (line, rect, anything else has no straight line), x0..y1; ``texts``:
+    set_id, page, seg_id, text, x0..y1; ``pages``: set_id, page, width, height; ``sheets``: set_id, page, code;
+    ``viewports``: set_id, page, pt_per_ft, x0..y1. Both may be left out.
+
+    A set's first page with the layer counts. The longest straight run of the layer is measured in points; its scale is
+    the page's where one label is printed, else that of the view which holds the whole layer, resolved
+    from the labels the view owns. Views are cut only for pages with several labels. Without a scale ``g_why`` says why.
+    A set without the layer has no row; a layer without straight lines has no run and no segments.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    drawn = paths.where(F.contains(F.lower("layer"), F.lit(layer)))
+    target = cut_lineage(drawn.groupBy("set_id").agg(F.min("page").alias("page")))
+    lines = cut_lineage(line_segments(drawn.join(target, PAGE, "left_semi").select(*PAGE, "kind", *box)))
+    reach = lines.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("g_segments"), F.min(F.least("x0", "x1")).alias("x0"), F.min(F.least("y0", "y1")).alias("y0"),
+                                     F.max(F.greatest("x0", "x1")).alias("x1"), F.max(F.greatest("y0", "y1")).alias("y1"))
+    here = pages.join(target, PAGE, "left_semi")
+    said = texts.join(target, PAGE, "left_semi")
+    labels = cut_lineage(scale_labels(said.withColumn("line_no", F.col("seg_id"))).select(*PAGE, F.col("line_no").alias("label_id"), "pt_per_ft").distinct())
+    ports = (target.select(*PAGE, *[F.lit(None).cast("double").alias(c) for c in ("pt_per_ft", *box)]).where("false") if viewports is None
+             else viewports.join(target, PAGE, "left_semi"))
+    page_scale = cut_lineage(resolve_scale(labels, ports, here))
+    several = labels.groupBy(*PAGE).agg(F.count_distinct("pt_per_ft").alias("n")).where("n > 1").select(*PAGE)
+    ends = [F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1")]
+    cut = cut_lineage(views(paths.join(several, PAGE, "left_semi").select(*PAGE, *ends), here))
+    at = said.select(*PAGE, F.col("seg_id").alias("label_id"), *box).join(labels.select(*PAGE, "label_id").distinct(), [*PAGE, "label_id"], "left_semi")
+    owned = label_owner(at.join(several, PAGE, "left_semi"), cut).join(labels, [*PAGE, "label_id"])
+    governed = scale_for(reach.withColumn("box_id", F.lit(1)), view_scales(owned, cut, ports), page_scale).select(
+        *PAGE, F.col("scale").alias("g_scale"), F.col("why").alias("g_why"))
+    out = (target.join(reach.select(*PAGE, "g_segments"), PAGE, "left").join(longest_run(lines), PAGE, "left").join(governed, PAGE, "left"))
+    out = out.withColumn("code", F.lit("")) if sheets is None else out.join(sheets.select(*PAGE, "code"), PAGE, "left")
+    # lines that all stand aslant have no straight run: its length is 0
+    run = F.when(F.col("g_segments") > 0, F.coalesce("run_pt", F.lit(0.0)))
+    return out.select("set_id", F.col("page").alias("g_page"), F.coalesce("code", F.lit("")).alias("g_sheet"), F.coalesce("g_segments", F.lit(0)).alias("g_segments"),
+                      run.alias("g_run_pt"), "g_scale", F.coalesce("g_why", F.lit("")).alias("g_why"))
+
+
 def polyline_length(points: Column, scale: Column) -> Column:
     """Length of a polyline in feet: points ARRAY<STRUCT<x,y>>; NULL without a scale."""
     legs = F.zip_with(F.slice(points, F.lit(1), F.size(points) - 1), F.slice(points, F.lit(2), F.size(points)),

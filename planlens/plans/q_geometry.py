@@ -270,6 +270,43 @@ def geo_scale_resolve(spark, d):
     return G.resolve_scale(li, li.where("l_returnflag = 'R'"), pages).select("set_id", "scale", "confidence")
 
 
+@query("geo_egress_runs", """
+WITH p AS (SELECT l_orderkey AS set_id, l_linenumber % 2 AS page, l_suppkey % 3 AS slot, 100 + l_quantity AS w, 100 + 10 * l_linenumber AS h,
+             CASE l_partkey % 7 WHEN 0 THEN 'rect' WHEN 1 THEN 'rect' WHEN 2 THEN 'line' WHEN 3 THEN 'curve' END AS kind,
+             CASE WHEN l_tax > 0.02 THEN CASE WHEN l_quantity < 25 THEN 18.0 ELSE 9.0 END END AS pt FROM lineitem),
+t AS (SELECT set_id, min(page) AS page FROM p WHERE kind IS NOT NULL GROUP BY set_id),
+e AS (SELECT set_id, page, sum(CASE kind WHEN 'rect' THEN 4 WHEN 'line' THEN 1 ELSE 0 END) AS segs,
+        max(greatest(w, CASE WHEN kind = 'rect' THEN h ELSE 0 END)) FILTER (WHERE kind <> 'curve') AS run,
+        count(DISTINCT slot) FILTER (WHERE kind <> 'curve') AS slots, min(slot) FILTER (WHERE kind <> 'curve') AS slot
+      FROM p JOIN t USING (set_id, page) WHERE kind IS NOT NULL GROUP BY set_id, page),
+l AS (SELECT set_id, page, count(DISTINCT pt) AS n, min(pt) AS pt FROM p GROUP BY set_id, page),
+v AS (SELECT set_id, page, slot, count(DISTINCT pt) AS n, min(pt) AS pt FROM p GROUP BY set_id, page, slot),
+s AS (SELECT e.*, l.n AS ln, CASE WHEN segs > 0 THEN CASE WHEN l.n = 1 THEN l.pt WHEN l.n > 1 AND slots = 1 AND v.n = 1 THEN v.pt END END AS scale
+      FROM e JOIN l USING (set_id, page) LEFT JOIN v ON v.set_id = e.set_id AND v.page = e.page AND v.slot = e.slot)
+SELECT set_id, CAST(page AS INTEGER) AS g_page, CAST(segs AS BIGINT) AS g_segments, CAST(run AS DOUBLE) AS g_run_pt, CAST(scale AS DOUBLE) AS g_scale,
+  CASE WHEN segs = 0 OR scale IS NOT NULL THEN '' WHEN ln = 0 THEN 'the page has no scale and no views' WHEN slots > 1 THEN 'spans several views' ELSE 'its view has no scale' END AS g_why
+FROM s""")
+def geo_egress_runs(spark, d):
+    """Every line a room on its order's page, in one of three plans, with its walls, an egress path and a printed scale."""
+    li = table(spark, d, "lineitem")
+    li = li.select(
+        F.col("l_orderkey").alias("set_id"), (F.col("l_linenumber") % 2).cast("int").alias("page"), F.xxhash64(*li.columns).alias("seg_id"),
+        (F.col("l_suppkey") % 3 * 400.0).alias("x0"), F.lit(0.0).alias("y0"), (100.0 + F.col("l_quantity")).cast("double").alias("w"),
+        (100.0 + 10 * F.col("l_linenumber")).cast("double").alias("y1"), "l_partkey", "l_quantity", "l_tax").withColumn("x1", F.col("x0") + F.col("w"))
+    room = li.select("set_id", "page", F.lit("A-WALL").alias("layer"), F.lit("rect").alias("kind"), "x0", "y0", "x1", "y1")
+    part = F.col("l_partkey") % 7
+    kind = F.when(part < 2, "rect").when(part == 2, "line").when(part == 3, "curve")
+    line = F.col("kind") == "line"
+    way = li.withColumn("kind", kind).where("kind is not null").select(
+        "set_id", "page", F.lit("L-EGRESS PATH").alias("layer"), "kind", "x0", F.when(line, 50.0).otherwise(F.col("y0")).alias("y0"), "x1",
+        F.when(line, 50.0).otherwise(F.col("y1")).alias("y1"))
+    scale = F.when(F.col("l_quantity") < 25, "SCALE: 1/4\" = 1'-0\"").otherwise("SCALE: 1/8\" = 1'-0\"")
+    texts = li.where("l_tax > 0.02").select("set_id", "page", "seg_id", scale.alias("text"), (F.col("x0") + 10).alias("x0"), F.lit(10.0).alias("y0"),
+                                            (F.col("x0") + 80).alias("x1"), F.lit(20.0).alias("y1"))
+    pages = li.select("set_id", "page").distinct().select("*", F.lit(1224.0).alias("width"), F.lit(792.0).alias("height"))
+    return G.egress_runs(room.unionByName(way), texts, pages).drop("g_sheet")
+
+
 @query("geo_longest_run", """
 WITH s AS (SELECT l_suppkey AS set_id, l_linenumber AS a_, l_quantity * 7 AS lo, l_quantity * 7 + 6 AS hi FROM lineitem),
 f AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY set_id, a_ ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 ELSE 0 END AS b FROM s),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from planlens.operators import (calibration as C, claims as CL, facts as FX, layout as L, profile as P, reconcile as R, register as RG,
+from planlens.operators import (calibration as C, claims as CL, facts as FX, geometry as G, layout as L, profile as P, reconcile as R, register as RG,
                                 rules as RU, tables as TB)
 from planlens.session import cut_lineage
 from planlens.sources.catalog import catalog, questions
@@ -53,12 +53,13 @@ def review(pairs: DataFrame, declarations: DataFrame, profile: DataFrame | None
     return RG.finding_keys(ordered), stood
 
 
-def drawn(words: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
+def drawn(words: DataFrame, pages: DataFrame, paths: DataFrame | None = None, viewports: DataFrame | None = None) -> dict[str, DataFrame]:
     """What the pages say, from their positioned words.
 
     ``words``: set_id, page, block, line, seq, x0..y1, text; ``pages``: set_id, page, width, height.
     Gives segs, pairs (with sheet, context and heading), sheets, lines, and the row tables the
-    rules read that words alone can fill.
+    rules read that words alone can fill. With ``paths`` (and ``viewports``, see ``geometry.egress_runs``)
+    the egress layer is measured too.
     """
     page = ["set_id", "page"]
     segs = L.merge_segments(L.segments(words)).join(pages.select(*page, F.col("width").alias("page_width")), page)
@@ -69,7 +70,8 @@ def drawn(words: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
     pairs = pairs.join(L.headings(pairs, segs), [*page, "label_id"]).join(sheets.select(*page, F.col("code").alias("sheet")), page)
     pairs = cut_lineage(pairs.withColumn("box", F.col("label_box")))
     text = lines.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return {"segs": segs, "pairs": pairs, "sheets": sheets, "lines": lines, "text": pages.select(*page).join(text, page, "left"),
+    measured = {} if paths is None else {"egress_runs": cut_lineage(G.egress_runs(paths, segs, pages, sheets, viewports))}
+    return measured | {"segs": segs, "pairs": pairs, "sheets": sheets, "lines": lines, "text": pages.select(*page).join(text, page, "left"),
             "exits": TB.exit_blocks(pairs), "spaces": TB.occupancy_rows(pairs), "fixtures": TB.fixture_block(segs),
             "ceilings": TB.ceiling_tags(segs, sheets), "area_tally": TB.area_tally(lines, sheets)}
 
@@ -78,11 +80,12 @@ RULE_TABLES = ["sheets", "text", "exits", "spaces", "fixtures", "ceilings", "are
 
 
 def review_corpus(words: DataFrame, pages: DataFrame, declarations: DataFrame, profile: DataFrame | None = None,
-                  only: list[str] | None = None, **tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+                  only: list[str] | None = None, paths: DataFrame | None = None, viewports: DataFrame | None = None, **tables: DataFrame
+                  ) -> tuple[DataFrame, DataFrame]:
     """(register, abstentions) of every set, from its words to its ranked findings.
 
-    ``tables`` are inputs that words cannot fill, such as doors, ventilation, egress_runs or attrs;
-    one named like a table read off the words replaces it.
+    ``paths`` and ``viewports`` are the linework from which egress runs are measured.
+    ``tables`` are inputs that words cannot fill, such as doors, ventilation or attrs; one named like a table read off the words replaces it.
     """
-    said = drawn(words, pages)
-    return review(said["pairs"], declarations, profile, only, **{k: said[k] for k in RULE_TABLES} | tables)
+    said = drawn(words, pages, paths, viewports)
+    return review(said["pairs"], declarations, profile, only, **{k: said[k] for k in [*RULE_TABLES, "egress_runs"] if k in said} | tables)

@@ -92,3 +92,24 @@ def test_long_titles_and_area_tables_are_read_to_the_end(frame):
     area = frame([(1, 0, i, t) for i, t in enumerate(["AREA CALCULATIONS", *["ROOM A 10 SQ. FT."] * 80])], schema)
     got = lambda *scan: [(r.n_rows, r.summed_sf) for r in TB.area_tally(area, sheets, *scan).collect()]
     assert got() == [(80, 800.0)] and got(60) == [(60, 600.0)]
+
+
+def test_egress_runs_take_the_scale_of_their_view(frame):
+    path = "set_id bigint, page int, layer string, kind string, x0 double, y0 double, x1 double, y1 double"
+    walls = [(s, 0, "A-WALL", "rect", x, 0.0, x + 150.0, 150.0) for s in (1, 2, 3, 4, 5, 7) for x in (0.0, 400.0)]
+    ways = [(1, 0, "L-Egress Path", "line", 10.0, 20.0, 60.0, 20.0), (1, 0, "L-Egress Path", "line", 140.0, 20.0, 61.0, 20.0),  # dashes of one run
+            (1, 1, "L-Egress Path", "line", 0.0, 0.0, 900.0, 0.0),  # a later page
+            (2, 0, "EGRESS PATH", "line", 10.0, 20.0, 100.0, 20.0), (2, 0, "EGRESS PATH", "line", 410.0, 20.0, 480.0, 20.0),
+            (7, 0, "EGRESS PATH", "line", 10.0, 20.0, 500.0, 20.0),  # ties two plans into one view
+            (3, 0, "EGRESS PATH", "curve", 0.0, 0.0, 50.0, 50.0),
+            (4, 0, "EGRESS PATH", "rect", 10.0, 10.0, 40.0, 90.0), (5, 0, None, "line", 0.0, 0.0, 9.0, 0.0), (6, 0, "EGRESS PATH", "line", 0.0, 0.0, 30.0, 40.0)]
+    quarter, eighth = "SCALE: 1/4\" = 1'-0\"", "SCALE: 1/8\" = 1'-0\""
+    at = lambda s, i, x, t: (s, 0, i, t, x, 10.0, x + 60.0, 20.0)
+    texts = [at(s, i, x, t) for s in (1, 2, 3, 7) for i, x, t in ((1, 20.0, quarter), (2, 420.0, eighth))] + [at(4, 1, 420.0, eighth), at(4, 2, 20.0, None)]
+    t = "set_id bigint, page int, seg_id int, text string, x0 double, y0 double, x1 double, y1 double"
+    pages = frame([(s, n, 1224.0, 792.0) for s in range(1, 8) for n in (0, 1)], "set_id bigint, page int, width double, height double")
+    sheets = frame([(1, 0, "A-1")], "set_id bigint, page int, code string")
+    got = {r.set_id: tuple(r)[1:] for r in G.egress_runs(frame(walls + ways, path), frame(texts, t), pages, sheets).collect()}
+    assert got == {1: (0, "A-1", 2, 130.0, 18.0, ""), 2: (0, "", 2, 90.0, None, "spans several views"), 7: (0, "", 1, 490.0, None, "its view has no scale"), 3: (0, "", 0, None, None, ""),
+                   4: (0, "", 4, 80.0, 9.0, ""), 6: (0, "", 1, 0.0, None, "the page has no scale and no views")}
+    assert G.egress_runs(frame([], path), frame([], t), pages).collect() == []

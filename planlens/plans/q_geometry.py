@@ -271,7 +271,7 @@ def geo_scale_resolve(spark, d):
 
 
 @query("geo_egress_runs", """
-WITH p AS (SELECT l_orderkey AS set_id, l_linenumber % 2 AS page, l_suppkey % 3 AS slot, 100 + l_quantity AS w, 100 + 10 * l_linenumber AS h,
+WITH p AS (SELECT l_orderkey AS set_id, l_linenumber % 2 AS page, l_suppkey % 3 AS slot, 48 + l_quantity AS w, 40 + l_linenumber AS h,
              CASE l_partkey % 7 WHEN 0 THEN 'rect' WHEN 1 THEN 'rect' WHEN 2 THEN 'line' WHEN 3 THEN 'curve' END AS kind,
              CASE WHEN l_tax > 0.02 THEN CASE WHEN l_quantity < 25 THEN 18.0 ELSE 9.0 END END AS pt FROM lineitem),
 t AS (SELECT set_id, min(page) AS page FROM p WHERE kind IS NOT NULL GROUP BY set_id),
@@ -291,18 +291,18 @@ def geo_egress_runs(spark, d):
     li = table(spark, d, "lineitem")
     li = li.select(
         F.col("l_orderkey").alias("set_id"), (F.col("l_linenumber") % 2).cast("int").alias("page"), F.xxhash64(*li.columns).alias("seg_id"),
-        (F.col("l_suppkey") % 3 * 400.0).alias("x0"), F.lit(0.0).alias("y0"), (100.0 + F.col("l_quantity")).cast("double").alias("w"),
-        (100.0 + 10 * F.col("l_linenumber")).cast("double").alias("y1"), "l_partkey", "l_quantity", "l_tax").withColumn("x1", F.col("x0") + F.col("w"))
+        (F.col("l_suppkey") % 3 * 400.0).alias("x0"), F.lit(0.0).alias("y0"), (48.0 + F.col("l_quantity")).cast("double").alias("w"),
+        (40.0 + F.col("l_linenumber")).cast("double").alias("y1"), "l_partkey", "l_quantity", "l_tax").withColumn("x1", F.col("x0") + F.col("w"))
     room = li.select("set_id", "page", F.lit("A-WALL").alias("layer"), F.lit("rect").alias("kind"), "x0", "y0", "x1", "y1")
     part = F.col("l_partkey") % 7
     kind = F.when(part < 2, "rect").when(part == 2, "line").when(part == 3, "curve")
     line = F.col("kind") == "line"
     way = li.withColumn("kind", kind).where("kind is not null").select(
-        "set_id", "page", F.lit("L-EGRESS PATH").alias("layer"), "kind", "x0", F.when(line, 50.0).otherwise(F.col("y0")).alias("y0"), "x1",
-        F.when(line, 50.0).otherwise(F.col("y1")).alias("y1"))
+        "set_id", "page", F.lit("L-EGRESS PATH").alias("layer"), "kind", "x0", F.when(line, 20.0).otherwise(F.col("y0")).alias("y0"), "x1",
+        F.when(line, 20.0).otherwise(F.col("y1")).alias("y1"))
     scale = F.when(F.col("l_quantity") < 25, "SCALE: 1/4\" = 1'-0\"").otherwise("SCALE: 1/8\" = 1'-0\"")
-    texts = li.where("l_tax > 0.02").select("set_id", "page", "seg_id", scale.alias("text"), (F.col("x0") + 10).alias("x0"), F.lit(10.0).alias("y0"),
-                                            (F.col("x0") + 80).alias("x1"), F.lit(20.0).alias("y1"))
+    texts = li.where("l_tax > 0.02").select("set_id", "page", "seg_id", scale.alias("text"), (F.col("x0") + 5).alias("x0"), F.lit(5.0).alias("y0"),
+                                            (F.col("x0") + 40).alias("x1"), F.lit(15.0).alias("y1"))
     pages = li.select("set_id", "page").distinct().select("*", F.lit(1224.0).alias("width"), F.lit(792.0).alias("height"))
     return G.egress_runs(room.unionByName(way), texts, pages).drop("g_sheet")
 

@@ -143,3 +143,44 @@ CONTESTED_AT = 3
 STARVED_FLOOR = 3
 CONCURRENT_JOBS, JOBS_PER_HOUR = 3, 10
 STALE_MINUTES, STALE_DRAWING_MINUTES = 15, 60
+
+# ---- text sweep: fixed values -------------------------------------------------------------
+# (question, a word in capitals that every match holds, pattern without case, its groups), in order of preference.
+TEXT_SWEEP = [
+    ("occupancy_group", "OCCUPANCY", r"\bOCCUPANCY(?:\s+GROUP|\s+CLASSIFICATION)?\s*[:=]\s*([A-Za-z][A-Za-z\-\s]{0,24}?)\s*(?:[/,;]|\s{2,}|[\r\n]|$)", 1),
+    ("occupancy_group", "OCCUPANCY", r"\bUSE\s+AND\s+OCCUPANCY\s+CLASSIFICATION\s*[:=]\s*([A-Za-z][A-Za-z\-\s]{0,24}?)\s*(?:[/,;]|\s{2,}|[\r\n]|$)", 1),
+    ("occupancy_group", "GROUP", r"\bGROUP\s+([ABEFHIMRSU]\s*-?\s*\d?)\b", 1),
+    ("mixed_occupancy", "MIXED", r"\bMIXED\s+OCCUPANC(?:Y|IES)\s*\??\s*[:=]?\s*(YES|NO)\b", 1),
+    ("separation_method", "SEPARATED", r"\b(NON[\s\-]?SEPARATED)\b", 1),
+    ("separation_method", "SEPARAT", r"\bSEPARAT(?:ED|ION)[^\r\n]{0,60}?\b(?:PER\s+)?TABLE\s+(508\.4)\b", 1),
+    ("separation_method", "508.", r"\bTABLE\s+(508\.[34])\b", 1),
+    ("construction_type", "CONSTRUCTION", r"\bCONSTRUCTION\s+TYPE\s*[:=]\s*([IV]{1,3}\s*-?\s*[AB]?|[1-5]\s*-?\s*[AB]?)\b", 1),
+    ("construction_type", "CONSTRUCTION", r"\bTYPE\s+OF\s+CONSTRUCTION\s*[:=]\s*([IV]{1,3}\s*-?\s*[AB]?|[1-5]\s*-?\s*[AB]?)\b", 1),
+    ("construction_type", "TYPE", r"\bTYPE\s+([IV]{1,3}\s*-\s*[AB])\b", 1),
+    ("building_area_sf", "AREA", r"\bBUILDING\s+AREA\s*[:=]\s*([\d,]+)\s*(?:SF|S\.F\.|SQ)", 1),
+    ("building_area_sf", "AREA", r"\bAREA\s+PER\s+(?:FLOOR|STOR[EY]{1,2})\s*[:=]\s*([\d,]+)", 1),
+    ("building_area_sf", "FOOTAGE", r"\bSQUARE\s+FOOTAGE\s+PER\s+(?:FLOOR|STOR[EY]{1,2})[^\d]{0,24}([\d][\d,]{2,})", 1),
+    ("total_area_sf", "TOTAL", r"\bTOTAL\s+(?:BUILDING\s+)?AREA\s*[:=]\s*([\d,]+)\s*(?:SF|S\.F\.|SQ)", 1),
+    ("total_area_sf", "GROSS", r"\bGROSS\s+(?:BUILDING\s+)?AREA\s*[:=]\s*([\d,]+)\s*(?:SF|S\.F\.|SQ)", 1),
+    ("total_area_sf", "FOOTAGE", r"\bTOTAL\s+SQUARE\s+FOOTAGE[^\d]{0,24}([\d][\d,]{2,})", 1),
+    ("height_ft", "HEIGHT", r"\bBUILDING\s+HEIGHT\s*[:=]\s*(\d+\s*'\s*-?\s*\d*\s*\"?|\d+(?:\.\d+)?\s*(?:FT|FEET))", 1),
+    ("height_ft", "HEIGHT", r"\bMEAN\s+ROOF\s+HEIGHT\s*[:=]\s*(\d+\s*'\s*-?\s*\d*\s*\"?|\d+(?:\.\d+)?)", 1),
+    ("height_ft", "HEIGHT", r"\bHEIGHT\s+(\d+\s*'\s*-?\s*\d*\s*\"?)", 1),
+    ("stories", "STOR", r"\b(?:NUMBER\s+OF\s+)?STOR(?:IES|EYS)\s*[:=]\s*(\d+)\b", 1),
+    ("stories", "STOR", r"\bSTOR(?:IES|EYS)\s+(\d+)\b", 1),
+    ("stories", "STOR", r"\b(\d+)\s+STOR(?:Y|IES|EY|EYS)\b", 1),
+    ("sprinkler_system", "SPRINKLER", r"\bSPRINKLER[^\r\n]{0,40}?[:=]\s*(NFPA\s*13[RD]?|YES|NO|NONE)\b", 1),
+    ("sprinkler_system", "NFPA", r"\b(NFPA\s*13[RD]?)\b", 1),
+    ("sprinkler_system", "SPRINKLERED", r"\bFULLY\s+SPRINKLERED\b()", 1),
+    ("wind_speed_mph", "MPH", r"\bV\s*(?:ULT|ULTIMATE)?\s*[:=]\s*(\d{2,3})\s*MPH", 1),
+    ("wind_speed_mph", "WIND", r"\bULTIMATE\s+(?:DESIGN\s+)?WIND\s+SPEED\s*[:=]\s*(\d{2,3})", 1),
+    ("wind_speed_mph", "WIND", r"\bWIND\s+SPEED\s*[:=]\s*(\d{2,3})\s*MPH", 1),
+    ("exposure_category", "EXPOSURE", r"\bEXPOSURE\s*(?:CATEGORY)?\s*[:=]?\s*([B-D])\b", 1),
+    ("risk_category", "RISK", r"\bRISK\s*CATEGORY\s*[:=]?\s*(I{1,3}V?|IV|[1-4])\b", 1),
+    ("zoning", "ZONING", r"\bZONING\s*[:=]\s*([^\r\n]{1,40}?)(?:\s{2,}|[\r\n]|$)", 1),
+    ("jurisdiction", "COUNTY", r"\b([A-Z][A-Za-z\.\s]{2,28}?\s+COUNTY,?\s+(?:FL|FLORIDA))\b", 1),
+    ("jurisdiction", "JURISDICTION", r"\bJURISDICTION\s*[:=]\s*([^\r\n]{1,40}?)(?:\s{2,}|[\r\n]|$)", 1),
+    ("code_edition", "EDITION", r"\bFLORIDA\s+BUILDING\s+CODE[^\r\n]{0,40}?\b(\d(?:ST|ND|RD|TH)\s+EDITION)", 1),
+    ("code_edition", "EDITION", r"\b(\d(?:ST|ND|RD|TH)\s+EDITION)[^\r\n]{0,30}?\((\d{4})\)", 2),
+    ("code_edition", "CODE", r"\bFLORIDA\s+BUILDING\s+CODE[,\s]+(20\d\d)\b", 1),
+]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planlens.operators import facts as FX, reconcile as R
+from planlens.functions import vocabulary as V
+from planlens.operators import facts as FX, reconcile as R, sweep as SW
 from planlens.plans.adapters import adapter, with_views
 from planlens.plans.registry import query, table
 from planlens.sources.catalog import questions
@@ -309,3 +310,35 @@ def rec_implication(spark, d):
     out = R.apply_implication(long).where("field = 'mixed_occupancy'")
     return out.select("set_id", F.col("value_bool").alias("mixed"),
                       F.contains("note", F.lit("says not mixed")).alias("overridden"))
+
+
+# An order is a page of its customer's set; it prints its own values, in the wording its status and priority give.
+SWEPT_TEXT = """concat_ws(chr(10), CASE o_orderstatus WHEN 'F' THEN concat('Building area: ', CAST(floor(o_totalprice) AS BIGINT), ' SF')
+  WHEN 'O' THEN concat('SQUARE FOOTAGE PER FLOOR (MAXIMUM)', chr(10), CAST(floor(o_totalprice) AS BIGINT), chr(10), '92,000')
+  ELSE concat('AREA PER STORY = ', CAST(floor(o_totalprice) AS BIGINT)) END,
+ CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN concat('NUMBER OF STORIES: ', substr(o_orderpriority, 1, 1)) WHEN '2' THEN concat('STORIES ', substr(o_orderpriority, 1, 1))
+  ELSE concat('FSPK ', substr(o_orderpriority, 1, 1), ' Story') END,
+ concat('ZONING: ', o_orderpriority, '   PLAT ', CAST(o_orderkey AS STRING)), concat('Jurisdiction = ', CAST(o_orderdate AS STRING)))"""
+
+
+def _swept_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    arms = "\n UNION ALL ".join(
+        f"SELECT set_id, page, sheet, '{field}' AS field, {rank} AS rank, coalesce({', '.join(f'''nullif(regexp_extract(text, {quote('(?i)' + pattern)}, {g}), '')''' for g in [*range(1, groups + 1), 0])}) AS stated FROM p"
+        for rank, (field, _, pattern, groups) in enumerate(V.TEXT_SWEEP))
+    text = SWEPT_TEXT.replace("STRING", "VARCHAR")
+    return f"""
+WITH p AS MATERIALIZED (SELECT o_custkey AS set_id, o_orderkey AS page, CASE o_orderstatus WHEN 'O' THEN 'G-1' ELSE 'A-1' END AS sheet, {text} AS text FROM orders),
+ h AS ({arms}),
+ first AS (SELECT * FROM h WHERE stated IS NOT NULL QUALIFY row_number() OVER (PARTITION BY set_id, rank ORDER BY sheet[1] <> 'G', page) = 1)
+SELECT set_id, field, page, sheet AS source, stated, CASE WHEN field IN ('building_area_sf', 'stories') THEN CAST(replace(stated, ',', '') AS DOUBLE) END AS value_num
+FROM first QUALIFY row_number() OVER (PARTITION BY set_id, field ORDER BY rank) = 1"""
+
+
+@query("rec_text_sweep", _swept_sql())
+def rec_text_sweep(spark, d):
+    """Questions answered from the running text of each set's pages."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("page"), F.expr(SWEPT_TEXT).alias("text"), "o_orderstatus")
+    sheets = o.select("set_id", "page", F.when(F.col("o_orderstatus") == "O", "G-1").otherwise("A-1").alias("code"))
+    out = SW.swept_values(SW.sweep_hits(o.drop("o_orderstatus"), sheets))
+    return out.select("set_id", "field", "page", "source", "stated", "value_num")

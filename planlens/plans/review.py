@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from planlens.operators import (calibration as C, claims as CL, facts as FX, geometry as G, layout as L, profile as P, reconcile as R, register as RG,
-                                rules as RU, tables as TB)
+                                rules as RU, sweep as SW, tables as TB)
 from planlens.session import cut_lineage
 from planlens.sources.catalog import catalog, questions
 
@@ -30,12 +30,16 @@ def review(pairs: DataFrame, declarations: DataFrame, profile: DataFrame | None
     """(register, abstentions) of every set that has pairs or a declaration.
 
     ``declarations`` is the wide row per set; ``tables`` are the other inputs the rules know;
-    ``only`` names the rules to run (None: all).
+    ``only`` names the rules to run (None: all). With ``text`` among the tables, questions that no fact answers are swept from it.
     """
     spark = pairs.sparkSession
     resolved = facts_from_pairs(pairs)
     sets = pairs.select("set_id").union(declarations.select("set_id")).distinct()
-    drawn = cut_lineage(R.apply_implication(drawn_from_facts(resolved)))
+    said = drawn_from_facts(resolved)
+    if tables.get("text") is not None:  # what no laid-out fact answers is looked for in the running text
+        swept = SW.swept_values(SW.sweep_hits(tables["text"], tables.get("sheets")))
+        said = R.drawn_values(said, said.where("false"), swept)
+    drawn = cut_lineage(R.apply_implication(said))
     # Each expression of the next step names those of the one before many times over: without a cut they multiply.
     rec = cut_lineage(R.reconcile(R.long_declarations(declarations), drawn, questions(spark), sets=sets))
     rows = cut_lineage(R.scenarios(rec, keep_silent=True))

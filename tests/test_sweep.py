@@ -57,8 +57,8 @@ def test_a_general_sheet_and_a_stated_form_come_first(frame):
 
 
 def test_a_hit_that_is_no_value_gives_way_to_the_next_pattern(frame):
-    text = frame([(1, 0, "CONSTRUCTION TYPE: VVV"), (1, 1, "TYPE II-B"), (1, 2, "CONSTRUCTION TYPE: III-B")], TEXT)
-    assert values(SW.swept_values(SW.sweep_hits(text))) == {(1, "construction_type"): ("II-B", 1)}
+    text = frame([(1, 0, "OCCUPANCY: GROUP"), (1, 1, "GROUP A-3"), (1, 2, "OCCUPANCY: BUSINESS")], TEXT)
+    assert values(SW.swept_values(SW.sweep_hits(text))) == {(1, "occupancy_group"): ("A-3", 1)}
 
 
 def test_a_fact_stands_before_the_sweep_and_a_cited_table_implies_mixed(frame):

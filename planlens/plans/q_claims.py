@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from planlens.functions import text as T
-from planlens.operators import claims as C, grounding as G, layout as L, profile as P
+from planlens.operators import claims as C, grounding as G, layout as L, profile as P, register as RG
 from planlens.plans.adapters import DUCK_LINES, DUCK_WORDS, adapter, lines, with_views, words
 from planlens.plans.registry import query, table
 from planlens.session import cut_lineage, ensure_checkpoint_dir
@@ -101,6 +101,21 @@ def sink_findings(spark, d):
     return spark.read.parquet(at).groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
+@query("sink_reports", with_views("a_findings") + """
+SELECT set_id, count(*) AS n, count(*) FILTER (WHERE status = 'CONFLICT') AS n_conflicts, round(sum(price), 2) AS total FROM a_findings GROUP BY set_id""")
+def sink_reports(spark, d):
+    """Findings and their summary committed together by job; one job runs twice and one attempt never commits."""
+    at = folder(spark, "reports")
+    found = adapter(spark, d, "a_findings")
+    for job, part in (("odd", "set_id % 2 = 1"), ("even", "set_id % 4 = 0"), ("even", "set_id % 2 = 0")):
+        mine = found.where(part)
+        S.write_reports({"findings": mine, "summary": RG.summary(mine)}, at, job)
+    found.write.parquet(f"{at}/reports/findings/attempt=lost")
+    got = S.read_reports(spark, at, ["findings", "summary"])
+    total = got["findings"].groupBy("set_id").agg(F.round(F.sum("price"), 2).alias("total"))
+    return got["summary"].select("set_id", F.col("findings_count").alias("n"), "n_conflicts").join(total, "set_id")
+
+
 # ---- profiling ----------------------------------------------------------------------------------
 
 STATS = """WITH s AS (SELECT page_id // 5 AS set_id, CAST(page_id % 5 AS INTEGER) AS page, length(html) % 300 AS vec, length(url) * 5 AS chars,

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planlens.operators import claims as C
+from planlens.operators import claims as C, register as RG
 from planlens.operators.helpers import attach
 from planlens.plans.q_claims import claim_pairs, folder
 from planlens.plans.registry import query, table
 from planlens.sources.catalog import catalog
 from planlens.streaming import jobs as J
 from planlens.streaming.review import review_stream, reviewed
+from planlens.streaming.sets import review_sets, set_reports, waiting_sets
 
 
 def shaped(df):
@@ -144,3 +145,24 @@ def st_incremental(spark, d):
 
 def claim_pairs_of(batch):
     return claim_pairs(batch.sparkSession, None, batch)
+
+
+@query("st_set_reviews", """
+WITH s AS (SELECT l_orderkey AS set_id, max(l_shipdate) AS last, bool_or(l_returnflag = 'R') AS ended, count(*) AS findings_count,
+  count(*) FILTER (WHERE l_quantity >= 40) AS n_critical, count(*) FILTER (WHERE l_linestatus = 'O') AS n_open, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_orderkey)
+SELECT set_id, findings_count, n_critical, n_open, quantity FROM s WHERE ended OR last <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 200 DAY""")
+def st_set_reviews(spark, d):
+    """Order lines arrive by date in four files; an order is complete at a returned line or 200 days after its last. What is reviewed equals one batch run."""
+    at = folder(spark, "sets")
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("set_id"), F.col("l_shipdate").cast("timestamp").alias("at"), (F.col("l_returnflag") == "R").alias("ended"),
+        F.when(F.col("l_linestatus") == "O", "OPEN").otherwise("PASS").alias("status"), F.when(F.col("l_quantity") >= 40, "CRITICAL").otherwise("LOW").alias("severity"), "l_quantity")
+    lines.repartitionByRange(4, "at").write.parquet(f"{at}/in")
+
+    def reports(rows):
+        return {"findings": rows.select("set_id", "status", "severity", "l_quantity"), "summary": RG.summary(rows)}
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    review_sets(arriving, reports, at, "200 days").awaitTermination()
+    got, open_ = set_reports(spark, at, ["findings", "summary"]), waiting_sets(spark, at)
+    total = got["findings"].groupBy("set_id").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return got["summary"].select("set_id", "findings_count", "n_critical", "n_open").join(total, "set_id").join(open_, "set_id", "left_anti")

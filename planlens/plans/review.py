@@ -27,7 +27,14 @@ def drawn_from_facts(resolved: DataFrame) -> DataFrame:
 
 def review(pairs: DataFrame, declarations: DataFrame, profile: DataFrame | None = None, only: list[str] | None = None, **tables: DataFrame
            ) -> tuple[DataFrame, DataFrame]:
-    """(register, abstentions) of every set that has pairs or a declaration.
+    """(register, abstentions) of every set that has pairs or a declaration; see ``review_reports``."""
+    out = review_reports(pairs, declarations, profile, only, **tables)
+    return out["findings"], out["abstentions"]
+
+
+def review_reports(pairs: DataFrame, declarations: DataFrame, profile: DataFrame | None = None, only: list[str] | None = None, **tables: DataFrame
+                   ) -> dict[str, DataFrame]:
+    """What a review hands out per set: findings, abstentions, summary, declaration and, with a profile, calibration.
 
     ``declarations`` is the wide row per set; ``tables`` are the other inputs the rules know;
     ``only`` names the rules to run (None: all). With ``text`` among the tables, questions that no fact answers are swept from it.
@@ -46,15 +53,18 @@ def review(pairs: DataFrame, declarations: DataFrame, profile: DataFrame | None
     out = cut_lineage(RU.run_rules(RU.Inputs(rows, resolved=resolved, **tables), spark, only))
     merged = RG.merge_scenarios(RU.findings(out))
     stood = RG.dedupe_abstentions(RU.abstentions(out))
+    extra = {}
     if profile is not None:
         groups = drawn.where("field = 'occupancy_group'").select("set_id", F.col("value_str").alias("occupancy_group"))
         applied = C.apply_profile(merged.join(groups, "set_id", "left"), profile)
         quiet = C.silenced(applied).select("set_id", "rule_id", "reason", F.lit(None).cast("int").alias("page"), "detail")
         stood = stood.select("set_id", "rule_id", "reason", "page", "detail").unionByName(quiet)
+        extra = {"calibration": C.adjustments(applied)}
         ordered = C.calibrated_order(C.kept(applied), ["title"])
     else:
         ordered = RG.order_register(merged, ["title"])
-    return RG.finding_keys(ordered), stood
+    keyed = cut_lineage(RG.finding_keys(ordered))  # read again by the summary
+    return {"findings": keyed, "abstentions": stood, "summary": RG.summary(keyed), "declaration": R.declaration_report(rec)} | extra
 
 
 def drawn(words: DataFrame, pages: DataFrame, paths: DataFrame | None = None, viewports: DataFrame | None = None) -> dict[str, DataFrame]:

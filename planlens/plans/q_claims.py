@@ -101,6 +101,27 @@ def sink_findings(spark, d):
     return spark.read.parquet(at).groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
+@query("src_declaration_files", "SELECT c_custkey AS set_id, c_acctbal AS height_ft, c_mktsegment AS zoning FROM customer")
+def src_declaration_files(spark, d):
+    """Declarations written as JSON files with a key the schema does not know, and read back."""
+    at = folder(spark, "declarations")
+    c = table(spark, d, "customer")
+    c.select(F.col("c_custkey").alias("set_id"), F.col("c_acctbal").alias("height_ft"), F.col("c_mktsegment").alias("zoning"), F.col("c_nationkey").alias("made_up")).write.json(at)
+    return R.read_declarations(spark, at).select("set_id", "height_ft", "zoning")
+
+
+@query("src_ocr_files", """
+WITH w AS (SELECT month(o_orderdate) AS set_id, year(o_orderdate) AS page, o_custkey::DOUBLE AS x0, o_orderkey + 10.0::DOUBLE AS y1, o_orderpriority AS text, floor(o_totalprice / 5000) AS conf FROM orders)
+SELECT CAST(set_id AS INTEGER) AS set_id, CAST(page AS INTEGER) AS page, x0, CAST(y1 AS DOUBLE) AS y1, text, CAST(conf AS DOUBLE) AS conf FROM w WHERE conf >= 40""")
+def src_ocr_files(spark, d):
+    """Recognised words written as tab-separated files per set and page, and read back without the doubtful ones."""
+    at = folder(spark, "ocr")
+    said = {"left": F.col("o_custkey"), "top": F.col("o_orderkey"), "width": F.lit(10), "height": F.lit(10), "conf": F.floor(F.col("o_totalprice") / 5000), "text": F.col("o_orderpriority")}
+    o = table(spark, d, "orders").select(F.month("o_orderdate").alias("set_id"), F.year("o_orderdate").alias("page"), *[said.get(c, F.lit(1)).cast("string").alias(c) for c in R.OCR_COLUMNS])
+    o.repartition("set_id", "page").write.partitionBy("set_id", "page").csv(at, sep="\t", header=True, quote="")
+    return R.read_ocr_tsv(spark, at).select("set_id", "page", "x0", "y1", "text", "conf")
+
+
 @query("sink_reports", with_views("a_findings") + """
 SELECT set_id, count(*) AS n, count(*) FILTER (WHERE status = 'CONFLICT') AS n_conflicts, round(sum(price), 2) AS total FROM a_findings GROUP BY set_id""")
 def sink_reports(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from planlens.operators import geometry as G, tables as TB
 from planlens.plans.adapters import DUCK_LINES, lines
-from planlens.plans.registry import query, table
+from planlens.plans.registry import ORACLE, query, table
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -407,3 +407,11 @@ def geo_anchor_lines(spark, d):
     ln = lines(spark, d)
     both = ln.select("set_id", F.explode(F.array(F.col("page"), (F.col("page") + 1).cast(ln.schema["page"].dataType))).alias("page"), F.col("text").alias("anchor"))
     return G.locate_anchor(line_items(spark, d), both).groupBy("set_id", "page", "anchor").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("geo_empty_share", ORACLE["geo_framed_count"].replace("SELECT w.set_id, 'V'", ", f AS (SELECT w.set_id, v, 'V'").replace("GROUP BY ALL", """GROUP BY ALL)
+SELECT set_id, coalesce(sum(CASE WHEN drawn = 0 THEN 120.0 * (v + 1) ELSE 0 END)::DOUBLE / sum(120.0 * (v + 1))::DOUBLE, 0) AS share FROM f GROUP BY set_id"""))
+def geo_empty_share(spark, d):
+    """Share of each set's viewport area that frames nothing; a viewport's area grows with its number."""
+    framed = geo_framed_count(spark, d).withColumn("area", 120.0 * (F.substring("viewport", 2, 2).cast("double") + 1))
+    return G.empty_share(framed).select("set_id", "share")

@@ -8,7 +8,7 @@ from planlens.functions import text as T
 from planlens.operators import layout as L
 from planlens.operators.helpers import grid_join, sided
 from planlens.plans.adapters import DUCK_LINES, DUCK_WORDS, lines, words
-from planlens.plans.registry import query
+from planlens.plans.registry import ORACLE, query
 from planlens.session import cut_lineage
 
 WIDTH, HEIGHT = 612.0, 792.0
@@ -329,3 +329,18 @@ def lay_labelled_values(spark, d):
                     F.when(n == 0, " 1,436 YES").when(n == 1, ' 32"').otherwise(""))
     t = lines(spark, d).where("trim(text) <> ''").withColumn("text", text)
     return L.labelled_values(t).select("set_id", "page", "line_no", "label", "value")
+
+
+@query("lay_cited_once", CITED + """,
+r AS (SELECT set_id, page, line_no, lab AS label, CAST(1000 + n % 30 AS VARCHAR) || '.' || CAST(n % 5 AS VARCHAR) AS section, CAST(n AS DOUBLE) AS required FROM t WHERE n % 4 <> 3)
+SELECT set_id, section, label, 'S-' || CAST(page AS VARCHAR) AS sheet, min(line_no) AS band, arg_min(required, line_no) AS required FROM r GROUP BY ALL""")
+def lay_cited_once(spark, d):
+    """A row met twice on a sheet is one row, where it stands first."""
+    rows = L.cited_rows(cited(spark, d)).select("set_id", "page", "label", "section", "required", F.col("line_no").alias("band"), F.concat(F.lit("S-"), F.col("page").cast("string")).alias("sheet"))
+    return L.dedupe_cited(rows).select("set_id", "section", "label", "sheet", "band", "required")
+
+
+@query("lay_asks", ORACLE["lay_find_value"].split("SELECT set_id, arg_min")[0] + "SELECT DISTINCT set_id FROM k WHERE contains(key, 'THE')")
+def lay_asks(spark, d):
+    """Sets that ask a question at all, answered or not."""
+    return L.poses(L.inline_pairs(marked_lines(spark, d)), ["the"])

@@ -18,3 +18,22 @@ def spark():
 @pytest.fixture
 def frame(spark):
     return lambda rows, schema: spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Rows a query writes into its exchanges."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def rows():
+        it = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).iterator()
+        n = 0
+        while it.hasNext():
+            n += it.next().shuffleWriteRecords()
+        return n
+
+    def count(run):
+        before = rows()
+        run().write.format("noop").mode("overwrite").save()
+        return rows() - before
+    return count

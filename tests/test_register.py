@@ -122,3 +122,17 @@ def test_rules_reasons_are_all_classified(spark):
 def test_questions_unlock_rules(spark):
     got = {r.rule_id: r.fields for r in AB.unlocked_by(questions(spark)).collect()}
     assert got["STRUCT.WIND_STANDARD"] == ["wind_speed_mph", "exposure_category", "risk_category", "code_edition"]
+
+
+def test_scorecard_is_not_multiplied_by_its_map(spark, shuffled):
+    """Every rule speaks for every check: the rows that move stay in proportion to what was said and expected."""
+    n = spark.range(300)
+    pick = lambda k: F.element_at(F.array(*[F.lit(f"{k}{i}") for i in range(20)]), (F.col("j") + 1).cast("int"))
+    four = n.select(F.col("id").alias("set_id"), F.explode(F.sequence(F.col("id") % 5, F.col("id") % 5 + 3)).alias("j"))
+    said = four.select("set_id", pick("R").alias("rule_id"), F.lit("OPEN").alias("status"), F.lit("HIGH").alias("severity"))
+    stood = four.select("set_id", pick("R").alias("rule_id"), F.lit("why").alias("reason"))
+    expected = four.select("set_id", pick("E").alias("entry"), F.lit("HIGH").alias("severity"))
+    rules = spark.range(20).select(F.concat(F.lit("R"), "id").alias("rule_id")).crossJoin(spark.range(20).select(F.concat(F.lit("E"), "id").alias("entry")))
+    run = lambda: RG.scorecard(said, stood, expected, rules)
+    assert {(r.outcome, r["count"]) for r in run().groupBy("outcome").count().collect()} == {("exact", 1200)}
+    assert shuffled(run) < 3 * 3 * 1200

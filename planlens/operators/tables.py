@@ -239,41 +239,50 @@ def fixture_block(segs: DataFrame) -> DataFrame:
     two count columns; a count belongs to the nearer column header.
     """
     up = F.upper(F.trim("text"))
-    heads = segs.where(up.rlike(V.PLUMBING_HEADING)).groupBy(*PAGE).agg(F.min_by(
-        F.struct(F.col("seg_id").alias("hid"), F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y0").alias("hy0"),
-                 F.col("h").alias("hh")), "seg_id").alias("b")).select(*PAGE, "b.*")
-    s = segs.join(heads, PAGE).where(
+    # everything of a page is decided where the page is: one exchange by page, then one of the few facts by set
+    page = W.partitionBy(*PAGE)
+    head = F.struct(F.col("seg_id").alias("hid"), F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y0").alias("hy0"), F.col("h").alias("hh"))
+    s = segs.where("set_id is not null and page is not null").withColumn("b", F.min(F.when(up.rlike(V.PLUMBING_HEADING), head)).over(page)).select("*", "b.*").where(
         (F.col("seg_id") != F.col("hid")) & F.col("x0").between(F.col("hx0") - 120, F.col("hx1") + 260)
         & (F.col("y0") > F.col("hy0")) & (F.col("y0") <= F.col("hy0") + 45 * F.greatest("hh", F.lit(1.0))))
     s = s.withColumn("t", up)
-    col = lambda k: F.max(F.when(F.col("t").startswith(k), F.col("x0")))
-    cols = s.groupBy(*PAGE).agg(col("TOTAL REQUIRED").alias("rx"), col("TOTAL PROVIDED").alias("px"), F.min(F.when(
-        F.col("t").rlike("^TOTAL (REQUIRED|PROVIDED)"), F.col("y0"))).alias("top"))
-    s = s.join(cols, PAGE)
-    above = s.where("top is null or y0 < top")
-    # ratio lines read across: segments of one line joined left to right
-    line = above.groupBy(*PAGE, F.bround(F.col("yc") / F.greatest("h", F.lit(1.0)), 0).alias("ln")).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("x0", "t"))), lambda x: x["t"]), " ").alias("t"))
-    per = lambda sex: T.rx(F.col("body"), rf"1\s*/\s*(\d[\d,]*)\s*{sex}\b", 1)
-    plain = T.rx(F.col("body"), r"1\s*/\s*(\d[\d,]*)\s*(?!\d|,|MALE|FEMALE)", 1)
+    col = lambda k: F.max(F.when(F.col("t").startswith(k), F.col("x0"))).over(page)
+    s = s.withColumns({"rx": col("TOTAL REQUIRED"), "px": col("TOTAL PROVIDED"), "top": F.min(F.when(
+        F.col("t").rlike("^TOTAL (REQUIRED|PROVIDED)"), F.col("y0"))).over(page)})
+    above = F.col("top").isNull() | (F.col("y0") < F.col("top"))
+    under = F.col("rx").isNotNull() & F.col("px").isNotNull() & (F.col("y0") > F.col("top"))
+    # ratio lines read across: segments of one line joined left to right; a segment under the columns stands alone
+    near = F.when(F.abs(F.col("rx") - F.col("x0")) <= F.abs(F.col("px") - F.col("x0")), "required").otherwise("provided")
+    unit = s.where(above | under).withColumn("up", F.coalesce(above, F.lit(False))).groupBy(
+        *PAGE, "up", F.when(F.col("up"), F.bround(F.col("yc") / F.greatest("h", F.lit(1.0)), 0)).alias("ln"), F.when(~F.col("up"), F.col("seg_id")).alias("alone"),
+        F.when(~F.col("up"), near).alias("side"), F.when(~F.col("up"), F.col("t")).alias("own")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "t"))), lambda x: x["t"]), " ").alias("line"), F.count(F.lit(1)).alias("times"))
     num = lambda c: F.regexp_replace(c, ",", "").cast("double")
-    r = line.withColumn("word", T.rx(F.col("t"), V.FIXTURE_RATIO, 1)).withColumn("body", T.rx(F.col("t"), V.FIXTURE_RATIO, 2))
-    ratios = r.where("word is not null").select(*PAGE, F.lit("ratio").alias("part"), fixture_kind(F.col("word")).alias("kind"),
-        F.coalesce(num(per("MALE")), num(plain)).alias("male"), F.coalesce(num(per("FEMALE")), num(plain)).alias("female"), "ln")
-    single = lambda part, pat: line.select(*PAGE, F.lit(part).alias("part"), F.lit(part).alias("kind"), num(T.rx(F.col("t"), pat, 1)).alias("male"),
-                                           F.lit(None).cast("double").alias("female"), "ln").where("male is not null")
-    facts = ratios.unionByName(single("load", V.FIXTURE_LOAD)).unionByName(single("sinks", V.SERVICE_SINK))
-    last = facts.groupBy(*PAGE, "part", "kind").agg(F.max_by(F.struct("male", "female"), F.when(
-        F.col("part") == "load", -F.col("ln")).otherwise(F.col("ln"))).alias("v")).select(*PAGE, "part", "kind", "v.*")
-    counted = s.where("rx is not null and px is not null and y0 > top").withColumn("n", T.rx(F.col("t"), V.FIXTURE_COUNT, 1).cast("double")).where(
-        "n is not null").withColumn("part", F.when(F.abs(F.col("rx") - F.col("x0")) <= F.abs(F.col("px") - F.col("x0")), "required").otherwise("provided"))
-    counted = counted.withColumn("kind", fixture_kind(T.rx(F.col("t"), V.FIXTURE_COUNT, 3)))
-    sums = counted.groupBy(*PAGE, "part", "kind").agg(F.sum("n").alias("male"), F.lit(None).cast("double").alias("female"))
-    unisex = counted.where((F.col("part") == "provided") & T.rx(F.col("t"), V.FIXTURE_COUNT, 2).isNotNull()).select(
-        *PAGE, F.lit("unisex").alias("part"), F.lit("unisex").alias("kind"), F.lit(1.0).alias("male"), F.lit(None).cast("double").alias("female")).distinct()
-    every = last.unionByName(sums).unionByName(unisex)
-    first = every.where("part in ('ratio', 'provided')").groupBy("set_id").agg(F.min("page").alias("page"))
-    return every.join(first, PAGE)
+    none = F.lit(None).cast("double")
+    word, body = T.rx(F.col("line"), V.FIXTURE_RATIO, 1), T.rx(F.col("line"), V.FIXTURE_RATIO, 2)
+    per = lambda sex: T.rx(body, rf"1\s*/\s*(\d[\d,]*)\s*{sex}\b", 1)
+    plain = T.rx(body, r"1\s*/\s*(\d[\d,]*)\s*(?!\d|,|MALE|FEMALE)", 1)
+    n = T.rx(F.col("own"), V.FIXTURE_COUNT, 1).cast("double")
+
+    def fact(when: Column, part: Column, kind: Column, male: Column, female: Column = none) -> Column:
+        return F.when(when, F.struct(part.alias("part"), kind.alias("kind"), male.alias("male"), female.alias("female")))
+
+    def single(part: str, pattern: str) -> Column:
+        v = num(T.rx(F.col("line"), pattern, 1))
+        return fact(F.col("up") & v.isNotNull(), F.lit(part), F.lit(part), v)
+
+    unisex = F.lit("unisex")
+    facts = F.array_compact(F.array(
+        fact(F.col("up") & word.isNotNull(), F.lit("ratio"), fixture_kind(word), F.coalesce(num(per("MALE")), num(plain)), F.coalesce(num(per("FEMALE")), num(plain))),
+        single("load", V.FIXTURE_LOAD), single("sinks", V.SERVICE_SINK),
+        fact(n.isNotNull(), F.col("side"), fixture_kind(T.rx(F.col("own"), V.FIXTURE_COUNT, 3)), n * F.col("times")),
+        fact(n.isNotNull() & (F.col("side") == "provided") & T.rx(F.col("own"), V.FIXTURE_COUNT, 2).isNotNull(), unisex, unisex, F.lit(1.0))))
+    each = unit.select(*PAGE, "ln", F.explode(facts).alias("f")).select(*PAGE, "ln", "f.*")
+    last = F.max_by(F.struct("male", "female"), F.when(F.col("part") == "load", -F.col("ln")).otherwise(F.col("ln")))
+    every = each.groupBy(*PAGE, "part", "kind").agg(F.when(F.col("part").isin("required", "provided"), F.struct(F.sum("male").alias("male"), none.alias("female"))).when(
+        F.col("part") == "unisex", F.struct(F.max("male").alias("male"), none.alias("female"))).otherwise(last).alias("v")).select(*PAGE, "part", "kind", "v.*")
+    first = F.min(F.when(F.col("part").isin("ratio", "provided"), F.col("page"))).over(W.partitionBy("set_id"))
+    return every.withColumn("_first", first).where("page = _first").drop("_first")
 
 
 def ceiling_tags(segs: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -113,3 +113,17 @@ def test_egress_runs_take_the_scale_of_their_view(frame):
     assert got == {1: (0, "A-1", 2, 130.0, 18.0, ""), 2: (0, "", 2, 90.0, None, "spans several views"), 7: (0, "", 1, 490.0, None, "its view has no scale"), 3: (0, "", 0, None, None, ""),
                    4: (0, "", 4, 80.0, 9.0, ""), 6: (0, "", 1, 0.0, None, "the page has no scale and no views")}
     assert G.egress_runs(frame([], path), frame([], t), pages).collect() == []
+
+
+def test_fixture_block_reads_its_page_once(frame):
+    """Ratios above the two count columns, counts under the nearer one, all from one exchange of the segments by page."""
+    from planlens.operators import tables as TB
+    seg = lambda i, t, x0, y0, page=0, set_id=1: (set_id, page, i, t, x0, y0, x0 + 60.0, y0 + 10, 10.0, y0 + 5)
+    rows = [seg(1, "PLUMBING COUNTS", 0.0, 0.0), seg(2, "WC: 1/125 MALE,", 0.0, 12.0), seg(3, "1/65 FEMALE", 90.0, 12.0), seg(4, "LAV: 1/200", 0.0, 24.0), seg(5, "LAV: 1/100", 0.0, 36.0),
+            seg(6, "TOTAL REQUIRED", 0.0, 48.0), seg(7, "TOTAL PROVIDED", 150.0, 48.0), seg(8, "2 WC", 0.0, 60.0), seg(9, "3 WC", 150.0, 60.0), seg(10, "1 WC", 150.0, 72.0),
+            seg(11, "PLUMBING COUNTS", 0.0, 300.0), seg(1, "PLUMBING COUNTS", 0.0, 0.0, 1), seg(2, "DF: 1/500", 0.0, 12.0, 1), seg(3, "OCCUPANTS: 7", 0.0, 12.0, 0, 2)]
+    segs = frame(rows, "set_id bigint, page int, seg_id int, text string, x0 double, y0 double, x1 double, y1 double, h double, yc double")
+    out = TB.fixture_block(segs)
+    got = {(r.set_id, r.page, r.part, r.kind, r.male, r.female) for r in out.collect()}
+    assert {(1, 0, "ratio", "wc", 125.0, 65.0), (1, 0, "ratio", "lav", 100.0, 100.0)} <= got and {g[:2] for g in got} == {(1, 0)}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()

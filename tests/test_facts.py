@@ -127,3 +127,16 @@ def test_a_fact_of_many_texts(spark):
         F.concat_ws(" ", F.lit("SEE SHEET"), "id", F.col("id") % 97).alias("value_str"), F.lit(None).cast("boolean").alias("value_bool"), F.lit(1.0).alias("score"),
         F.lit(0).alias("page"), F.col("id").alias("seq"))
     assert FX.group_claims(texts).agg(F.countDistinct("group_no"), F.count("*")).first() == (20_000, 20_000)
+
+
+def test_reconciling_moves_each_side_once(spark, shuffled):
+    """Both sides and the questions of a set meet in one exchange; readings by set move nothing more."""
+    from pyspark.sql import functions as F
+    from planlens.operators import reconcile as R
+    from planlens.sources.catalog import DECLARED_FIELDS, questions
+    one = spark.range(500).select(F.col("id").alias("set_id"), F.lit("stories").alias("field"), F.lit(2.0).alias("value_num"),
+                                  F.lit(None).cast("string").alias("value_str"), F.lit(None).cast("boolean").alias("value_bool"))
+    drawn = one.withColumn("value_num", F.when(F.col("set_id") % 2 == 0, 2.0).otherwise(3.0)).withColumn("page", F.lit(1))
+    run = lambda: R.scenarios(R.reconcile(one, drawn, questions(spark), sets=one.select("set_id")), keep_silent=True)
+    assert run().count() == 15 * 750
+    assert shuffled(run) <= 500 * (2 + len(DECLARED_FIELDS)) + 100

@@ -160,9 +160,9 @@ def scale_for(boxes: DataFrame, scaled_views: DataFrame, page_scale: DataFrame)
     inside, touch = contains("v_", "b_"), overlaps("v_", "b_")
     g = j.groupBy(*PAGE, "box_id").agg(
         F.count("v").alias("n_views"), F.count_if(inside).alias("n_in"), F.count_if(touch).alias("n_touch"),
-        F.count_distinct(F.when(inside, F.col("v_scale"))).alias("n_scales"), F.min(F.when(inside, F.col("v_scale"))).alias("in_scale"))
+        F.min(F.when(inside, F.col("v_scale"))).alias("in_scale"), F.max(F.when(inside, F.col("v_scale"))).alias("top_scale"))
     out = g.join(page_scale.select(*PAGE, F.col("scale").alias("p_scale")), PAGE, "left")
-    scale = F.coalesce("p_scale", F.when((F.col("n_in") == 1) | ((F.col("n_in") > 1) & (F.col("n_scales") == 1)), F.col("in_scale")))
+    scale = F.coalesce("p_scale", F.when((F.col("n_in") == 1) | ((F.col("n_in") > 1) & (F.col("in_scale") == F.col("top_scale"))), F.col("in_scale")))
     why = (F.when(scale.isNotNull(), "").when(F.col("n_views") == 0, "the page has no scale and no views")
            .when(F.col("n_in") == 1, "its view has no scale").when(F.col("n_in") > 1, "nested views do not agree")
            .when(F.col("n_touch") > 1, "spans several views").when(F.col("n_touch") == 1, "runs outside its view")

@@ -127,3 +127,15 @@ def test_fixture_block_reads_its_page_once(frame):
     got = {(r.set_id, r.page, r.part, r.kind, r.male, r.female) for r in out.collect()}
     assert {(1, 0, "ratio", "wc", 125.0, 65.0), (1, 0, "ratio", "lav", 100.0, 100.0)} <= got and {g[:2] for g in got} == {(1, 0)}
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scale_for_counts_no_distinct_scales(spark):
+    """Nested views of one scale govern a box, of two do not; one aggregation per box, without a distinct."""
+    box = "set_id bigint, page int, {} x0 double, y0 double, x1 double, y1 double"
+    boxes = spark.createDataFrame([(1, 0, 1, 5.0, 5.0, 6.0, 6.0), (2, 0, 1, 5.0, 5.0, 6.0, 6.0), (3, 0, 1, 5.0, 5.0, 6.0, 6.0)], box.format("box_id bigint,"))
+    v = spark.createDataFrame([(1, 0, 18.0, 0.0, 0.0, 9.0, 9.0), (1, 0, 18.0, 4.0, 4.0, 9.0, 9.0), (2, 0, 18.0, 0.0, 0.0, 9.0, 9.0),
+                               (2, 0, 36.0, 4.0, 4.0, 9.0, 9.0), (3, 0, 18.0, 0.0, 0.0, 9.0, 9.0), (3, 0, None, 4.0, 4.0, 9.0, 9.0)], box.format("scale double,"))
+    pages = spark.createDataFrame([(i, 0, None) for i in (1, 2, 3)], "set_id bigint, page int, scale double")
+    out = G.scale_for(boxes, v, pages)
+    assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.set_id: (r.scale, r.why) for r in out.collect()} == {1: (18.0, ""), 2: (None, "nested views do not agree"), 3: (18.0, "")}

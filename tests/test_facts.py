@@ -140,3 +140,14 @@ def test_reconciling_moves_each_side_once(spark, shuffled):
     run = lambda: R.scenarios(R.reconcile(one, drawn, questions(spark), sets=one.select("set_id")), keep_silent=True)
     assert run().count() == 15 * 750
     assert shuffled(run) <= 500 * (2 + len(DECLARED_FIELDS)) + 100
+
+
+def test_only_groups_of_several_readings_are_taken_apart(frame, monkeypatch):
+    rows = [(1, "a", "", 1, ["e1"]), (1, "a", "", 2, ["e1"]), (1, "a", "", 2, ["e2"]), (1, "a", "", 3, ["e1", "e2"]), (1, "a", "", 3, ["e2", "e3"]),
+            (1, "a", "", 4, ["e2", "e1"]), (1, "a", "", 4, ["e1", "e2"]), (1, "a", "", 5, []), (1, "a", "", 6, None)]
+    g = frame([(*r[:4], k % 2, "L", r[4]) for k, r in enumerate(rows)], "set_id bigint, field string, role string, group_no int, page int, method string, source array<string>")
+    seen = []
+    whole = FX.connected_components
+    monkeypatch.setattr(FX, "connected_components", lambda nodes, edges, keys: seen.append({r.group_no for r in nodes.collect()}) or whole(nodes, edges, keys))
+    assert {r.group_no: r.n_clusters for r in FX.reading_clusters(g).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1}
+    assert seen == [{2, 3}]

@@ -6,9 +6,9 @@ carries its source, page and note). NULL values are unanswered, never a default.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from planlens.functions import vocabulary as V
+from planlens.functions import text as T, vocabulary as V
 from planlens.functions.normalise import canonical
 from planlens.operators.facts import answers_agree
 from planlens.operators.helpers import full_outer
@@ -94,42 +94,56 @@ def apply_implication(drawn: DataFrame) -> DataFrame:
 
 
 def reconcile(declared: DataFrame, drawn: DataFrame, questions: DataFrame,
-              sets: DataFrame | None = None) -> DataFrame:
+              sets: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
     """Every (set, question) in one of five states, with both values in canonical form.
 
     ``sets`` lists every set, so a question neither side answers shows as UNKNOWN; without it
     only questions some side answers are listed. ``material`` says whether the set holds a conflict
-    that opens a second reading. Both sides go to their set in one exchange, so later steps by set
-    move nothing again.
+    that opens a second reading. ``fields`` are the questions wanted as rows (None: all); all of them
+    decide what is material. What a side says of a set is gathered before it moves, so one row a set
+    and side is exchanged, and later steps by set move nothing again.
     """
     extra = [c for c in ("source", "page", "note") if c in drawn.columns]
 
+    of = F.broadcast(questions.select("field", (F.size("unlocks") > 0).alias("opens"), "tol_abs", "tol_rel"))
+
     def side(df: DataFrame, tag: str) -> DataFrame:
         c = canonical(F.col("field"), F.col("value_num"), F.col("value_str"), F.col("value_bool"))
-        out = df.select("set_id", "field", F.lit(tag).alias("side"), c["c_num"].alias("num"), c["c_str"].alias("str"),
-                        *[(F.col(x) if tag == "w" else F.lit(None)).cast(drawn.schema[x].dataType).alias(x) for x in extra])
-        return out.where("num is not null or str is not null")
+        return df.join(of, "field").select("set_id", F.struct(
+            "field", F.lit(tag).alias("side"), c["c_num"].alias("num"), c["c_str"].alias("str"), "opens", "tol_abs", "tol_rel",
+            *[(F.col(x) if tag == "w" else F.lit(None)).cast(drawn.schema[x].dataType).alias(x) for x in extra]).alias("said"))
     every = side(declared, "d").unionByName(side(drawn, "w"))
+    one = every.schema["said"].dataType
     if sets is not None:
-        every = every.where("set_id is not null").unionByName(sets.select(
-            "set_id", F.explode(F.array(*map(F.lit, DECLARED_FIELDS))).alias("field"), F.lit("").alias("side")), allowMissingColumns=True)
-    # what either side says of one question, a value or two
-    said = lambda tag, *cols: F.collect_list(F.when(F.col("side") == tag, F.struct(*cols)))
-    met = every.repartition("set_id").groupBy("set_id", "field").agg(
-        said("d", "num", "str").alias("d"), said("w", "num", "str", *extra).alias("w"), F.max(F.col("side") == "").alias("_listed"))
+        every = every.where("set_id is not null").unionByName(sets.select("set_id", F.lit(None).cast(one).alias("said")))
+    met = every.groupBy("set_id").agg(F.collect_list("said").alias("said"), F.max(F.col("said").isNull()).alias("_listed"))
     if sets is not None:
         met = met.where("_listed")
-    met = met.select("set_id", "field", F.explode_outer("d").alias("d"), "w").select("set_id", "field", "d", F.explode_outer("w").alias("w"))
-    out = met.select("set_id", "field", F.col("d.num").alias("declared_num"), F.col("d.str").alias("declared_str"), F.col("w.num").alias("drawn_num"),
-                     F.col("w.str").alias("drawn_str"), *[F.col(f"w.{x}").alias(x) for x in extra], F.col("d").isNotNull().alias("_d"), F.col("w").isNotNull().alias("_w"))
-    out = out.join(F.broadcast(questions.select("field", "ord", "label", "unlocks", "tol_abs", "tol_rel")), "field")
-    agree = answers_agree(F.col("field"), F.col("declared_num"), F.col("declared_str"),
-                          F.col("drawn_num"), F.col("drawn_str"), F.col("tol_abs"), F.col("tol_rel"))
-    state = (F.when(F.col("_d") & F.col("_w"), F.when(agree, "CORROBORATED").otherwise("CONFLICT"))
-             .when(F.col("_d"), "DECLARED_ONLY").when(F.col("_w"), "DRAWN_ONLY").otherwise("UNKNOWN"))
-    out = out.withColumn("state", state).drop("_d", "_w")
-    opens = (F.col("state") == "CONFLICT") & (F.size("unlocks") > 0)
-    return out.withColumn("material", F.max(opens).over(W.partitionBy("set_id")))
+    by = lambda tag: F.filter("said", lambda x: (x["side"] == tag) & (x["num"].isNotNull() | x["str"].isNotNull()))
+    met = T.staged(met.select("set_id", by("d").alias("d"), by("w").alias("w")), in_d=F.transform("d", lambda x: x["field"]), in_w=F.transform("w", lambda x: x["field"]))
+
+    def row(d: Column | None, w: Column | None, field: Column) -> Column:
+        at = lambda x, k: F.lit(None).cast(one[k].dataType) if x is None else x[k]
+        both = d is not None and w is not None
+        conflict = ~F.coalesce(answers_agree(field, d["num"], d["str"], w["num"], w["str"], d["tol_abs"], d["tol_rel"]), F.lit(False)) if both else F.lit(False)
+        state = F.when(conflict, "CONFLICT").otherwise("CORROBORATED") if both else F.lit("DECLARED_ONLY" if d is not None else "DRAWN_ONLY" if w is not None else "UNKNOWN")
+        return F.struct(field.alias("field"), at(d, "num").alias("declared_num"), at(d, "str").alias("declared_str"), at(w, "num").alias("drawn_num"),
+                        at(w, "str").alias("drawn_str"), *[at(w, x).alias(x) for x in extra], state.alias("state"), (conflict & d["opens"] if both else conflict).alias("_opens"))
+    # a question's rows: of what either side says of it, a value or two, each beside each
+    beside = lambda d: F.when(F.array_contains("in_w", d["field"]), F.transform(F.filter("w", lambda w: w["field"] == d["field"]), lambda w: row(d, w, d["field"]))).otherwise(
+        F.array(row(d, None, d["field"])))
+    drawn_only = F.transform(F.filter("w", lambda w: ~F.array_contains("in_d", w["field"])), lambda w: row(None, w, w["field"]))
+    rows = [F.flatten(F.transform("d", beside)), drawn_only]
+    if sets is not None:
+        rows.append(F.transform(F.array_except(F.array_except(F.array(*map(F.lit, DECLARED_FIELDS)), "in_d"), "in_w"), lambda f: row(None, None, f)))
+    out = T.staged(met, rows=F.concat(*rows))
+    wanted = F.col("rows")
+    if sets is not None:
+        wanted = F.filter(wanted, lambda x: x["field"].isin(DECLARED_FIELDS))
+    if fields is not None:
+        wanted = F.filter(wanted, lambda x: x["field"].isin(fields))
+    out = out.select("set_id", F.exists("rows", lambda x: x["_opens"]).alias("material"), F.inline(wanted)).drop("_opens")
+    return out.join(F.broadcast(questions.select("field", "ord", "label", "unlocks", "tol_abs", "tol_rel")), "field")
 
 
 def scenarios(reconciled: DataFrame, keep_silent: bool = False) -> DataFrame:

@@ -116,10 +116,10 @@ query("rule_struct_wind_standard", plain(f"""
 
 # ---- declared against drawn -----------------------------------------------------------------------
 
-def compared(spark, d):
+def compared(spark, d, fields=None):
     w = drawn(spark, d).withColumn("source", F.lit("S-1")).withColumn("note", F.lit(""))
     sets = adapter(spark, d, "a_declared").select("set_id")
-    rec = R.reconcile(declared(spark, d), w, questions(spark), sets=sets)
+    rec = R.reconcile(declared(spark, d), w, questions(spark), sets=sets, fields=fields)
     return RU.Inputs(R.scenarios(rec, keep_silent=True))
 
 
@@ -134,8 +134,10 @@ SELECT set_id, scenario, CASE state WHEN 'CONFLICT' THEN '{bad}' WHEN 'CORROBORA
 
 
 def decl_outcome(rule_id):
+    asked = [f for f, v in RU.DECLARED_RULES.items() if v[0] == rule_id]
+
     def run(spark, d):
-        return RU.run_rules(compared(spark, d), spark, [rule_id]).select("set_id", "scenario", "fid", "severity")
+        return RU.run_rules(compared(spark, d, asked), spark, [rule_id]).select("set_id", "scenario", "fid", "severity")
     return run
 
 

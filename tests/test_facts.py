@@ -151,3 +151,35 @@ def test_only_groups_of_several_readings_are_taken_apart(frame, monkeypatch):
     monkeypatch.setattr(FX, "connected_components", lambda nodes, edges, keys: seen.append({r.group_no for r in nodes.collect()}) or whole(nodes, edges, keys))
     assert {r.group_no: r.n_clusters for r in FX.reading_clusters(g).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1}
     assert seen == [{2, 3}]
+
+
+def test_a_set_moves_as_one_row_a_side(spark, shuffled):
+    """What a side says of a set is gathered before it moves; a question asked alone is read as it is among all."""
+    from planlens.sources.catalog import DECLARED_FIELDS
+    fields = ["stories", "height_ft", "building_area_sf", "zoning"]
+    long = spark.range(400).select(F.col("id").alias("set_id"), F.explode(F.array(*map(F.lit, fields))).alias("field"), F.lit(2.0).alias("value_num"),
+                                   F.when(F.col("id") % 3 == 0, "C1").otherwise("C2").alias("value_str"), F.lit(None).cast("boolean").alias("value_bool"))
+    drawn = long.withColumn("value_num", F.when(F.col("set_id") % 4 == 0, 3.0).otherwise(2.0)).withColumn("page", F.lit(1)).where("set_id % 5 <> 0 or field <> 'stories'")
+    run = lambda only=None: R.reconcile(long, drawn, questions(spark), sets=spark.range(400).withColumnRenamed("id", "set_id"), fields=only)
+    assert run().count() == 400 * len(DECLARED_FIELDS)
+    assert shuffled(run) <= 400 * 3 + 100
+    assert sorted(map(str, run(["stories"]).collect())) == sorted(map(str, run().where("field = 'stories'").collect()))
+    states = {r.state: r.n for r in run().groupBy("state").agg(F.count("*").alias("n")).collect()}
+    assert states["DECLARED_ONLY"] == 80 and states["CONFLICT"] == 80 + 100 and states["UNKNOWN"] == 400 * (len(DECLARED_FIELDS) - 4)
+
+
+def test_values_said_twice_stand_beside_each_other(spark):
+    long = "set_id bigint, field string, value_num double, value_str string, value_bool boolean"
+    d = spark.createDataFrame([(1, "stories", 1.0, None, None), (1, "stories", 2.0, None, None), (2, "no_question", 1.0, None, None)], long)
+    w = spark.createDataFrame([(1, "stories", 2.0, None, None), (1, "stories", 3.0, None, None)], long)
+    rows = R.reconcile(d, w, questions(spark)).collect()
+    assert sorted((r.declared_num, r.drawn_num, r.state) for r in rows) == [(1, 2, "CONFLICT"), (1, 3, "CONFLICT"), (2, 2, "CORROBORATED"), (2, 3, "CONFLICT")]
+
+
+def test_asked_rows_are_those_of_the_views(spark):
+    from planlens.plans import q_rules_more as M
+    from planlens.plans.adapters import adapter
+    d = "/root/testdata/sf0.001"
+    for got, view in ((M.answers(spark, d), "a_answers"), (M.stated(spark, d), "a_stated")):
+        want = adapter(spark, d, view)
+        assert got.count() > 0 and sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))

@@ -183,3 +183,18 @@ def test_asked_rows_are_those_of_the_views(spark):
     for got, view in ((M.answers(spark, d), "a_answers"), (M.stated(spark, d), "a_stated")):
         want = adapter(spark, d, view)
         assert got.count() > 0 and sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_facts_of_few_values_join_no_pairs(spark, monkeypatch):
+    """Facts of few values are folded, one of many goes through the rounds; both decide alike, numbers beside texts too."""
+    rows = [(1, "zz", "", "num", v, None, None, 1.0, 0, i) for i, v in enumerate((1.0, 500.0, 501.0, 900.0))] + [(1, "zz", "", "text", None, "500.0", None, 1.0, 0, 9)]
+    rows += [(2, "zz", "", "num", float(i * i), None, None, 1.0, 0, i) for i in range(FX.FOLDED + 20)]
+    claims = spark.createDataFrame(rows, "set_id long, field string, role string, value_type string, value_num double, value_str string, value_bool boolean, "
+                                         "score double, page int, seq long")
+    seen, rounds = [], FX.led_values
+    monkeypatch.setattr(FX, "led_values", lambda v: seen.append({r.set_id for r in v.select("set_id").distinct().collect()}) or rounds(v))
+    groups = lambda: sorted((r.set_id, r.seq, r.group_no) for r in FX.group_claims(claims).collect())
+    got = groups()
+    assert seen == [{2}] and {g for s, n, g in got if s == 1 and n in (1, 2, 9)} == {2}
+    monkeypatch.setattr(FX, "FOLDED", 0)
+    assert groups() == got

@@ -198,3 +198,13 @@ def test_facts_of_few_values_join_no_pairs(spark, monkeypatch):
     assert seen == [{2}] and {g for s, n, g in got if s == 1 and n in (1, 2, 9)} == {2}
     monkeypatch.setattr(FX, "FOLDED", 0)
     assert groups() == got
+
+
+def test_a_group_s_distinct_counts_move_a_claim_once(spark, shuffled):
+    """Pages, sheets and readers of a group are counted in one aggregate, NULL ones not."""
+    g = spark.range(900).select((F.col("id") % 9).alias("set_id"), F.lit("zz").alias("field"), F.lit("").alias("role"), F.lit(1).alias("group_no"), F.lit("num").alias("value_type"),
+                                F.lit(1.0).alias("value_num"), F.lit(None).cast("string").alias("value_str"), F.lit(None).cast("boolean").alias("value_bool"), F.lit(1.0).alias("score"),
+                                (F.col("id") % 5).cast("int").alias("page"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("A-"), (F.col("id") % 10).cast("string"))).alias("sheet"),
+                                F.lit("m").alias("method"), F.lit("L").alias("label"), F.lit("r").alias("raw"), F.array(F.lit("e")).alias("source"), F.col("id").alias("seq"))
+    assert {(r.n_pages, r.n_sheets, r.n_methods, r.n_claims) for r in FX.group_stats(g).collect()} == {(5, 5, 1, 100)}
+    assert shuffled(lambda: FX.group_stats(g)) <= 9 * 8

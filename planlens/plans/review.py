@@ -80,8 +80,8 @@ def drawn(words: DataFrame, pages: DataFrame, paths: DataFrame | None = None, vi
     segs = cut_lineage(L.typed_segments(segs))  # read by every step below
     lines = L.reading_order(segs).select(*page, F.col("ord").alias("line_no"), "text")
     sheets = cut_lineage(P.sheet_titles(lines, P.sheet_index(pages, P.sheet_cells(words, pages))))
-    pairs = L.assign_pairs(segs)
-    pairs = pairs.join(L.headings(pairs, segs), [*page, "label_id"]).join(sheets.select(*page, F.col("code").alias("sheet")), page)
+    pairs = L.assign_pairs(segs, headed=True)
+    pairs = pairs.join(sheets.select(*page, F.col("code").alias("sheet")), page)
     pairs = cut_lineage(pairs.withColumn("box", F.col("label_box")))
     text = lines.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
     measured = {} if paths is None else {"egress_runs": cut_lineage(G.egress_runs(paths, segs, pages, sheets, viewports))}

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -91,42 +92,51 @@ def stale_jobs(events: DataFrame, now: Column) -> DataFrame:
 
 
 def _expire(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Report a job once, when its time has run out before any end.
+    """Report the jobs of one bucket, each once, when its time has run out before any end.
 
-    The state holds the first start, whether a drawing was sent, the first end and whether the
-    job was told of; it outlives the decision by ``KEEP_HOURS``, so the order and batching of
+    The state holds for each job its first start, whether a drawing was sent, the first end (microseconds) and
+    whether the job was told of. A job outlives its decision by ``KEEP_HOURS``, so the order and batching of
     events within the watermark's delay do not matter.
     """
-    cols = ["job_id", "reason"]
-    start, drawing, end, told = state.get if state.exists else (None, False, None, False)
-    start, end = (None if t is None or pd.isna(t) else pd.Timestamp(t) for t in (start, end))
+    jobs = {job: said for job, *said in json.loads(state.get[0])} if state.exists else {}
     earliest = lambda a, b: b if a is None else min(a, b)
     for pdf in () if state.hasTimedOut else chunks:
-        begun, over = pdf[pdf["event"] == "accepted"], pdf[pdf["event"].isin(["done", "error"])]
-        if len(begun):
-            start, drawing = earliest(start, begun["ts"].min()), drawing or bool((begun["source_format"] != "pdf").any())
-        if len(over):
-            end = earliest(end, over["ts"].min())
-    due = None if start is None else start + pd.Timedelta(minutes=V.STALE_DRAWING_MINUTES if drawing else V.STALE_MINUTES)
-    now = state.getCurrentWatermarkMs()
-    ms = lambda t: int(t.timestamp() * 1000)
-    last = ms(due if due is not None else end) + KEEP_HOURS * HOUR * 1000
-    passed = due is not None and ms(due) < now
-    rows = [(key[0], "interrupted")] if passed and not told and (end is None or end > due) else []
-    if state.hasTimedOut and last < now:
+        live = pdf[pdf["us"].notna()]
+        for job, us, event, form in zip(*(live[c].tolist() for c in ("job_id", "us", "event", "source_format"))):
+            said = jobs.setdefault(job, [None, False, None, False])
+            if event == "accepted":
+                said[0], said[1] = earliest(said[0], int(us)), said[1] or form != "pdf"
+            else:
+                said[2] = earliest(said[2], int(us))
+    now, out, kept, wake = state.getCurrentWatermarkMs(), [], [], None
+    for job, (start, drawing, end, told) in jobs.items():
+        due = None if start is None else start + (V.STALE_DRAWING_MINUTES if drawing else V.STALE_MINUTES) * 60_000_000
+        passed = due is not None and due // 1000 < now
+        if passed and not told and (end is None or end > due):
+            out.append(job)
+        last = (end if due is None else due) // 1000 + KEEP_HOURS * HOUR * 1000
+        if last >= now:
+            kept.append((job, start, drawing, end, told or passed))
+            wake = earliest(wake, last if due is None or passed else due // 1000)
+    if kept:
+        state.update((json.dumps(kept),))
+        state.setTimeoutTimestamp(max(wake, now + 1))
+    elif state.exists:
         state.remove()
-    else:
-        state.update((start, bool(drawing), end, bool(told or passed)))
-        state.setTimeoutTimestamp(max(last if due is None or passed else ms(due), now + 1))
-    yield pd.DataFrame(rows, columns=cols)
+    yield pd.DataFrame({"job_id": out, "reason": ["interrupted"] * len(out)}, dtype=object)
 
 
-def expiring_jobs(events: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Streaming: jobs whose limit passes in event time before an end."""
+def expiring_jobs(events: DataFrame, delay: str = "1 minute", buckets: int = 1024) -> DataFrame:
+    """Streaming: jobs whose limit passes in event time before an end.
+
+    Jobs are dealt into ``buckets`` and a bucket is decided at once, so a job costs a row of a table and no call of its own.
+    The number is part of the state: a stream that goes on from a checkpoint keeps it.
+    """
     live = events.where("event in ('accepted', 'done', 'error')").withWatermark("ts", delay).select(
-        "job_id", "ts", "event", F.coalesce("source_format", F.lit("pdf")).alias("source_format"))
-    return live.groupBy("job_id").applyInPandasWithState(
-        _expire, "job_id string, reason string", "start timestamp, drawing boolean, ended timestamp, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        "job_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event", F.coalesce("source_format", F.lit("pdf")).alias("source_format"),
+        F.pmod(F.xxhash64("job_id"), F.lit(buckets)).alias("bucket"))
+    return live.groupBy("bucket").applyInPandasWithState(
+        _expire, "job_id string, reason string", "jobs string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def history(jobs: DataFrame, limit: int | None = None) -> DataFrame:

@@ -92,3 +92,15 @@ def test_replay_skips_only_lasting_results(frame):
     done = frame([("a", "failed: api"), ("b", ""), ("c", "over the deadline"), ("d", "refused")], "key string, error string")
     work = frame([(k,) for k in "abcde"], "key string")
     assert sorted(r.key for r in J.unseen(work, done, ["key"]).collect()) == ["a", "c", "e"]
+
+
+def test_expiring_jobs_share_a_state(spark, tmp_path):
+    """Many jobs in one bucket are decided by one call each trigger, each by its own times; one told of is not told again."""
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [(i, 1, at(i % 3), "accepted", "dwg" if i % 2 else "pdf") for i in range(300)]
+    rows += [(i, 1, at(i % 3 + 10), "done", "pdf") for i in range(0, 300, 5)] + [(1, 1, at(50), "accepted", "pdf"), (900, 1, at(45), "done", "pdf"), (901, 1, at(400), "error", "pdf")]
+    rows.sort(key=lambda r: r[2])
+    for buckets in (1, 7):
+        stream = in_order(spark, rows, f"{tmp_path}/{buckets}", 4)
+        out = J.run_to_end(J.expiring_jobs(stream.withColumn("job_id", F.col("job_id").cast("string")), buckets=buckets), f"{tmp_path}/out{buckets}")
+        assert sorted(int(r.job_id) for r in out.collect()) == [i for i in range(300) if i % 5]

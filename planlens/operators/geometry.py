@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField
 
 from planlens.functions import text as T, vocabulary as V
-from planlens.operators.helpers import connected_components, grid_join, merged_intervals, sided
+from planlens.operators import pages as PG
+from planlens.operators.helpers import grid_join, merged_intervals, sided
 from planlens.session import cut_lineage
 
 PAGE = ["set_id", "page"]
@@ -26,50 +30,80 @@ def scale_labels(lines: DataFrame) -> DataFrame:
     return x.withColumn("pt_per_ft", label_scale(F.col("label"))).where("pt_per_ft is not null")
 
 
-def _neighbours(df: DataFrame, keys: list[str], cell_area: int) -> DataFrame:
-    """Edges to the right and lower neighbour of every cell; ids are row * cell_area + column."""
-    right = df.select(*keys, F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    down = df.select(*keys, F.col("id").alias("a"), (F.col("id") + cell_area).alias("b"))
-    cand = right.unionByName(down)
-    here = df.select(*keys, F.col("id").alias("b"))
-    return cand.join(here, [*keys, "b"], "left_semi").select(*keys, "a", "b")
+STRIDE = 1 << 20  # a cell's id is its row times this, and its column
+CELLS_AT_ONCE = 1 << 21
+
+
+def _stamped(a: np.ndarray, b: np.ndarray, c: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that boxes from column a to b and row c to e cover, and how many boxes cover each."""
+    wide, total = b - a + 1, np.cumsum((b - a + 1) * (e - c + 1))
+    cells, hits, start = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    while start < len(a):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + CELLS_AT_ONCE, "right")))
+        box, k = PG.spread((wide * (e - c + 1))[start:stop])
+        box += start
+        at, n = np.unique((c[box] + k // wide[box]) * STRIDE + a[box] + k % wide[box], return_counts=True)
+        cells, back = np.unique(np.r_[cells, at], return_inverse=True)
+        hits, start = np.bincount(back, np.r_[hits, n]).astype(np.int64), stop
+    return cells, hits
+
+
+def _clusters(cells: np.ndarray) -> np.ndarray:
+    """For each of sorted cells the place of the first cell it is connected with, over right and lower neighbours."""
+    ends = []
+    for step in (1, STRIDE):
+        at = np.searchsorted(cells, cells + step)
+        here = np.flatnonzero(cells[np.minimum(at, len(cells) - 1)] == cells + step)
+        ends.append((here, at[here]))
+    l, r = (np.concatenate(x) for x in zip(*ends))
+    label = np.arange(len(cells))
+    while True:
+        low = np.minimum(label[l], label[r])
+        new = label.copy()
+        for x in (l, r, label[l], label[r]):  # the cells and what they were joined to
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
 
 
 def views(paths: DataFrame, pages: DataFrame) -> DataFrame:
     """Clusters of linework on a page: set_id, page, view, box, number of path hits.
 
     Boxes are stamped on 12-point cells and cells within the gap reach each other; components of
-    the grown cells with at least twelve stamped cells are views, boxed by the stamped ones.
+    the grown cells with at least twelve stamped cells are views, boxed by the stamped ones. A page is worked out where it is.
     """
-    stride = 1 << 20
     area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
     p = paths.join(pages.select(*PAGE, "width", "height"), PAGE)
     p = p.where(((F.col("x1") > F.col("x0")) | (F.col("y1") > F.col("y0")))
                 & (area("") < V.VIEW_BORDER_SHARE * F.col("width") * F.col("height")))
     nx, ny = F.floor(F.col("width") / V.VIEW_CELL), F.floor(F.col("height") / V.VIEW_CELL)
-    lo = lambda c: F.greatest(F.floor(F.col(c) / V.VIEW_CELL), F.lit(0)).cast("int")
-    hi = lambda c, top: F.least(F.floor(F.col(c) / V.VIEW_CELL), top).cast("int")
-    # sequence() counts down when its end is below its start, so boxes off the page drop first
+    lo = lambda c: F.greatest(F.floor(F.col(c) / V.VIEW_CELL), F.lit(0)).cast("bigint")
+    hi = lambda c, top: F.least(F.floor(F.col(c) / V.VIEW_CELL), top).cast("bigint")
     p = p.withColumn("a", lo("x0")).withColumn("b", hi("x1", nx)).withColumn("c", lo("y0")).withColumn("e", hi("y1", ny)).where(
-        "b >= a and e >= c")
-    stamped = (p.withColumn("cx", F.explode(F.sequence("a", "b"))).withColumn("cy", F.explode(F.sequence("c", "e")))
-               .groupBy(*PAGE, "width", "height", "cx", "cy").agg(F.count(F.lit(1)).alias("hits")))
-    stamped = cut_lineage(stamped)
-    reach = max(1, round(V.VIEW_GAP / V.VIEW_CELL))
-    grown = (stamped.select(*PAGE, "width", "height", F.explode(F.sequence(F.col("cx") - reach, F.col("cx") + reach)).alias("cx"), "cy")
-             .distinct().select(*PAGE, "width", "height", "cx", F.explode(F.sequence(F.col("cy") - reach, F.col("cy") + reach)).alias("cy"))
-             .where((F.col("cx") >= 0) & (F.col("cy") >= 0) & (F.col("cx") <= nx) & (F.col("cy") <= ny))
-             .select(*PAGE, (F.col("cy").cast("bigint") * stride + F.col("cx")).alias("id")).distinct())
-    grown = cut_lineage(grown)
-    comp = connected_components(grown, _neighbours(grown, PAGE, stride), PAGE)
-    s = stamped.withColumn("id", F.col("cy").cast("bigint") * stride + F.col("cx")).join(comp, [*PAGE, "id"])
-    v = s.groupBy(*PAGE, "label").agg(
-        F.count(F.lit(1)).alias("n_cells"), F.sum("hits").alias("paths"), F.min("cx").alias("a"), F.min("cy").alias("b"),
-        F.max("cx").alias("c"), F.max("cy").alias("e")).where(F.col("n_cells") >= V.VIEW_MIN_CELLS)
-    n = F.row_number().over(W.partitionBy(*PAGE).orderBy("b", "a", "label"))
-    c = V.VIEW_CELL
-    return v.select(*PAGE, n.alias("view"), (F.col("a") * c).alias("x0"), (F.col("b") * c).alias("y0"),
-                    ((F.col("c") + 1) * c).alias("x1"), ((F.col("e") + 1) * c).alias("y1"), "paths")
+        "b >= a and e >= c").withColumn("nx", nx).withColumn("ny", ny)  # boxes off the page drop
+    reach, size = max(1, round(V.VIEW_GAP / V.VIEW_CELL)), V.VIEW_CELL
+
+    def on_page(rows: pa.Table) -> dict:
+        s = PG.arrays(rows, cols)
+        cells, hits = _stamped(s["a"], s["b"], s["c"], s["e"])
+        around, row, col = np.arange(-reach, reach + 1), cells // STRIDE, cells % STRIDE
+        gx, gy = (g.ravel() for g in np.broadcast_arrays(col[:, None, None] + around[:, None], row[:, None, None] + around))
+        grown = np.unique((gy * STRIDE + gx)[(gx >= 0) & (gy >= 0) & (gx <= s["nx"][0]) & (gy <= s["ny"][0])])
+        label = _clusters(grown)[np.searchsorted(grown, cells)]
+        at = np.argsort(label, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(label[at]) != 0])
+        fold = lambda of, v: of.reduceat(v[at], first)
+        x0, y0, x1, y1 = fold(np.minimum, col), fold(np.minimum, row), fold(np.maximum, col), fold(np.maximum, row)
+        n = np.diff(np.r_[first, len(at)])
+        order = np.lexsort((label[at[first]], x0, y0))
+        v = order[n[order] >= V.VIEW_MIN_CELLS]
+        return {"view": np.arange(1, len(v) + 1), "x0": x0[v] * float(size), "y0": y0[v] * float(size), "x1": (x1[v] + 1) * float(size),
+                "y1": (y1[v] + 1) * float(size), "paths": fold(np.add, hits)[v]}
+    cols = ["a", "b", "c", "e", "nx", "ny"]
+    out = [PG.number("view"), *[StructField(c, DoubleType()) for c in ("x0", "y0", "x1", "y1")], StructField("paths", LongType())]
+    return PG.each_page(p, cols, out, on_page)
 
 
 def contains(o: str, i: str, slack: float = 2.0) -> Column:

@@ -139,3 +139,39 @@ def test_scale_for_counts_no_distinct_scales(spark):
     out = G.scale_for(boxes, v, pages)
     assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.set_id: (r.scale, r.why) for r in out.collect()} == {1: (18.0, ""), 2: (None, "nested views do not agree"), 3: (18.0, "")}
+
+
+def test_views_of_a_page_are_cut_where_it_is(spark):
+    """Winding linework is one view, found with one exchange of the paths and no rounds of joins; it equals a flood fill in plain Python."""
+    import random
+    rng = random.Random(3)
+    boxes = [(s, 0, float(x := rng.randrange(-20, 900)), float(y := rng.randrange(-20, 700)), float(x + rng.randrange(1, 90)), float(y + rng.randrange(0, 40)))
+             for s in range(6) for _ in range(6 + 5 * s)]
+    boxes += [(9, 0, 14.0 * i, 400.0 * (i % 2), 14.0 * i + 5, 400.0) for i in range(20)]
+    df = spark.createDataFrame(boxes, "set_id bigint, page int, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([(s, 0, 900.0, 700.0) for s in range(10)], "set_id bigint, page int, width double, height double")
+    want = []
+    for s in {b[0] for b in boxes}:
+        hits = {}
+        for _, _, x0, y0, x1, y1 in (b for b in boxes if b[0] == s):
+            for cx in range(max(int(x0 // 12), 0), min(int(x1 // 12), 75) + 1):
+                for cy in range(max(int(y0 // 12), 0), min(int(y1 // 12), 58) + 1):
+                    hits[cx, cy] = hits.get((cx, cy), 0) + 1
+        r = max(1, round(G.V.VIEW_GAP / 12))
+        left = {(cx + i, cy + j) for cx, cy in hits for i in range(-r, r + 1) for j in range(-r, r + 1) if 0 <= cx + i <= 75 and 0 <= cy + j <= 58}
+        while left:
+            todo, part = [left.pop()], set()
+            while todo:
+                x, y = todo.pop()
+                part.add((x, y))
+                near = {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} & left
+                left -= near
+                todo += near
+            own = [c for c in part if c in hits]
+            if len(own) >= G.V.VIEW_MIN_CELLS:
+                xs, ys = [c[0] for c in own], [c[1] for c in own]
+                want.append((s, min(xs) * 12.0, min(ys) * 12.0, max(xs) * 12.0 + 12, max(ys) * 12.0 + 12, sum(hits[c] for c in own)))
+    v = G.views(df, pages)
+    assert sorted((r.set_id, r.x0, r.y0, r.x1, r.y1, r.paths) for r in v.collect()) == sorted(want) and len(want) > 8
+    assert v._jdf.queryExecution().executedPlan().toString().count("MergeJoin") <= 1
+    assert G.views(df.where("false"), pages).collect() == []
